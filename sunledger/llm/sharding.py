@@ -53,19 +53,19 @@ def number_within(df: DataFrame, group: str, order: list[str], out: str, scratch
     """
     many = df.count() // ROWS_PER_BUCKET + 1
     bucket = F.pmod(F.xxhash64(*order, F.floor(F.monotonically_increasing_id() / 1024)), F.lit(many))
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_nw_bucket", bucket)
     rows = scratch.keep(rows, f"buckets-{out}")
-    counts = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(group, "_nw_bucket").agg(F.count(F.lit(1)).alias("_nw_n"))
+    before = Window.partitionBy(group).orderBy("_nw_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(
-        F.col(group).alias("_group"), F.col("_bucket").alias("_at"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"),
+        F.col(group).alias("_nw_group"), F.col("_nw_bucket").alias("_nw_at"),
+        F.coalesce(F.sum("_nw_n").over(before), F.lit(0)).alias("_nw_first"),
     )
-    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
-    ranked = rows.withColumn("_rank", rank)
-    joined = ranked.join(firsts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at")))
-    return joined.withColumn(out, (F.col("_first") + F.col("_rank") - 1).cast("long")).drop(
-        "_bucket", "_rank", "_group", "_at", "_first"
+    rank = F.row_number().over(Window.partitionBy(group, "_nw_bucket").orderBy(*order))
+    ranked = rows.withColumn("_nw_rank", rank)
+    joined = ranked.join(firsts, F.col(group).eqNullSafe(F.col("_nw_group")) & (F.col("_nw_bucket") == F.col("_nw_at")))
+    return joined.withColumn(out, (F.col("_nw_first") + F.col("_nw_rank") - 1).cast("long")).drop(
+        "_nw_bucket", "_nw_rank", "_nw_group", "_nw_at", "_nw_first"
     )
 
 
