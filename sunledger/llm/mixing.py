@@ -30,7 +30,7 @@ from .scratch import Scratch
 
 NEWTON_STEPS = 40
 #: Rows that one ranking task is meant to get.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 #: Documents of each size class that stand by to make up for rounding.
 SPARE = 4
 

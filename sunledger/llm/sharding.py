@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Rows that one numbering task is meant to get.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 
 
 def jump_shard(key: Column, shards: int) -> Column:
