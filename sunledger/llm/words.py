@@ -19,8 +19,8 @@ BLOCK_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 
 
@@ -85,7 +85,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if hi > lo:
         buffer[: hi - lo] = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi]
     if lower:
-        buffer = _LOWER[buffer]
+        buffer = LOWER[buffer]
     offsets = offsets - lo
     inside = ~_SPACE[buffer[: hi - lo + 1]]
     begins = inside.copy()
