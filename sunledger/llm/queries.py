@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import component_of_documents
 from .mixing import mix_documents
+from .nearest_neighbours import nearest
 from .packing import pack_documents
 from .quality_classifier import score_quality
 from .quality_rules import apply_rules
@@ -59,6 +60,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
