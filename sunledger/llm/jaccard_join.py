@@ -7,11 +7,13 @@ than d fragments one fragment at least is the same in both. The join
 
 1. collapses equal sets to a node (128 bits; node is the first half) and writes a signature per
    fragment, with so many fragments as the sizes at hand need;
-2. keeps signatures that two nodes share, and compares every node with the smallest of each
-   group: partial overlaps are counted fragment by fragment and summed per pair;
-3. joins what is linked into components and looks at pairs of different components only: inside
-   a group, in blocks of bounded size, a byte per fine fragment bounds the overlap from above, and
-   pairs that survive are counted exactly as before.
+2. keeps signatures that two nodes share, and compares every node with one of its group, the
+   lead: a byte per fine fragment bounds the overlap from above; where it doesn't rule the pair out,
+   partial overlaps are counted fragment by fragment and summed per pair. What is linked becomes
+   one component, and while links are found there is a turn with other leads, in which only
+   nodes outside the lead's component are compared;
+3. looks at what is left, all pairs of different components inside a group, in blocks of bounded
+   size, in the same way.
 
 So copies cost nothing, tight clusters cost a link per member, and no link between components is
 lost. Sets whose fragments are so empty that step 1 could miss a partner add each shingle as a
@@ -40,6 +42,10 @@ from .words import U64, Words, blocks, mix, pair, words_of
 RATIO = 1.5
 #: Members of a block of a group, in step 3.
 BLOCK = 256
+#: Turns of comparing groups with a lead, at most.
+TURNS = 6
+#: Elements that a vertical fragment is meant to have where overlaps are counted.
+PART = 2048
 
 
 def size_limits(percent: int, top: int = 1 << 40) -> np.ndarray:
@@ -117,7 +123,7 @@ def _signatures(text: np.ndarray, name: np.ndarray, size: np.ndarray, percent: i
 def sketch(name: np.ndarray, level: int, percent: int) -> bytes:
     """A byte for each of some fine fragments of a set: sets differ in at least as many elements
     as their sketches differ in bytes."""
-    cells = int(2 * most_different(2 * (int(size_limits(percent)[level + 1]) - 1), percent) + 16)
+    cells = int(4 * most_different(2 * (int(size_limits(percent)[level + 1]) - 1), percent) + 16)
     at = (((name >> U64(32)) * U64(cells)) >> U64(32)).astype(np.int64)
     return (np.bincount(at, (mix(name ^ U64(99)) & U64(0xFF)).astype(np.float64), cells).astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
 
@@ -173,6 +179,28 @@ def _sketches(percent: int) -> Callable:
     return run
 
 
+def _parts(limits: np.ndarray, percent: int) -> Callable:
+    """Sets to their vertical fragments, in their own size class and, where a linked set could lie
+    there, in the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for node, elements in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
+                name = elements.values.to_numpy().view(U64)
+                own = int(np.searchsorted(limits, len(name), side="right")) - 1
+                for level in (own, own + 1)[: 1 + (len(name) * 100 >= percent * limits[own + 1])]:
+                    number = int(limits[level + 1]) // PART + 1
+                    at = ((name >> U64(32)) * U64(number)) >> U64(32)
+                    cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                    for a, b in zip(cut, np.append(cut[1:], len(name)), strict=True):
+                        for column, x in zip(out, (node, level, int(at[a]), name[a:b].view(np.int64)), strict=True):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["node", "level", "part", "elements"])
+
+    return run
+
+
 def _plausible(a: np.ndarray, b: np.ndarray, size_sum: np.ndarray, percent: int) -> np.ndarray:
     return (a != b).sum(-1) <= most_different(size_sum, percent)
 
@@ -184,7 +212,7 @@ def _filter_pairs(percent: int) -> Callable:
                 bool(_plausible(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), m + n, percent))
                 for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b")), strict=True)
             ]
-            yield batch.select(["a", "b", "size_a", "size_b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b", "level", "size_a", "size_b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -194,7 +222,7 @@ def _block_pairs(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, same, members in zip(batch.column("bi").to_pylist(), batch.column("same").to_pylist(), batch.column("members"), strict=True):
+            for i, level, same, members in zip(*(batch.column(c).to_pylist() for c in ("bi", "level", "same")), batch.column("members"), strict=True):
                 m = members.values
                 node, comp, size, block = (m.field(c).to_numpy() for c in ("node", "comp", "size", "block"))
                 look = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
@@ -209,12 +237,18 @@ def _block_pairs(percent: int) -> Callable:
                 a, b = at[0].astype(np.int64), at[1].astype(np.int64)
                 flip = node[a] > node[b]
                 a, b = np.where(flip, b, a), np.where(flip, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], size[a], size[b])], ["a", "b", "size_a", "size_b"])
+                levels = np.full(len(a), level, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], levels, size[a], size[b])], ["a", "b", "level", "size_a", "size_b"])
 
     return run
 
 
-PAIR = "a long, b long, size_a int, size_b int"
+PAIR = "a long, b long, level int, size_a int, size_b int"
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Pairs that met at two levels, at the higher of them."""
+    return pairs.groupBy("a", "b", "size_a", "size_b").agg(F.max("level").alias("level"))
 
 
 class JaccardJoin:
@@ -229,10 +263,10 @@ class JaccardJoin:
         parsed = scratch.keep(parsed, "parsed")
         self.documents = parsed.select("doc_id", "text_key", "n_shingles", "node")
         rows = parsed.select("node", F.explode(F.arrays_zip("levels", "signatures")).alias("x")).select("node", F.col("x.levels").alias("level"), F.col("x.signatures").alias("sig"))
-        groups = rows.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("_max")).filter("lead < _max").select("sig", "lead")
+        groups = rows.groupBy("sig").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("sig")
         groups = scratch.keep(groups, "groups")
         scratch.release()
-        self.shared = scratch.keep(rows.join(groups, "sig").groupBy("sig", "node").agg(F.first("level").alias("level"), F.first("lead").alias("lead")), "shared")
+        self.shared = scratch.keep(rows.join(groups, "sig").groupBy("sig", "node").agg(F.first("level").alias("level")), "shared")
         scratch.release()
         self._keep_sets()
 
@@ -247,45 +281,51 @@ class JaccardJoin:
         scratch.release()
         self.sketches = scratch.keep(sets.mapInArrow(_sketches(self.percent), "node long, level int, size int, sketch binary"), "sketches")
 
-        def fragment(k: int):  # one of eight coarse fragments of the global order
-            inside = F.filter("elements", lambda x: F.shiftrightunsigned(x, 61) == k)
-            return F.struct(F.lit(k).alias("part"), inside.alias("elements"))
-
-        cut = [fragment(k) for k in range(8)]
-        self.parts = scratch.keep(sets.select("node", F.explode(F.array(*cut)).alias("x")).select("node", "x.part", "x.elements").filter(F.size("elements") > 0), "parts")
+        # vertical fragments of the global order, one for each so many elements of a size class;
+        # a pair is counted in the fragments of its larger set's class
+        self.parts = scratch.keep(sets.mapInArrow(_parts(size_limits(self.percent), self.percent), "node long, level int, part int, elements array<long>"), "parts")
         scratch.drop("sets")
 
     def count_overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
         """Links among `pairs`: overlaps are counted per fragment and summed per pair."""
-        a = self.parts.select(F.col("node").alias("a"), "part", F.col("elements").alias("ea"))
-        b = self.parts.select(F.col("node").alias("b"), "part", F.col("elements").alias("eb"))
-        partial = pairs.join(a, "a").join(b, ["b", "part"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ea", "eb")).alias("n"))
+        a = self.parts.select(F.col("node").alias("a"), "level", "part", F.col("elements").alias("ea"))
+        b = self.parts.select(F.col("node").alias("b"), "level", "part", F.col("elements").alias("eb"))
+        partial = pairs.join(a, ["a", "level"]).join(b, ["b", "level", "part"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ea", "eb")).alias("n"))
         total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         return self.scratch.keep(total.filter(100 * F.col("n") >= self.percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b"), name)
 
-    def lead_links(self) -> DataFrame:
-        """Links between the nodes of a group and its smallest node."""
-        pairs = self.shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "level").distinct()
+    def _rows(self, comps: DataFrame | None) -> DataFrame:
+        """Members of shared signatures with their component (without components, themselves)."""
+        rows = self.shared.select("sig", "level", "node")
+        if comps is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def star_links(self, comps: DataFrame | None, turn: int) -> tuple[DataFrame, int]:
+        """Links between the nodes of a group and one of them, its lead, where their components
+        differ, and how many pairs were counted. Every turn has other leads, a few for all groups."""
+        rows = self.scratch.keep(self._rows(comps), f"rows-{turn}")
+        luck = F.xxhash64("node", F.lit(turn), F.pmod("sig", F.lit(4 if turn else 1)))
+        leads = rows.groupBy("sig").agg(F.min(F.struct(luck, "node", "comp")).alias("x"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+        leads = leads.filter("_lo < _hi").select("sig", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp"))
+        met = rows.join(leads, "sig").filter("comp <> lead_comp")
+        pairs = met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"), "level").distinct()
         look = lambda x: self.sketches.select(F.col("node").alias(x), "level", F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         pairs = pairs.join(look("a"), ["a", "level"]).join(look("b"), ["b", "level"])
-        return self.count_overlaps(self.scratch.keep(pairs.mapInArrow(_filter_pairs(self.percent), PAIR).distinct(), "lead-pairs"), "lead-links")
+        pairs = self.scratch.keep(_once(pairs.mapInArrow(_filter_pairs(self.percent), PAIR)), f"star-pairs-{turn}")
+        return self.count_overlaps(pairs, f"star-links-{turn}"), pairs.count()
 
     def other_links(self, comps: DataFrame | None) -> DataFrame:
         """Links between nodes of different components (all links, without components)."""
-        rows = self.shared.select("sig", "level", "node")
-        if comps is None:
-            rows = rows.withColumn("comp", F.col("node"))
-        else:
-            rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rows = self.scratch.keep(rows, "component-rows")
+        rows = self.scratch.keep(self._rows(comps), "rows")
         mixed = rows.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("many")).filter("_lo < _hi").select("sig", "many")
         number = F.ceil(F.col("many") / BLOCK).cast("int")
         rows = rows.join(mixed, "sig").withColumns({"number": number, "block": F.pmod(F.xxhash64("node"), number).cast("int")})
         rows = rows.join(self.sketches, ["node", "level"])
         placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1))).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-        lists = placed.groupBy("sig", "bi", "bj").agg(F.collect_list(F.struct("node", "comp", "size", "block", "sketch")).alias("members"))
-        pairs = lists.select("bi", (F.col("bi") == F.col("bj")).alias("same"), "members").mapInArrow(_block_pairs(self.percent), PAIR)
-        return self.count_overlaps(self.scratch.keep(pairs.distinct(), "other-pairs"), "other-links")
+        lists = placed.groupBy("sig", "level", "bi", "bj").agg(F.collect_list(F.struct("node", "comp", "size", "block", "sketch")).alias("members"))
+        pairs = lists.select("bi", "level", (F.col("bi") == F.col("bj")).alias("same"), "members").mapInArrow(_block_pairs(self.percent), PAIR)
+        return self.count_overlaps(self.scratch.keep(_once(pairs), "other-pairs"), "other-links")
 
     def links(self) -> DataFrame:
         """All links (a, b) between nodes; copies are in `documents`, by node."""
@@ -293,12 +333,17 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """(node, comp) of the nodes that have a link."""
-        lead = self.lead_links()
-        self.scratch.release()
-        first = connected_components(lead, self.scratch, "first")
-        other = self.other_links(first)
+        links, comps = None, None
+        for turn in range(TURNS):
+            found, counted = self.star_links(comps, turn)
+            links = found if links is None else links.unionByName(found)
+            comps = connected_components(links, self.scratch, f"turn-{turn}")
+            self.scratch.release()
+            if found.count() * 4 <= counted:  # what remains is mostly no link
+                break
+        links = links.unionByName(self.other_links(comps))
         self.scratch.release()
-        return connected_components(lead.unionByName(other), self.scratch, "all")
+        return connected_components(links, self.scratch, "all")
 
     def grouped(self) -> DataFrame:
         """`documents` with component_id, the smallest doc_id reachable by links."""
