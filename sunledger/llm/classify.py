@@ -182,6 +182,20 @@ def score_texts(docs: DataFrame, model: Model, featurizer: Featurizer, lower: bo
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def filter_texts(docs: DataFrame, model: Model, featurizer: Featurizer, lower: bool, cut: float) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text scores below `cut`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                words = words_of(block.column("text"), lower)
+                score = shared.value.scores(shared.value.margins(*featurizer(words), block.num_rows))
+                yield block.filter(pa.array(score < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ngram(names: np.ndarray, text: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of one name per word, within texts."""
     if len(names) < n:

@@ -33,7 +33,7 @@ PREFIX = 128
 SHARE = 0.2
 LEAST = 3000
 SEGMENT = 16_384
-QUERY_BLOCK = 256
+QUERY_BLOCK = 1024
 
 
 def usable(vector: Column, size: int) -> Column:

@@ -20,6 +20,7 @@ from .quality_rules import apply_rules
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .toxicity import score_toxicity
+from .warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -250,3 +250,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", win
     named = docs.withColumn("_sd_text", F.col(text)).join(found, F.xxhash64(F.col(text)) == F.col("_sd_key"), "left").drop("_sd_key")
     schema = T.StructType([*docs.schema.fields, *ADDED.fields])
     return named.mapInArrow(_remove(window, docs.columns, to_arrow_schema(schema)), schema)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` with repeated passages cut out of their texts. A text that loses nothing stays as it
+    is, one that loses words becomes its kept words; n_chars, where there is one, follows."""
+    cleaned = remove_repeats(spark, docs, "text", window)
+    cleaned = cleaned.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)

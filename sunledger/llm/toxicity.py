@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classify import Model, Rows, class_share, crc_bucket, encode, labelled_sample, rows_over, score_texts, sigmoid, trimmed
+from .classify import Model, Rows, class_share, crc_bucket, encode, filter_texts, labelled_sample, rows_over, score_texts, sigmoid, trimmed
 from .words import U64, Words, mix
 
 SAMPLE = 4000
@@ -163,3 +163,10 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, samp
     model = train(docs, labels, "toxic", learn, sample)
     scored = score_texts(docs, model, features, True)
     return scored.select("doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = 3, held: int = 1, cut: float = 0.7) -> DataFrame:
+    """`docs` without those that `score_toxicity` predicts to be toxic."""
+    learn = crc_bucket(F.col("doc_id"), buckets) != held
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return filter_texts(docs, train(docs, labels, "toxic", learn, sample), features, True, cut)
