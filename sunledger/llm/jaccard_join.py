@@ -42,8 +42,9 @@ from .words import U64, Words, blocks, mix, pair, words_of
 RATIO = 1.5
 #: Members of a block of a group, in step 3.
 BLOCK = 256
-#: Turns of comparing groups with a lead, at most.
-TURNS = 6
+#: Turns of comparing groups with a lead, at most, and how many leads a set of nodes may get in one
+#: (the first turn has one).
+TURNS, LEADS = 2, 16
 #: Elements that a vertical fragment is meant to have where overlaps are counted.
 PART = 2048
 
@@ -305,7 +306,7 @@ class JaccardJoin:
         """Links between the nodes of a group and one of them, its lead, where their components
         differ, and how many pairs were counted. Every turn has other leads, a few for all groups."""
         rows = self.scratch.keep(self._rows(comps), f"rows-{turn}")
-        luck = F.xxhash64("node", F.lit(turn), F.pmod("sig", F.lit(4 if turn else 1)))
+        luck = F.xxhash64("node", F.lit(turn), F.pmod("sig", F.lit(LEADS if turn else 1)))
         leads = rows.groupBy("sig").agg(F.min(F.struct(luck, "node", "comp")).alias("x"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
         leads = leads.filter("_lo < _hi").select("sig", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp"))
         met = rows.join(leads, "sig").filter("comp <> lead_comp")
