@@ -267,7 +267,13 @@ class JaccardJoin:
         groups = rows.groupBy("sig").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("sig")
         groups = scratch.keep(groups, "groups")
         scratch.release()
-        self.shared = scratch.keep(rows.join(groups, "sig").groupBy("sig", "node").agg(F.first("level").alias("level")), "shared")
+        shared = scratch.keep(rows.join(groups, "sig").groupBy("sig", "node").agg(F.first("level").alias("level")), "all-shared")
+        scratch.release()
+        # near copies share dozens of signatures: of groups with the same members one is enough
+        members = shared.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        one = members.groupBy("x", "n", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
+        self.shared = scratch.keep(shared.join(one, "sig", "left_semi"), "shared")
+        scratch.drop("all-shared")
         scratch.release()
         self._keep_sets()
 
