@@ -44,7 +44,7 @@ RATIO = 1.5
 BLOCK = 256
 #: Turns of comparing groups with a lead, at most, and how many leads a set of nodes may get in one
 #: (the first turn has one).
-TURNS, LEADS = 2, 16
+TURNS, LEADS = 3, 16
 #: Elements that a vertical fragment is meant to have where overlaps are counted.
 PART = 2048
 
@@ -148,56 +148,38 @@ def _parse(n: int, percent: int) -> Callable:
     return run
 
 
-def _sets(n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch, "text"):
-                keys = block.column("text_key").to_numpy()
-                block = block.take(pa.array(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))))  # copies lie side by side
-                text, name = shingle_sets(words_of(block.column("text"), lower=True), n)
-                at = pa.array(np.searchsorted(text, np.arange(block.num_rows + 1)).astype(np.int32))
-                node = _set_names(text, name, block.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(name.view(np.int64)))], ["node", "elements"])
+def _sets(n: int, percent: int) -> Callable:
+    """Texts to their sets: in each size class that a set takes part in, its sketch and its
+    vertical fragments (one for each so many elements, ranges of the global order)."""
 
-    return run
-
-
-def _sketches(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = size_limits(percent)
         for batch in batches:
-            nodes, levels, sizes, out = [], [], [], []
-            for node, elements in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
-                name = elements.values.to_numpy().view(U64)
-                own = int(np.searchsorted(limits, len(name), side="right")) - 1
-                for level in (own, own + 1):
-                    nodes.append(node)
-                    levels.append(level)
-                    sizes.append(len(name))
-                    out.append(sketch(name, level, percent))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(levels, pa.int32()), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["node", "level", "size", "sketch"])
-
-    return run
-
-
-def _parts(limits: np.ndarray, percent: int) -> Callable:
-    """Sets to their vertical fragments, in their own size class and, where a linked set could lie
-    there, in the next."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for node, elements in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
-                name = elements.values.to_numpy().view(U64)
-                own = int(np.searchsorted(limits, len(name), side="right")) - 1
-                for level in (own, own + 1)[: 1 + (len(name) * 100 >= percent * limits[own + 1])]:
-                    number = int(limits[level + 1]) // PART + 1
-                    at = ((name >> U64(32)) * U64(number)) >> U64(32)
-                    cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                    for a, b in zip(cut, np.append(cut[1:], len(name)), strict=True):
-                        for column, x in zip(out, (node, level, int(at[a]), name[a:b].view(np.int64)), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["node", "level", "part", "elements"])
+            for block in blocks(batch, "text"):
+                text, name = shingle_sets(words_of(block.column("text"), lower=True), n)
+                first = np.searchsorted(text, np.arange(block.num_rows + 1))
+                node = _set_names(text, name, block.num_rows).view(np.int64)
+                rows: list[tuple] = []
+                parts: list[np.ndarray] = []
+                numbers: list[int] = []
+                ends = [0]
+                for i in np.flatnonzero(np.diff(first)):
+                    own_name = name[first[i] : first[i + 1]]
+                    size = len(own_name)
+                    own = int(np.searchsorted(limits, size, side="right")) - 1
+                    for level in (own, own + 1)[: 1 + (size * 100 >= percent * limits[own + 1])]:
+                        number = int(limits[level + 1]) // PART + 1
+                        at = ((own_name >> U64(32)) * U64(number)) >> U64(32)
+                        cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                        rows.append((int(node[i]), level, size, sketch(own_name, level, percent)))
+                        parts += np.split(own_name.view(np.int64), cut[1:])
+                        numbers += at[cut].tolist()
+                        ends.append(len(parts))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
+                fragments = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), lists], ["part", "elements"])
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), fragments))
+                yield pa.RecordBatch.from_arrays(columns, ["node", "level", "size", "sketch", "fragments"])
 
     return run
 
@@ -223,6 +205,7 @@ def _block_pairs(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pairs = []
             for i, level, same, members in zip(*(batch.column(c).to_pylist() for c in ("bi", "level", "same")), batch.column("members"), strict=True):
                 m = members.values
                 node, comp, size, block = (m.field(c).to_numpy() for c in ("node", "comp", "size", "block"))
@@ -238,8 +221,11 @@ def _block_pairs(percent: int) -> Callable:
                 a, b = at[0].astype(np.int64), at[1].astype(np.int64)
                 flip = node[a] > node[b]
                 a, b = np.where(flip, b, a), np.where(flip, a, b)
-                levels = np.full(len(a), level, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], levels, size[a], size[b])], ["a", "b", "level", "size_a", "size_b"])
+                pairs.append(np.stack([node[a], node[b], np.full(len(a), level), size[a], size[b]]))
+            if pairs:
+                found = np.unique(np.concatenate(pairs, 1), axis=1)  # groups overlap
+                columns = [pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "level", "size_a", "size_b"])
 
     return run
 
@@ -262,7 +248,7 @@ class JaccardJoin:
         kind = docs.schema["doc_id"].dataType.simpleString()
         parsed = self.texts.mapInArrow(_parse(n, percent), f"doc_id {kind}, text_key long, n_shingles long, node long, levels array<int>, signatures array<long>")
         parsed = scratch.keep(parsed, "parsed")
-        self.documents = parsed.select("doc_id", "text_key", "n_shingles", "node")
+        self.documents = scratch.keep(parsed.select("doc_id", "text_key", "n_shingles", "node"), "documents")
         rows = parsed.select("node", F.explode(F.arrays_zip("levels", "signatures")).alias("x")).select("node", F.col("x.levels").alias("level"), F.col("x.signatures").alias("sig"))
         groups = rows.groupBy("sig").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("sig")
         groups = scratch.keep(groups, "groups")
@@ -273,31 +259,27 @@ class JaccardJoin:
         members = shared.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
         one = members.groupBy("x", "n", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
         self.shared = scratch.keep(shared.join(one, "sig", "left_semi"), "shared")
-        scratch.drop("all-shared")
+        scratch.drop("all-shared", "parsed", "groups")
         scratch.release()
         self._keep_sets()
 
     def _keep_sets(self) -> None:
-        """Sets, their fragments and sketches of the nodes that share a signature."""
-        scratch = self.scratch
+        """Sketches and fragments of the nodes that share a signature, from one document each. A
+        repeated row may give its set twice; what follows counts pairs, so it doesn't matter."""
         active = self.shared.select("node").distinct()
-        one = self.documents.join(active, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-        texts = self.texts.select("text", "text_key").join(one.select("text_key"), "text_key", "left_semi")
-        sets = texts.mapInArrow(_sets(self.n), "node long, elements array<long>")
-        sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
-        scratch.release()
-        self.sketches = scratch.keep(sets.mapInArrow(_sketches(self.percent), "node long, level int, size int, sketch binary"), "sketches")
-
-        # vertical fragments of the global order, one for each so many elements of a size class;
-        # a pair is counted in the fragments of its larger set's class
-        self.parts = scratch.keep(sets.mapInArrow(_parts(size_limits(self.percent), self.percent), "node long, level int, part int, elements array<long>"), "parts")
-        scratch.drop("sets")
+        one = self.documents.join(active, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("x"))
+        one = one.select(F.col("x.text_key").alias("text_key"), F.col("x.doc_id").alias("_id"))
+        texts = self.texts.join(one, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+        kind = "node long, level int, size int, sketch binary, fragments array<struct<part: int, elements: array<long>>>"
+        sets = self.scratch.keep(texts.mapInArrow(_sets(self.n, self.percent), kind), "sets")
+        self.sketches = sets.select("node", "level", "size", "sketch")
+        self.parts = sets.select("node", "level", F.explode("fragments").alias("x")).select("node", "level", "x.part", "x.elements")
 
     def count_overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
         """Links among `pairs`: overlaps are counted per fragment and summed per pair."""
         a = self.parts.select(F.col("node").alias("a"), "level", "part", F.col("elements").alias("ea"))
         b = self.parts.select(F.col("node").alias("b"), "level", "part", F.col("elements").alias("eb"))
-        partial = pairs.join(a, ["a", "level"]).join(b, ["b", "level", "part"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ea", "eb")).alias("n"))
+        partial = pairs.join(a, ["a", "level"]).join(b, ["b", "level", "part"]).groupBy("a", "b", "size_a", "size_b", "part").agg(F.max(F.size(F.array_intersect("ea", "eb"))).alias("n"))
         total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         return self.scratch.keep(total.filter(100 * F.col("n") >= self.percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b"), name)
 
