@@ -64,17 +64,20 @@ def distinct(text: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def encode(featurizers: list[Featurizer], lower: bool) -> Callable:
-    """Rows (doc_id, text, y) to (y, and for each featurizer the distinct feature names)."""
+    """Rows (doc_id, text, y) to (y, and for each featurizer the distinct feature names). Where a
+    later featurizer finds what the first does, as for most twins, its list is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
                 words = words_of(block.column("text"), lower)
-                columns = [block.column("doc_id"), block.column("y")]
+                columns, lists = [block.column("doc_id"), block.column("y")], []
                 for featurizer in featurizers:
                     text, name = distinct(*featurizer(words))
-                    at = np.searchsorted(text, np.arange(block.num_rows + 1)).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(name.view(np.int64))))
+                    at = np.searchsorted(text, np.arange(block.num_rows + 1))
+                    own = [name[a:b].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+                    lists.append(own if not lists else [None if np.array_equal(x, y) else x for x, y in zip(own, lists[0], strict=True)])
+                    columns.append(pa.array(lists[-1], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", *(f"f{i}" for i in range(len(featurizers)))])
 
     return run

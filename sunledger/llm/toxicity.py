@@ -134,8 +134,7 @@ def fit(names: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, share:
     if len(set(y.tolist())) < 2:
         return Model(np.empty(0, U64), np.empty(0), None, 0.0, 0.0, float(np.log(share / (1 - share))))
     vocabulary = _select(names, y.astype(float), VOCABULARY)
-    d = rows_over(vocabulary, [np.setdiff1d(a, b) for a, b in zip(names, twins, strict=True)])
-    e = rows_over(vocabulary, [np.setdiff1d(b, a) for a, b in zip(names, twins, strict=True)])
+    d, e = (rows_over(vocabulary, [x[:0] if x is y else np.setdiff1d(x, y) for x, y in zip(*two, strict=True)]) for two in ((names, twins), (twins, names)))
     w, b = _minimise(rows_over(vocabulary, names), d, e, y.astype(float), len(vocabulary), decay, fairness)
     # the sample may hold more of label 1 than the corpus; a logistic score moves by the log odds
     prior = y.mean()
@@ -149,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
     picked = labelled_sample(docs, labels, label, learn, sample)
     encoded = picked.mapInArrow(encode([features, swapped(terms)], True), f"doc_id {kind}, y int, f0 array<long>, f1 array<long>")
     rows = encoded.toArrow().sort_by("doc_id")
-    names, twins = ([v.values.to_numpy().view(U64) for v in rows[c]] for c in ("f0", "f1"))
+    names = [v.values.to_numpy().view(U64) for v in rows["f0"]]
+    twins = [v.values.to_numpy().view(U64) if v.is_valid else name for v, name in zip(rows["f1"], names, strict=True)]
     y = rows["y"].to_numpy().astype(int)
     order = np.random.default_rng(3).permutation(len(y))
     return fit([names[i] for i in order], [twins[i] for i in order], y[order], class_share(labels, label, learn))
