@@ -83,4 +83,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""with d as (select row_number() over () as r, doc_id, {WORDS.format("text")} as w from documents),
+h as (select r, unnest(range(1, len(w) - 33)) as i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) as k from d where len(w) >= 35),
+again as (select r, i from h qualify count(*) over (partition by k) > 1),
+gone as (select distinct r, unnest(range(i, i + 35)) as j from again),
+words as (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from d),
+kept as (select r, string_agg(x, ' ' order by j) as s, count(*) as n from words anti join gone using (r, j) group by r)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(s, '')) as kept_sha256 from d left join kept using (r)""",
+    "op7_jaccard_join": f"""with recursive d as (select row_number() over () as r, doc_id, {WORDS.format(LOWER)} as w from documents),
+s as (select distinct r, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+n as (select r, count(*) as n from s group by r),
+p as (select a.r as a, b.r as b, count(*) as i from s a join s b on a.g = b.g and a.r < b.r group by all),
+l as (select a, b from p join n x on x.r = a join n y on y.r = b where 100 * i >= 90 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+reach(r, q) as (select r, r from d union select reach.r, e.b from reach join e on e.a = reach.q),
+c as (select reach.r, min(d.doc_id) as component_id from reach join d on d.r = reach.q group by reach.r)
+select doc_id, coalesce(n, 0) as n_shingles, component_id from d join c using (r) left join n using (r)""",
+    "op10_warc": """with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select page_id, octet_length(encode(body)) as payload_bytes, sha1(body) as hex, min(page_id) over (partition by body) as first from p)
+select page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+ (strpos('0123456789abcdef', substr(hex || '0', (1 + (5 * k) // 4)::int, 1)) - 1) * 256 + (strpos('0123456789abcdef', substr(hex || '0', (2 + (5 * k) // 4)::int, 1)) - 1) * 16
+ + (strpos('0123456789abcdef', substr(hex || '00', (3 + (5 * k) // 4)::int, 1)) - 1)) >> (7 - (5 * k) % 4)) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from h""",
+}
