@@ -83,6 +83,20 @@ def encode(featurizers: list[Featurizer], lower: bool) -> Callable:
     return run
 
 
+def within(vocabulary: np.ndarray, columns: tuple[str, ...]) -> Callable:
+    """Encoded rows whose lists hold only names of the vocabulary; null lists stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column in columns:
+                lists = [v.values.to_numpy() if v.is_valid else None for v in batch.column(column)]
+                known = [None if v is None else v[np.isin(v.view(U64), vocabulary)] for v in lists]
+                batch = batch.set_column(batch.schema.get_field_index(column), column, pa.array(known, pa.list_(pa.int64())))
+            yield batch
+
+    return run
+
+
 @dataclass
 class Rows:
     """Sparse indicator rows over a vocabulary: row i has the columns at[i] .. at[i + 1]."""

@@ -21,7 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classify import Model, Rows, class_share, crc_bucket, encode, filter_texts, labelled_sample, rows_over, score_texts, sigmoid, trimmed
+from .classify import Model, Rows, class_share, crc_bucket, encode, filter_texts, labelled_sample, rows_over, score_texts, sigmoid, trimmed, within
+from .scratch import Scratch
 from .words import U64, Words, mix
 
 SAMPLE = 4000
@@ -84,17 +85,19 @@ def swapped(terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Callable:
     return run
 
 
-def _select(names: list[np.ndarray], y: np.ndarray, limit: int) -> np.ndarray:
-    """The features that tell the classes apart best, sorted by name."""
-    vocabulary, inverse = np.unique(np.concatenate(names), return_inverse=True)
-    ones = np.bincount(inverse, np.repeat(y, [len(n) for n in names]), len(vocabulary))
-    total = np.bincount(inverse, minlength=len(vocabulary))
-    n, n1 = len(y), y.sum()
-    expected = total * n1 / n
-    spread = expected * (1 - n1 / n) * np.maximum(1 - total / n, 1e-9)
-    chi = (np.abs(ones - expected) - 0.5).clip(0) ** 2 / np.maximum(spread, 1e-9)
-    good = np.flatnonzero((total >= MIN_DOCS) & (chi >= CHI_SQUARE))
-    return vocabulary[np.sort(good[np.argsort(-chi[good], kind="stable")[:limit]])]
+def select_vocabulary(encoded: DataFrame, limit: int) -> np.ndarray:
+    """The features of `encoded` (y, and the distinct names f0 of each text) that tell the classes
+    apart best, sorted. They are counted on the executors; at most `limit` names are collected."""
+    n, n1 = encoded.agg(F.count("y"), F.sum("y")).first()
+    if not n1 or n1 == n:
+        return np.empty(0, U64)
+    counts = encoded.select("y", F.explode("f0").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("total"), F.sum("y").alias("ones"))
+    expected = F.col("total") * (n1 / n)
+    spread = expected * (1 - n1 / n) * F.greatest(1 - F.col("total") / n, F.lit(1e-9))
+    chi = F.pow(F.greatest(F.abs(F.col("ones") - expected) - 0.5, F.lit(0.0)), 2) / F.greatest(spread, F.lit(1e-9))
+    good = counts.select("name", "total", chi.alias("chi")).filter((F.col("total") >= MIN_DOCS) & (F.col("chi") >= CHI_SQUARE))
+    best = good.orderBy(F.desc("chi"), "name").limit(limit).select("name").toArrow()
+    return np.sort(best["name"].to_numpy().view(U64))
 
 
 def _minimise(x: Rows, d: Rows, e: Rows, y: np.ndarray, width: int, decay: float, fairness: float, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -129,11 +132,11 @@ def _minimise(x: Rows, d: Rows, e: Rows, y: np.ndarray, width: int, decay: float
     return w, b
 
 
-def fit(names: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, share: float, decay: float = 3e-5, fairness: float = 10.0) -> Model:
-    """The model of a sample; names[i] and twins[i] are the features of text i and of its twin."""
+def fit(vocabulary: np.ndarray, names: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, share: float, decay: float = 3e-5, fairness: float = 10.0) -> Model:
+    """The model of a sample over a sorted vocabulary; names[i] and twins[i] are the features of
+    text i and of its twin."""
     if len(set(y.tolist())) < 2:
         return Model(np.empty(0, U64), np.empty(0), None, 0.0, 0.0, float(np.log(share / (1 - share))))
-    vocabulary = _select(names, y.astype(float), VOCABULARY)
     d, e = (rows_over(vocabulary, [x[:0] if x is y else np.setdiff1d(x, y) for x, y in zip(*two, strict=True)]) for two in ((names, twins), (twins, names)))
     w, b = _minimise(rows_over(vocabulary, names), d, e, y.astype(float), len(vocabulary), decay, fairness)
     # the sample may hold more of label 1 than the corpus; a logistic score moves by the log odds
@@ -143,16 +146,20 @@ def fit(names: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, share:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
-    """Fits on a bounded sample of the labelled documents that `learn` allows."""
+    """Fits on a bounded sample of the labelled documents that `learn` allows. Of the sample only
+    what the vocabulary holds goes to the driver."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = labelled_sample(docs, labels, label, learn, sample)
-    encoded = picked.mapInArrow(encode([features, swapped(terms)], True), f"doc_id {kind}, y int, f0 array<long>, f1 array<long>")
-    rows = encoded.toArrow().sort_by("doc_id")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    schema = f"doc_id {kind}, y int, f0 array<long>, f1 array<long>"
+    encoded = scratch.keep(labelled_sample(docs, labels, label, learn, sample).mapInArrow(encode([features, swapped(terms)], True), schema), "sample")
+    vocabulary = select_vocabulary(encoded, VOCABULARY)
+    rows = encoded.mapInArrow(within(vocabulary, ("f0", "f1")), schema).toArrow().sort_by("doc_id")
+    scratch.drop("sample")
     names = [v.values.to_numpy().view(U64) for v in rows["f0"]]
     twins = [v.values.to_numpy().view(U64) if v.is_valid else name for v, name in zip(rows["f1"], names, strict=True)]
     y = rows["y"].to_numpy().astype(int)
     order = np.random.default_rng(3).permutation(len(y))
-    return fit([names[i] for i in order], [twins[i] for i in order], y[order], class_share(labels, label, learn))
+    return fit(vocabulary, [names[i] for i in order], [twins[i] for i in order], y[order], class_share(labels, label, learn))
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = 3, held: int = 1, cut: float = 0.7) -> DataFrame:
