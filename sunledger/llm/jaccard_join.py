@@ -276,7 +276,9 @@ class JaccardJoin:
         self.parts = sets.select("node", "level", F.explode("fragments").alias("x")).select("node", "level", "x.part", "x.elements")
 
     def count_overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Links among `pairs`: overlaps are counted per fragment and summed per pair."""
+        """Links among `pairs`, a written table: overlaps are counted per fragment and summed per
+        pair. The shuffle files by which the pairs were found go first."""
+        self.scratch.release()
         a = self.parts.select(F.col("node").alias("a"), "level", "part", F.col("elements").alias("ea"))
         b = self.parts.select(F.col("node").alias("b"), "level", "part", F.col("elements").alias("eb"))
         partial = pairs.join(a, ["a", "level"]).join(b, ["b", "level", "part"]).groupBy("a", "b", "size_a", "size_b", "part").agg(F.max(F.size(F.array_intersect("ea", "eb"))).alias("n"))
