@@ -518,6 +518,50 @@ def captured_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.captured_lists(docs).select("ord", "name", "developer", "capacity_mw")
 
 
+# Listed rows: every gate has rows that it alone rejects.
+
+LISTED = {
+    "name": "case p_partkey % 8 when 1 then concat(p_name, ' Plains') when 4 then 'PV 1' when 5 then concat('Our solar farm ', p_name) when 6 then concat(p_name, ' Solarium') else concat(p_name, ' Solar Farm') end",
+    "size": "case p_partkey % 8 when 3 then 'tba' else concat(p_size * 10, ' MW') end",
+    "note": "case p_partkey % 8 when 2 then 'Now operating' when 4 then 'solar' when 7 then 'PV' else 'scoping' end",
+}
+LISTED_SQL = "with t as (select p_partkey as ord, case when p_partkey % 8 <> 3 then (p_size * 10)::double end as mw, " + ", ".join(f"{v} as {k}" for k, v in LISTED.items()) + " from part)"
+LISTED_GATES_SQL = f"""(contains(lower(text), 'solar') or contains(lower(text), 'photovoltaic') or contains(lower(text), ' pv ')) and not {sql_any('text', P.EXCLUDE)} and mw is not null
+and length(name) >= 5 and not regexp_matches(name, '{NOISE_SQL}', 'i') and regexp_matches(concat(name, ' ', text), '\\b(?:solar|photovoltaic|pv)\\b', 'i')"""
+DAY_ONE = datetime.date(2024, 1, 1)
+
+
+def listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
+    return table(spark, sf_dir, "part"), [F.expr(LISTED[k]) for k in ("name", "size", "note")]
+
+
+@query(f"""{LISTED_SQL}, r as (select ord, 0 as table_pos, name, mw, concat(name, ' ', size, ' ', note) as text from t union all select ord, 1, name, mw, concat(name, ' ', note, ' ', size) from t)
+select ord, table_pos, name, mw as capacity_mw from r where {LISTED_GATES_SQL}""")
+def table_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the second table has no column of names
+    parts, (name, size, note) = listed(spark, sf_dir)
+    cells = lambda a, b, c: F.concat(F.lit("| "), a, F.lit(" | "), b, F.lit(" | "), c, F.lit(" |\n"))
+    text = F.concat(F.lit("| Project | Capacity | Stage |\n|---|---|---|\n"), cells(name, size, note), F.lit("\n| Site | Stage | Size |\n|---|---|---|\n"), cells(name, note, size))
+    return parsers.table_projects(_landed(parts, text), F.lit(DAY_ONE)).select("ord", "table_pos", "name", "capacity_mw")
+
+
+@query(f"""{LISTED_SQL}, r as (select ord, 0 as pos, name, mw, concat(name, ' - ', size, ' - ', note) as text from t union all select ord, 1, name, 7, concat(name, ' - 7 MW') from t)
+select ord, pos, name, mw as capacity_mw from r where {LISTED_GATES_SQL} qualify row_number() over (partition by ord, lower(name) order by pos) = 1""")
+def bullet_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the second bullet has the first one's name: it stays where a gate rejects the first
+    parts, (name, size, note) = listed(spark, sf_dir)
+    text = F.concat(F.lit("- **["), name, F.lit("](http://a)** - "), size, F.lit(" - "), note, F.lit("\n* "), name, F.lit(" - 7 MW\n"))
+    return parsers.bullet_projects(_landed(parts, text), F.lit(DAY_ONE)).select("ord", "pos", "name", "capacity_mw")
+
+
+@query(f"""{LISTED_SQL}, r as (select ord, name, mw, concat(name, ' ', size, ' ', note) as text from t) select ord, name, mw as capacity_mw from r where {LISTED_GATES_SQL}""")
+def captured_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, (name, size, note) = listed(spark, sf_dir)
+    row = F.create_map(F.lit("Project Name"), name, F.lit("Size"), size, F.lit("Stage"), note)
+    docs = parts.select(F.col("p_partkey").alias("ord"), F.create_map(F.lit("l"), F.array(row)).alias("lists"))
+    return parsers.captured_projects(docs, F.lit(DAY_ONE)).select("ord", "name", "capacity_mw")
+
+
 @query("""select p_partkey as ord, concat(p_name, ' Solar Farm ', p_size, ' MW') as name, case when p_size % 3 = 0 then 'NZ' else 'AU' end as country, p_brand as developer, p_size::double as capacity_mw
 from part where p_size >= 5 and p_size % 2 = 0""")
 def newsletter_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:

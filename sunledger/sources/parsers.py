@@ -116,8 +116,9 @@ def only_statistics(text: Column, before: int = 60, after: int = 80) -> Column:
 
 
 def markdown_tables(pages: DataFrame) -> DataFrame:
-    """Rows of pipe tables with a name and a capacity. Empty cells are dropped before columns are
-    counted, so cells after a blank move left."""
+    """Rows of pipe tables with a name (of the first cell, if no column is one of names) and a
+    capacity: candidates, which `table_projects` passes through the gates. Empty cells are dropped
+    before columns are counted, so cells after a blank move left."""
     table = r"(?m)((?:^[ \t]*\|[^\n]*\|[ \t]*(?:\n|\z)){2,})"
     df = pages.select("*", F.posexplode(_all(F.col("content"), table)).alias("table_pos", "table"))
     rows = F.filter(F.split(F.col("table"), r"\n"), lambda r: F.trim(r) != "")
@@ -129,17 +130,43 @@ def markdown_tables(pages: DataFrame) -> DataFrame:
         return F.get(hits, F.lit(0))
 
     df = df.withColumn("header", header).withColumns({"name_at": position("name|project|title|proponent"), "mw_at": position("capacity|mw|size|power")})
-    df = df.select("*", F.posexplode(rows).alias("pos", "row")).filter((F.col("pos") > 0) & ~F.col("row").rlike(r"^[\s|:\-]+\z") & F.col("name_at").isNotNull())
+    df = df.select("*", F.posexplode(rows).alias("pos", "row")).filter((F.col("pos") > 0) & ~F.col("row").rlike(r"^[\s|:\-]+\z"))
     df = df.withColumn("cells", cells(F.col("row"))).filter(F.size("cells") >= 2)
-    name = F.regexp_replace(F.regexp_replace(F.get("cells", F.col("name_at")), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]", "")
-    mw = F.coalesce(X.capacity(F.get("cells", F.col("mw_at"))), X.capacity(F.col("row")))
-    return df.withColumns({"name": F.trim(name), "capacity_mw": mw}).filter("name <> '' and capacity_mw is not null").select(
-        "source", "url", "ord", "table_pos", "pos", "name", "capacity_mw", F.col("row").alias("description")
+    name = F.regexp_replace(F.regexp_replace(F.coalesce(F.get("cells", F.col("name_at")), F.get("cells", F.lit(0))), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]", "")
+    text = F.array_join("cells", " ")
+    mw = F.coalesce(X.capacity(F.get("cells", F.col("mw_at"))), X.capacity(text))
+    return df.withColumns({"name": F.trim(name), "capacity_mw": mw, "text": text}).filter("name <> '' and capacity_mw is not null").select(
+        "source", "url", "ord", "table_pos", "pos", "name", "capacity_mw", F.col("row").alias("description"), "text"
     )
 
 
+def is_listed_project(name: Column, text: Column, capacity_mw: Column) -> Column:
+    """The row gates of listings: a capacity, some solar, nothing that already generates, a usable name."""
+    return F.coalesce(
+        X.mentions_solar(text) & ~X.has_any(text, X.P.EXCLUDE) & capacity_mw.isNotNull()
+        & (F.length(name) >= 5) & ~X.is_noisy_name(name) & X.has_solar_component(name, text),
+        F.lit(False),
+    )
+
+
+def _listed_projects(rows: DataFrame, today: Column, date_from: Column | None, date_to: Column | None) -> DataFrame:
+    """Rows (name, text, capacity_mw) through the gates and the window, with link and date of their text."""
+    df = rows.filter(is_listed_project(F.col("name"), F.col("text"), F.col("capacity_mw"))).withColumns({
+        "source_url": F.coalesce(_one(F.col("text"), r"\[.*?\]\((https?://[^)]+)\)"), F.col("url")),
+        "description": F.left("text", F.lit(500)), "_date": written_date(F.col("text")),
+    })
+    df = df.withColumn("announced_date", F.coalesce("_date", today))
+    return df.filter(date_gate(F.col("_date").isNotNull(), F.col("announced_date"), date_from, date_to)).drop("_date", "text")
+
+
+def table_projects(pages: DataFrame, today: Column, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
+    """Rows of pipe tables that are projects."""
+    return _listed_projects(markdown_tables(pages), today, date_from, date_to)
+
+
 def markdown_bullets(pages: DataFrame) -> DataFrame:
-    """Bullets with a capacity; of equal names in a page the first stays."""
+    """Bullets with a capacity; of equal names in a page the first stays. Candidates, without the
+    gates of `bullet_projects`."""
     df = explode_at(pages, _all(F.col("content"), r"(?m)^[*\-]\s+(.+)$"), "bullet")
     name = F.regexp_replace(F.regexp_replace("bullet", r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]", "")
     name = F.trim(F.regexp_replace(name, r"(?i)\s*[-–(,:]?\s*\d+(?:\.\d+)?\s*(?:mw|gw|megawatt|gigawatt).*\z", ""))
@@ -147,9 +174,24 @@ def markdown_bullets(pages: DataFrame) -> DataFrame:
     return keep_first(df.withColumn("_n", F.lower("name")), ["ord", "_n"], ["pos"]).select("source", "url", "ord", "pos", "name", "capacity_mw")
 
 
+def bullet_projects(pages: DataFrame, today: Column, date_from: Column | None = None, date_to: Column | None = None, captured: DataFrame | None = None) -> DataFrame:
+    """Bullets that are projects; of equal names in a page the first that passes stays, unless
+    `captured` (ord, name; what headings and tables of the page gave) has the name."""
+    df = explode_at(pages, _all(F.col("content"), r"(?m)^[*\-]\s+(.+)$"), "bullet").withColumn("text", F.trim("bullet"))
+    name = F.trim(F.regexp_replace(F.regexp_replace("text", r"\[([^\]]+)\]\([^)]+\)", "$1"), r"[*_`]", ""))
+    name = F.trim(F.regexp_replace(name, r"(?i)\s*[–\-]\s*\d[\d,.]*\s*(?:mw|gw|megawatt|gigawatt).*\z", ""))
+    name = F.trim(F.regexp_replace(name, r"(?i)\s*[–\-]\s*(?:under assessment|application|referred|approved|proposed|development|planning).*\z", ""))
+    df = df.withColumns({"name": name, "capacity_mw": X.capacity(F.col("text")), "_n": F.lower(name)})
+    df = _listed_projects(df, today, date_from, date_to)
+    if captured is not None:
+        df = df.join(captured.select("ord", F.lower("name").alias("_n")), ["ord", "_n"], "left_anti")
+    return keep_first(df, ["ord", "_n"], ["pos"]).select("source", "url", "ord", "pos", "name", "capacity_mw", "source_url", "description", "announced_date")
+
+
 def captured_lists(documents: DataFrame, lists: str = "lists") -> DataFrame:
     """Rows of captured lists (map of list name to rows of columns), joined values, and the value
-    of the first column whose name holds a word; a blank value hides later columns."""
+    of the first column whose name holds a word; a blank value hides later columns. Candidates,
+    without the gates of `captured_projects`."""
     df = documents.select("*", F.explode(lists).alias("list", "rows")).select("*", F.posexplode("rows").alias("pos", "row"))
 
     def column(words: str) -> Column:
@@ -157,8 +199,20 @@ def captured_lists(documents: DataFrame, lists: str = "lists") -> DataFrame:
         return F.nullif(F.trim(hit["value"]), F.lit(""))
 
     values = F.array_join(F.map_values("row"), " ")
-    fallback = F.get(F.filter(F.map_values("row"), lambda v: (F.length(v) > 5) & ~v.startswith("http") & ~v.rlike(r"^\d+\z")), F.lit(0))
-    return df.withColumns({"text": values, "name": F.coalesce(column("name|title|project"), fallback), "capacity_mw": X.capacity(values), "developer": column("developer|proponent|company")}).drop("rows", "row")
+    fallback = F.get(F.filter(F.map_values("row"), lambda v: (F.length(v) > 5) & ~v.startswith("http") & ~F.trim(v).rlike(r"^\d+\z")), F.lit(0))
+    return df.withColumns({"text": values, "name": F.coalesce(column("name|title|project"), fallback), "capacity_mw": X.capacity(values), "developer": column("developer|proponent|applicant|company|organisation|organization|operator|sponsor"), "row_url": F.coalesce(column("url|link|href|detail"), F.get(F.filter(F.map_values("row"), lambda v: v.startswith("http")), F.lit(0)))}).drop("rows", "row")
+
+
+def captured_projects(documents: DataFrame, today: Column, date_from: Column | None = None, date_to: Column | None = None, lists: str = "lists") -> DataFrame:
+    """Rows of captured lists that are projects. A row without a date counts as of today; `pv` is a
+    word here, wherever it stands."""
+    df = captured_lists(documents, lists).withColumn("name", F.trim(F.regexp_replace("name", r"\[([^\]]+)\]\([^)]+\)", "$1")))
+    df = df.filter(is_listed_project(F.col("name"), F.regexp_replace("text", "(?i)" + X.P.whole_word("pv"), " pv "), F.col("capacity_mw")))
+    found = _one(F.col("text"), r"(\d{4}-\d{2}-\d{2}|\d{1,2}[/\-]\d{1,2}[/\-]\d{4})")
+    date = F.coalesce(F.try_to_date(found, "yyyy-MM-dd"), F.try_to_date(F.replace(found, F.lit("/"), F.lit("-")), "M-d-yyyy"), today)
+    url = F.coalesce("row_url", "url") if "url" in documents.columns else F.col("row_url")
+    df = df.withColumns({"announced_date": date, "developer": F.coalesce("developer", X.developer(F.col("text"))), "source_url": url, "description": F.left("text", F.lit(600))})
+    return df.filter(date_gate(F.lit(True), F.col("announced_date"), date_from, date_to)).drop("row_url", "text")
 
 
 def embedded_projects(pages: DataFrame) -> DataFrame:

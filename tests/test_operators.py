@@ -114,6 +114,24 @@ def test_blank_cells_move_left(spark):
     assert (row["name"], row["capacity_mw"]) == ("Acme", 50.0)
 
 
+BAD_ROWS = [("Alpha Plains", "50 MW", "proposed"), ("Alpha Solar Farm", "50 MW", "commissioned"), ("Beta Solar Farm", "tba", "x"), ("PV 1", "9 MW", "solar"), ("Our solar farm", "9 MW", "x"), ("Gamma Solarium", "9 MW", "x")]
+
+
+def test_listed_rows_pass_the_gates(spark):
+    """Of tables, bullets and captured lists only rows through every gate and the window are projects."""
+    good, today = ("Delta Solar Farm", "50 MW", "2024-01-05"), F.lit(DAY)
+    rows = [*BAD_ROWS, good]
+    table = "| Site | Size | Note |\n|---|---|---|\n" + "".join(f"| {' | '.join(r)} |\n" for r in rows)
+    pages = spark.createDataFrame([("s", "u", 1, table + "\n" + "".join(f"* {' – '.join(r)}\n" for r in rows))], "source string, url string, ord long, content string")
+    docs = spark.createDataFrame([(1, "u", {"l": [dict(zip(("name", "size", "note"), r, strict=True)) for r in rows]})], "ord long, url string, lists map<string,array<map<string,string>>>")
+    found = parsers.table_projects(pages, today)
+    for df in (found, parsers.bullet_projects(pages, today), parsers.captured_projects(docs, today)):
+        assert [(r["name"], r["capacity_mw"], str(r["announced_date"])) for r in df.collect()] == [("Delta Solar Farm", 50.0, "2024-01-05")]
+    assert parsers.bullet_projects(pages, today, captured=found).count() == 0
+    late = F.lit(DAY + datetime.timedelta(9))
+    assert parsers.table_projects(pages, today, late).count() == parsers.bullet_projects(pages, today, late).count() == parsers.captured_projects(docs, today, late).count() == 0
+
+
 def test_page_limit(spark):
     pages = spark.createDataFrame([("p", i, n) for i, n in enumerate((200, 200, 13, 200))], "source string, page int, items int")
     assert sorted(r["page"] for r in parsers.page_limit(pages, 200).collect()) == [0, 1, 2]
