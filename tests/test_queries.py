@@ -44,3 +44,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_organisation_is_a_candidate(spark, sf_dir):
+    found = [int(r["contact_email"][1:].split("@")[0]) for r in catalogue.QUERIES["contact_top1"](spark, sf_dir).collect()]
+    assert any(n % 20 for n in found)
