@@ -27,7 +27,8 @@ class Fence:
     """A document fails above q75 + reach * spread (and, if `low`, below q25 - reach * spread).
 
     spread is q75 - q25 of the group, and at least `least`: where nearly all documents of a
-    group agree, small differences are still no fault.
+    group agree, small differences are still no fault. Where a base rule has a cutoff of its own,
+    reach * least has to lie well below it, or the fence never decides.
     """
 
     measure: str
@@ -39,8 +40,8 @@ class Fence:
 #: In shares and characters; see `measures`.
 FENCES = (
     Fence("symbol_share", 3.0, 0.015),
-    Fence("dup_line_share", 3.0, 0.15),
-    Fence("repeat_share", 3.0, 0.07),
+    Fence("dup_line_share", 3.0, 0.1),
+    Fence("repeat_share", 3.0, 0.05),
     Fence("mean_word_chars", 4.0, 1.0, low=True),
 )
 #: A source with fewer documents takes its language's thresholds, such a language the corpus's.

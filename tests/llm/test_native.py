@@ -46,6 +46,20 @@ def test_thresholds_follow_the_source(spark):
     assert all(kept[i] for i, *_ in plain + table) and not kept[900]
 
 
+def test_repeats_and_lines_have_fences(spark):
+    """Where nobody repeats, 17 % of repeated words or 40 % of repeated lines are too much, though the base rules pass them."""
+    plain = [(i, "\n".join(f"w{i}x{k} v{i}x{k} u{i}x{k}" for k in range(20)), "en", "plain") for i in range(200)]
+    words = [f"r{k}" for k in range(100)]
+    words[50:60] = words[:10]  # two windows of 10 words: 20 of 120
+    lines = [f"a{k} b{k}" if k % 5 < 3 else "home" for k in range(50)]
+    odd = [(900, " ".join(words + [f"s{k}" for k in range(20)]), "en", "plain"), (901, "\n".join(lines), "en", "plain")]
+    docs = spark.createDataFrame(plain + odd, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in apply_rules(spark, docs).collect()}
+    assert all(got[i]["kept"] for i, *_ in plain)
+    assert 0.15 < got[900]["repeat_share"] < 0.2 and 0.3 < got[901]["dup_line_share"] < 0.45 and got[901]["repeat_share"] == 0
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (900, 901))
+
+
 def targets(sizes, weights=(1, 2, 3)):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(order)}
