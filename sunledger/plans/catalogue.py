@@ -594,6 +594,27 @@ def snapshot_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("ord", F.get_json_object(parsers.decode_snapshot(F.col("content"), key), "$.p_name").alias("name"))
 
 
+# A scan from landed pages to new projects: parser, gates, date window, stored URLs, deduplication.
+
+
+@query(f"""{LISTED_SQL}, r as (select *, concat(name, ' ', size, ' ', note) as text, concat('https://x.example/', ord % 100) as url from t),
+e as (select r.*, coalesce(k.d, date '2024-01-01' + (ord % 30)::int) as eff, k.id from r left join
+  (select concat('https://x.example/', s_suppkey) as u, s_suppkey as id, date '2024-01-01' + (s_suppkey % 30)::int as d from supplier where s_suppkey % 3 = 0) k on k.u = r.url where {LISTED_GATES_SQL}),
+g as (select *, not (regexp_matches(name, 'wind\\b', 'i') or contains(lower(text), 'turbine')) as gate_ok from e),
+p as (select *, gate_ok and eff between date '2024-01-03' and date '2024-01-25' as passes from g)
+select ord, name, mw as capacity_mw, passes, case when coalesce(max(case when not gate_ok then 1 end) over b, 0) = 1 then 'barred' when id is not null then 'stored'
+when min(case when passes then ord end) over b is not null then 'created' else 'new' end as project_ref from p window b as (partition by url order by ord rows between unbounded preceding and 1 preceding)""")
+def scan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, (name, size, note) = listed(spark, sf_dir)
+    row = F.create_map(F.lit("Project Name"), name, F.lit("Size"), size, F.lit("Stage"), note)
+    docs = parts.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("https://x.example/"), F.col("p_partkey") % 100).alias("url"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 30).cast("int")).alias("day"), F.create_map(F.lit("l"), F.array(row)).alias("lists"))
+    found = gates.with_gates(parsers.captured_projects(docs, F.col("day")).withColumn("country", F.lit("AU")))
+    key = F.col("s_suppkey")
+    stored = table(spark, sf_dir, "supplier").filter(key % 3 == 0).select(F.concat(F.lit("https://x.example/"), key).alias("source_url"), key.alias("stored_id"), F.date_add(F.lit("2024-01-01").cast("date"), (key % 30).cast("int")).alias("stored_date"))
+    bound = lambda d: F.lit(d).cast("date")
+    return dedup.scan_dedup(found, stored, bound("2024-01-03"), bound("2024-01-25")).select("ord", "name", "capacity_mw", "passes", "project_ref")
+
+
 @query(f"""with d as (select id, name, developer, location, country, status, capacity_mw, announced_date from ({PROJECTS_SQL}) where {PERMANENT_SQL}) select developer, country, count(*) as n, sum(capacity_mw)::decimal(38,2) as capacity_mw, max(announced_date) as latest from d group by 1, 2""")
 def scan_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = projects(spark, sf_dir).filter(directory.permanent_filters())

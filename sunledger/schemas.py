@@ -40,6 +40,8 @@ EMBEDDED_PROJECTS = T.ArrayType(
         "owner string, location string, state string, status string, contact_name string, contact_phone string, contact_email string, updated_at string"
     )
 )
+#: Records of an encoded snapshot; a capacity may be a number or a text.
+SNAPSHOT_PROJECTS = T.ArrayType(struct("name string, category string, type string, subtype string, status string, capacity string, capacityRaw string, location string, state string, owner string"))
 PORTAL_REFERRAL = struct(
     "referralNumber string, epbcNumber string, projectTitle string, title string, projectName string, proposer string, proponent string, "
     "projectStatus string, referralStatus string, decisionStatus string, primaryJurisdiction string, state string, location string, "

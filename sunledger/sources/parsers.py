@@ -215,17 +215,32 @@ def captured_projects(documents: DataFrame, today: Column, date_from: Column | N
     return df.filter(date_gate(F.lit(True), F.col("announced_date"), date_from, date_to)).drop("row_url", "text")
 
 
-def embedded_projects(pages: DataFrame) -> DataFrame:
-    """Projects of a JSON array inside a page's script; a page whose array can't be read has none."""
+EARLY_TYPE = "in development|announced|planning|proposed"
+EARLY_STATUS = "in development|under development|announced|planning"
+
+
+def embedded_projects(pages: DataFrame, today: Column | None = None, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
+    """Projects in development of a JSON array inside a page's script, solar by their kind and not
+    known to be under 5 MW; a page whose array can't be read has none. A record without a date has
+    an earlier one than any bound, and `today` (null, if not given) as its announcement."""
     raw = _one(F.col("content"), r"(?s)var project\s*=\s*(\[.*?\]);\s*(?:var|//|\z)")
     df = pages.select("*", F.posexplode(F.from_json(raw, schemas.EMBEDDED_PROJECTS)).alias("pos", "p"))
     mw = F.nullif(F.regexp_extract("p.capacity", r"^\s*(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
     place = F.concat_ws(", ", F.nullif("p.location", F.lit("")), F.nullif("p.state", F.lit("")))
-    wanted = F.col("p.energy_id").isin(1, 4, 9) & (mw.isNull() | (mw >= 5))
+    kind, state = F.coalesce("p.type", F.lit("")), F.coalesce("p.status", F.lit(""))
+    early = F.lower(kind).rlike(EARLY_TYPE) | F.lower(state).rlike(EARLY_STATUS)
+    wanted = F.col("p.energy_id").isin(1, 4, 9) & (mw.isNull() | (mw >= 5)) & early
+    updated = F.left(F.coalesce("p.updated_at", F.lit("")), F.lit(10))
+    if date_from is not None:
+        wanted &= updated >= date_from.cast("string")
+    if date_to is not None:
+        wanted &= updated <= date_to.cast("string")
     return df.filter(wanted).select(
         "source", "url", "ord", "pos", F.col("p.project_name").alias("name"), F.col("p.description").alias("description"), mw.alias("capacity_mw"),
         F.coalesce(F.nullif("p.developer", F.lit("")), "p.owner").alias("developer"), F.nullif(place, F.lit("")).alias("location"),
-        F.left("p.updated_at", F.lit(10)).try_cast("date").alias("announced_date"),
+        F.when(F.col("p.country") == "NZ", "NZ").otherwise("AU").alias("country"),
+        F.when(kind == "In Development", "under_development").otherwise(X.status(F.concat_ws(" ", kind, state))).alias("status"),
+        (updated.try_cast("date") if today is None else F.coalesce(updated.try_cast("date"), today)).alias("announced_date"),
         F.when(X.valid_project_contact(F.col("p.contact_email"), F.coalesce("p.developer", "p.owner")), F.col("p.contact_email")).alias("contact_email"),
     )
 
@@ -265,6 +280,34 @@ def decode_snapshot(encoded: Column, key: bytes) -> Column:
     return F.when(F.length(encoded) > 0, F.decode(F.unhex(F.array_join(plain, "")), "UTF-8"))
 
 
+SNAPSHOT_STATUSES = ("Proposed", "Approved", "Committed", "Committed (FID)")
+
+
+def snapshot_projects(pages: DataFrame, key: bytes, today: Column, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
+    """Solar projects of encoded snapshots (a JSON array under a repeating key): energy, one of four
+    statuses, 5 MW or more, no wind; of equal names in a snapshot the first stays. Snapshots have no
+    dates of their own, so all count as of today. A snapshot that can't be read has none."""
+    df = pages.withColumn("_json", decode_snapshot(F.trim("content"), key))
+    df = df.select("*", F.posexplode(F.from_json("_json", schemas.SNAPSHOT_PROJECTS)).alias("pos", "p"))
+    field = lambda k: F.trim(F.coalesce(F.col(f"p.{k}"), F.lit("")))
+    mw = _one(F.col("p.capacity"), r"^\s*([+\-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+\-]?\d+)?)").cast("double")
+    df = df.withColumns({"name": field("name"), "capacity_mw": mw, "_about": F.concat_ws(" ", field("name"), field("type"), field("subtype")), "_n": F.lower(field("name"))})
+    wanted = (
+        (F.col("name") != "") & (field("category") == "Energy") & field("status").isin(*SNAPSHOT_STATUSES) & (F.col("capacity_mw") >= 5)
+        & X.has_solar_component(F.col("_about")) & ~X.is_wind(F.col("name"), F.col("_about")) & date_gate(F.lit(True), today, date_from, date_to)
+    )
+    df = keep_first(df.filter(wanted), ["ord", "_n"], ["pos"])
+    place = F.nullif(F.concat_ws(", ", F.nullif(field("location"), F.lit("")), F.nullif(field("state"), F.lit(""))), F.lit(""))
+    kind = F.concat(field("type"), F.when((field("subtype") != "") & (field("subtype") != field("type")), F.concat(F.lit(" — "), field("subtype"))).otherwise(""))
+    size = F.concat(F.coalesce("p.capacityRaw", F.regexp_replace(F.col("capacity_mw").cast("string"), r"\.0\z", "")), F.lit(" MW"))
+    return df.select(
+        "source", "ord", "pos", "name", "capacity_mw", F.concat_ws(" · ", F.nullif(kind, F.lit("")), field("status"), place, size).alias("description"),
+        F.nullif(field("owner"), F.lit("")).alias("developer"), place.alias("location"), F.lit("AU").alias("country"),
+        F.when(field("status") == "Proposed", "announced").otherwise("under_development").alias("status"),
+        F.concat("url", F.lit("#"), X.url_component(F.col("_n"))).alias("source_url"), today.alias("announced_date"),
+    )
+
+
 def answer_items(answers: DataFrame, schema: str, column: str = "content") -> DataFrame:
     """Items of a model's answer; an answer that can't be read has none."""
     return answers.select("*", F.posexplode(F.from_json(X.json_array(F.col(column)), f"array<struct<{schema}>>")).alias("pos", "item"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import datetime
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -132,6 +134,23 @@ def test_listed_rows_pass_the_gates(spark):
     assert parsers.table_projects(pages, today, late).count() == parsers.bullet_projects(pages, today, late).count() == parsers.captured_projects(docs, today, late).count() == 0
 
 
+def test_embedded_and_snapshot_projects(spark):
+    """Only early records inside the window; of a snapshot only energy, four statuses, 5 MW, solar, the first of a name."""
+    record = {"energy_id": 1, "project_name": "A", "type": "In Development", "status": "", "country": "NZ", "capacity": "50", "updated_at": "2024-01-05 01:00:00"}
+    records = [record, record | {"type": "Operating"}, record | {"project_name": "B", "type": "x", "status": "Planning", "updated_at": "2023-01-01 00:00:00"}]
+    pages = spark.createDataFrame([("s", "u", 1, f"<script>var project = {json.dumps(records)};\nvar x</script>")], "source string, url string, ord long, content string")
+    assert [(r["name"], r["country"], r["status"]) for r in parsers.embedded_projects(pages).collect()] == [("A", "NZ", "under_development"), ("B", "NZ", "announced")]
+    assert [r["name"] for r in parsers.embedded_projects(pages, F.lit(DAY), F.lit(DAY)).collect()] == ["A"]
+    good = {"name": " Alpha Solar ", "category": "Energy", "type": "Solar", "subtype": "BESS", "status": "Proposed", "capacity": 50, "location": "Dubbo", "state": "NSW"}
+    bad = ({"category": "Water"}, {"status": "Operating"}, {"capacity": 4}, {"capacity": None}, {"type": "Hydro", "subtype": "", "name": "Dam"}, {"name": "Solar Wind"}, {"name": ""})
+    items = [*(good | x for x in bad), good, good | {"name": "ALPHA SOLAR"}, good | {"name": "Beta PV", "status": "Committed (FID)", "capacity": "7.5"}]
+    coded = base64.b64encode(bytes(c ^ b"k3y"[i % 3] for i, c in enumerate(json.dumps(items).encode()))).decode()
+    pages = spark.createDataFrame([("s", "u", 1, coded)], "source string, url string, ord long, content string")
+    got = [(r["name"], r["capacity_mw"], r["status"], r["source_url"], r["description"]) for r in parsers.snapshot_projects(pages, b"k3y", F.lit(DAY)).orderBy("pos").collect()]
+    assert got == [("Alpha Solar", 50.0, "announced", "u#alpha%20solar", "Solar — BESS · Proposed · Dubbo, NSW · 50 MW"), ("Beta PV", 7.5, "under_development", "u#beta%20pv", "Solar — BESS · Committed (FID) · Dubbo, NSW · 7.5 MW")]
+    assert parsers.snapshot_projects(pages, b"k3y", F.lit(DAY), F.lit(DAY + datetime.timedelta(1))).count() == 0
+
+
 def test_page_limit(spark):
     pages = spark.createDataFrame([("p", i, n) for i, n in enumerate((200, 200, 13, 200))], "source string, page int, items int")
     assert sorted(r["page"] for r in parsers.page_limit(pages, 200).collect()) == [0, 1, 2]
