@@ -336,10 +336,14 @@ class JaccardJoin:
         self.scratch.release()
         return connected_components(links, self.scratch, "all")
 
+    def placed(self) -> DataFrame:
+        """`documents` with comp, null where there are no shingles."""
+        rows = self.documents.join(self.components(), "node", "left")
+        return rows.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
+
     def grouped(self) -> DataFrame:
         """`documents` with component_id, the smallest doc_id reachable by links."""
-        rows = self.documents.join(self.components(), "node", "left")
-        rows = rows.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
+        rows = self.placed()
         least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         return rows.join(least, "comp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
@@ -350,15 +354,16 @@ def component_of_documents(spark: SparkSession, docs: DataFrame, n: int = 3, per
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each group of linked documents, the one with the smallest doc_id.
-    Texts without shingles all stay."""
+    """`docs` with one row of each group of linked documents, the one with the smallest doc_id (null
+    last), then the smallest hash of its text. Texts without shingles all stay."""
     join = JaccardJoin(spark, docs, n, percent)
-    rows = join.grouped()
-    stays = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    chosen = rows.filter(stays).select(F.col("doc_id").alias("_jj_id"), F.col("text_key").alias("_jj_key"), (F.col("n_shingles") > 0).alias("_jj_once")).distinct()
-    chosen = join.scratch.keep(chosen, "chosen")
+    rows = join.placed()
+    named = lambda df, id_, key, once: df.select(F.col(id_).alias("_jj_id"), F.col(key).alias("_jj_key"), F.lit(once).alias("_jj_once"))
+    least = rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
+    bare = named(rows.filter("comp is null"), "doc_id", "text_key", False).distinct()
+    chosen = join.scratch.keep(named(least, "x.doc_id", "x.text_key", True).unionByName(bare), "chosen")
     key = F.xxhash64("text")
     kept = docs.withColumn("_jj_text", key).join(chosen, F.col("doc_id").eqNullSafe(F.col("_jj_id")) & (F.col("_jj_text") == F.col("_jj_key")))
-    # one row where a document is repeated, or where texts of one doc_id are linked
+    # one row where a document is repeated
     first = F.row_number().over(Window.partitionBy("doc_id", "_jj_text").orderBy(F.lit(0)))
     return kept.withColumn("_jj_row", first).filter(~F.col("_jj_once") | (F.col("_jj_row") == 1)).select(*docs.columns)

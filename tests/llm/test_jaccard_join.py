@@ -92,6 +92,18 @@ def test_keep_one(spark):
     assert keep_one_of_each(spark, edge.empty(spark)).count() == 0 == component_of_documents(spark, edge.empty(spark)).count()
 
 
+def test_keep_one_of_null_and_equal_ids(spark):
+    """Linked, different texts leave one row too where their ids are null or equal."""
+    rows = []
+    for group, ids in enumerate(((None, None, None), (7, 7, 7), (None, 9, 9), (3, None, 2))):
+        words = [f"g{group}w{k}" for k in range(200)]
+        rows += [(doc_id, " ".join(words[:150] + [f"end{group}x{i}"])) for i, doc_id in enumerate(ids)]
+    rows += [(None, ""), (None, ""), (7, "other words that are not linked to any")]
+    kept = keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = Counter((r["doc_id"], r["text"].split("w")[0]) for r in kept)
+    assert by == {(None, "g0"): 1, (7, "g1"): 1, (9, "g2"): 1, (2, "g3"): 1, (None, ""): 2, (7, "other "): 1}
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):
