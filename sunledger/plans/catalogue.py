@@ -276,6 +276,11 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html"), 1000).alias("body"))
 
 
+@query(f"select page_id, {TEXT_SQL} as body from pages")
+def html_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
+
+
 def _cells_sql(tag: str, out: str) -> str:
     return f"""select page_id, (i - 1)::int as pos, trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as {out}
 from (select page_id, unnest(regexp_extract_all(html, '{tag}', 1)) as x, generate_subscripts(regexp_extract_all(html, '{tag}', 1), 1) as i from pages)"""

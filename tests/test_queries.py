@@ -49,3 +49,8 @@ def test_entry(spark):
 def test_every_organisation_is_a_candidate(spark, sf_dir):
     found = [int(r["contact_email"][1:].split("@")[0]) for r in catalogue.QUERIES["contact_top1"](spark, sf_dir).collect()]
     assert any(n % 20 for n in found)
+
+
+def test_long_pages_keep_all_their_text(spark, sf_dir):
+    longest = max(len(r["body"]) for r in catalogue.QUERIES["html_text_whole"](spark, sf_dir).collect())
+    assert longest > 1000
