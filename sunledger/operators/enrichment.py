@@ -9,17 +9,31 @@ from ..functions import text as X
 from .dedup import keep_first
 
 
-def enrichment_groups(projects: DataFrame, order: str = "id", skip_urls: tuple[str, ...] = ()) -> DataFrame:
-    """Projects by developer (or alone, without one): their ids in order, the first known e-mail
-    domain or allowed source host, and the first contact name."""
+def _keyed(projects: DataFrame, order: str, skip_urls: tuple[str, ...]) -> DataFrame:
     key = F.coalesce(F.nullif(F.lower(F.trim("developer")), F.lit("")), F.concat(F.lit("id:"), F.col("id").cast("string")))
     domain = F.coalesce(F.nullif(X.email_domain(F.col("contact_email")), F.lit("")), X.developer_domain(F.col("source_url"), skip_urls))
-    rows = projects.select(key.alias("group_key"), F.col("id"), F.col(order).alias("_o"), domain.alias("domain"), F.nullif("contact_name", F.lit("")).alias("name"))
-    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("_o")))
-    return rows.groupBy("group_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_o", "id"))), lambda x: x["id"]).alias("project_ids"),
-        first("domain").alias("domain"), first("name").alias("existing_name"),
-    )
+    return projects.select(key.alias("group_key"), F.col("id"), F.col(order).alias("_o"), domain.alias("domain"), F.nullif("contact_name", F.lit("")).alias("name"))
+
+
+def _first(c: str) -> Column:
+    return F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("_o"))).alias(c)
+
+
+def enrichment_summary(projects: DataFrame, order: str = "id", skip_urls: tuple[str, ...] = ()) -> DataFrame:
+    """Projects by developer (or alone, without one): how many, the first id, the first known e-mail
+    domain or allowed source host, and the first contact name. All partial aggregates, so a group
+    may be any share of the table."""
+    return _keyed(projects, order, skip_urls).groupBy("group_key").agg(
+        F.count(F.lit(1)).alias("n_projects"), F.min(F.struct("_o", "id"))["id"].alias("first_project"), _first("domain"), _first("name")
+    ).withColumnRenamed("name", "existing_name")
+
+
+def enrichment_groups(projects: DataFrame, order: str = "id", skip_urls: tuple[str, ...] = ()) -> DataFrame:
+    """As `enrichment_summary`, with all ids of a group in order instead of count and first: one row
+    holds a whole group."""
+    return _keyed(projects, order, skip_urls).groupBy("group_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "id"))), lambda x: x["id"]).alias("project_ids"), _first("domain"), _first("name")
+    ).withColumnRenamed("name", "existing_name")
 
 
 def cascade(candidates: DataFrame, order: list[str]) -> DataFrame:

@@ -441,8 +441,7 @@ def enrichment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "click", F.concat(F.lit("a@host"), F.col("user_id") % 7, F.lit(".example"))).alias("contact_email"), F.lit(None).cast("string").alias("source_url"),
         F.when(F.col("event_type") == "view", F.concat(F.lit("n"), F.col("event_id") % 5)).alias("contact_name"),
     )
-    groups = enrichment.enrichment_groups(e)
-    return groups.select("group_key", F.size("project_ids").cast("long").alias("n_projects"), F.get("project_ids", F.lit(0)).alias("first_project"), "domain", "existing_name")
+    return enrichment.enrichment_summary(e)
 
 
 @query("""select o_custkey as group_key, o_orderkey as pos, case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end as phase from orders

@@ -96,6 +96,15 @@ def test_enrichment_groups(spark):
     assert got["acme"]["project_ids"] == [8, 9] and got["acme"]["domain"] == "acme.example" and got["acme"]["existing_name"] == "Jo"
 
 
+def test_enrichment_summary_gathers_no_groups(spark):
+    rows = [(i, f"dev{i % 3}" if i % 5 else "", f"a@h{i}.example" if i > 20 else None, None, f"n{i}" if i > 30 else "") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, developer string, contact_email string, source_url string, contact_name string").repartition(5)
+    got = enrichment.enrichment_summary(df)
+    want = {(r["group_key"], len(r["project_ids"]), r["project_ids"][0], r["domain"], r["existing_name"]) for r in enrichment.enrichment_groups(df).collect()}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_scan_projects_fallback(spark):
     projects = spark.createDataFrame([(1, 5.0, 1), (2, 0.0, 1), (3, 9.0, 2)], "id int, capacity_mw double, scan_id int")
     relations = spark.createDataFrame([(1, 1, 1, True), (2, 1, 1, False), (3, 1, 2, True)], "id int, scan_id int, project_id int, is_new boolean")
