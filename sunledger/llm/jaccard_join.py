@@ -1,23 +1,25 @@
 """Exact Jaccard join of shingle sets by vertical partitioning.
 
-Shingles have a global order (that of their 64-bit names), which cuts into fragments: contiguous
-ranges of it. Two sets with Jaccard similarity of at least p % differ in at most
-d = (100 - p) / (100 + p) * (|x| + |y|) elements, and an element lies in one fragment; so with more
-than d fragments one fragment at least is the same in both. The join
+Shingles have a global order (that of their 64-bit names, in which every range is as full as any
+other), which cuts into fragments: contiguous ranges of it. Two sets with Jaccard similarity of at
+least p % differ in at most d = (100 - p) / (100 + p) * (|x| + |y|) elements, and an element lies in
+one fragment; so with more than d fragments one fragment at least is the same in both. The join
 
-1. collapses equal sets to a node (128 bits; node is the first half) and writes a signature per
-   fragment, with so many fragments as the sizes at hand need;
+1. collapses equal sets to a node (64 bits; sets whose further 64 bits differ get nodes of their own)
+   and writes a signature per fragment, with so many fragments as the sizes at hand need;
 2. keeps signatures that two nodes share, and compares every node with one of its group, the
-   lead: a byte per fine fragment bounds the overlap from above; where it doesn't rule the pair out,
-   partial overlaps are counted fragment by fragment and summed per pair. What is linked becomes
-   one component, and while links are found there is a turn with other leads, in which only
-   nodes outside the lead's component are compared;
+   lead: a byte per fine fragment bounds the overlap from above; what it doesn't rule out is
+   counted vertically: every set is cut into the same FRAGMENTS fragments, the overlap of a pair is
+   counted in one fragment after the other and summed per pair, and a pair goes as soon as its sum
+   and what is left of its sets cannot reach p %. What is linked becomes one component, and while
+   links are found there is a turn with other leads, in which only nodes outside the lead's
+   component are compared;
 3. looks at what is left, all pairs of different components inside a group, in blocks of bounded
    size, in the same way.
 
 So copies cost nothing, tight clusters cost a link per member, and no link between components is
 lost. Sets whose fragments are so empty that step 1 could miss a partner add each shingle as a
-signature. Names are 64-bit hashes: different shingles share one with probability 2^-64 a pair.
+signature. Shingles are compared by 64-bit hashes: two that differ share one with probability 2^-64.
 
 Defined results: A-Z count as a-z; a text of fewer words than a shingle is one shingle; a text
 without words, or null, has no shingles and is linked with nothing; repeated rows are linked;
@@ -45,8 +47,8 @@ BLOCK = 256
 #: Turns of comparing groups with a lead, at most, and how many leads a set of nodes may get in one
 #: (the first turn has one).
 TURNS, LEADS = 3, 16
-#: Elements that a vertical fragment is meant to have where overlaps are counted.
-PART = 2048
+#: Vertical fragments of every set where overlaps are counted; each is shuffled on its own.
+FRAGMENTS = 4
 
 
 def size_limits(percent: int, top: int = 1 << 40) -> np.ndarray:
@@ -91,14 +93,19 @@ def _fragments(text: np.ndarray, name: np.ndarray, fragments: np.ndarray):
     return text[first], at[first], first, sums
 
 
-def _set_names(text: np.ndarray, name: np.ndarray, texts: int) -> np.ndarray:
+def _set_names(text: np.ndarray, name: np.ndarray, texts: int, seed: int = 0x1234567) -> np.ndarray:
     """A 64-bit name of each text's set (0 if empty)."""
     first = np.searchsorted(text, np.arange(texts + 1))
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(name ^ U64(0x1234567)))])
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(name ^ U64(seed)))])
     size = np.diff(first)
     return np.where(size > 0, mix((sums[first[1:]] - sums[first[:-1]]) ^ mix(size.astype(U64))), U64(0))
 
 
+def _nodes(text: np.ndarray, name: np.ndarray, texts: int) -> list[pa.Array]:
+    """Both halves of the sets' 128-bit names."""
+    return [pa.array(_set_names(text, name, texts, seed).view(np.int64)) for seed in (0x1234567, 0x7654321)]
+
+
 def _signatures(text: np.ndarray, name: np.ndarray, size: np.ndarray, percent: int):
     """(text, class, signature): one per non-empty fragment in the text's own size class, and in
     the next if a linked set could lie there."""
@@ -141,49 +148,50 @@ def _parse(n: int, percent: int) -> Callable:
                 at = pa.array(np.searchsorted(of[order], np.arange(texts + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (level[order].astype(np.int32), signature[order].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), block.column("text_key"), pa.array(size), pa.array(_set_names(text, name, texts).view(np.int64)), *lists],
-                    ["doc_id", "text_key", "n_shingles", "node", "levels", "signatures"],
+                    [block.column("doc_id"), block.column("text_key"), pa.array(size), *_nodes(text, name, texts), *lists],
+                    ["doc_id", "text_key", "n_shingles", "node", "more", "levels", "signatures"],
                 )
 
     return run
 
 
 def _sets(n: int, percent: int) -> Callable:
-    """Texts to their sets: in each size class that a set takes part in, its sketch and its
-    vertical fragments (one for each so many elements, ranges of the global order)."""
+    """Texts to their sets: a sketch for each size class that a set takes part in (its own and, if a
+    linked set could lie there, the next), and its vertical fragments, a column each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = size_limits(percent)
         for batch in batches:
             for block in blocks(batch, "text"):
+                texts = block.num_rows
                 text, name = shingle_sets(words_of(block.column("text"), lower=True), n)
-                first = np.searchsorted(text, np.arange(block.num_rows + 1))
-                node = _set_names(text, name, block.num_rows).view(np.int64)
-                rows: list[tuple] = []
-                parts: list[np.ndarray] = []
-                numbers: list[int] = []
-                ends = [0]
-                for i in np.flatnonzero(np.diff(first)):
-                    own_name = name[first[i] : first[i + 1]]
-                    size = len(own_name)
-                    own = int(np.searchsorted(limits, size, side="right")) - 1
-                    for level in (own, own + 1)[: 1 + (size * 100 >= percent * limits[own + 1])]:
-                        number = int(limits[level + 1]) // PART + 1
-                        at = ((own_name >> U64(32)) * U64(number)) >> U64(32)
-                        cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                        rows.append((int(node[i]), level, size, sketch(own_name, level, percent)))
-                        parts += np.split(own_name.view(np.int64), cut[1:])
-                        numbers += at[cut].tolist()
-                        ends.append(len(parts))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
-                fragments = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), lists], ["part", "elements"])
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
-                columns.append(pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), fragments))
-                yield pa.RecordBatch.from_arrays(columns, ["node", "level", "size", "sketch", "fragments"])
+                first = np.searchsorted(text, np.arange(texts + 1))
+                size = np.diff(first)
+                own = np.searchsorted(limits, np.maximum(size, 1), side="right") - 1
+                two: tuple[list, list] = ([], [])
+                for i in range(texts):
+                    mine = name[first[i] : first[i + 1]]
+                    two[0].append(sketch(mine, own[i], percent))
+                    two[1].append(sketch(mine, own[i] + 1, percent) if size[i] * 100 >= percent * limits[own[i] + 1] else None)
+                # elements are sorted within a text, so a fragment is a range of them
+                part = (name >> U64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
+                cut = np.searchsorted(text * FRAGMENTS + part, np.arange(texts * FRAGMENTS + 1)).astype(np.int32)
+                lists = []
+                for p in range(FRAGMENTS):
+                    a, b = cut[:-1][p::FRAGMENTS], cut[1:][p::FRAGMENTS]
+                    at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)), pa.array(name[at].view(np.int64))))
+                yield pa.RecordBatch.from_arrays(
+                    [*_nodes(text, name, texts), pa.array(size.astype(np.int32)), pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in two), *lists],
+                    ["node", "more", "size", "own", "look0", "look1", *(f"e{p}" for p in range(FRAGMENTS))],
+                )
 
     return run
 
 
+SETS = "node long, more long, size int, own int, look0 binary, look1 binary, " + ", ".join(f"e{p} array<long>" for p in range(FRAGMENTS))
+
+
 def _plausible(a: np.ndarray, b: np.ndarray, size_sum: np.ndarray, percent: int) -> np.ndarray:
     return (a != b).sum(-1) <= most_different(size_sum, percent)
 
@@ -244,46 +252,63 @@ class JaccardJoin:
     def __init__(self, spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90):
         self.spark, self.n, self.percent = spark, n, percent
         self.scratch = scratch = Scratch(spark, "jaccard")
+        scratch.release()
         self.texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
         kind = docs.schema["doc_id"].dataType.simpleString()
-        parsed = self.texts.mapInArrow(_parse(n, percent), f"doc_id {kind}, text_key long, n_shingles long, node long, levels array<int>, signatures array<long>")
-        parsed = scratch.keep(parsed, "parsed")
+        schema = f"doc_id {kind}, text_key long, n_shingles long, node long, more long, levels array<int>, signatures array<long>"
+        parsed = scratch.keep(self.texts.mapInArrow(_parse(n, percent), schema), "parsed")
+        # different sets of one node: some hundred among 1e11 sets, so this table is all but always empty
+        twice = parsed.groupBy("node").agg(F.min("more").alias("low"), F.max("more").alias("high")).filter("low < high").select("node", "low")
+        twice = parsed.select("node", "more").join(twice, "node").filter("more > low").select("node", "more").distinct()
+        self.renamed = scratch.keep(twice.select(F.col("node").alias("_node"), F.col("more").alias("_more"), F.xxhash64("node", "more").alias("_fresh")), "renamed")
+        parsed = self._with_nodes(parsed)
         self.documents = scratch.keep(parsed.select("doc_id", "text_key", "n_shingles", "node"), "documents")
         rows = parsed.select("node", F.explode(F.arrays_zip("levels", "signatures")).alias("x")).select("node", F.col("x.levels").alias("level"), F.col("x.signatures").alias("sig"))
         groups = rows.groupBy("sig").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("sig")
         groups = scratch.keep(groups, "groups")
-        scratch.release()
         shared = scratch.keep(rows.join(groups, "sig").groupBy("sig", "node").agg(F.first("level").alias("level")), "all-shared")
-        scratch.release()
+        scratch.drop("parsed", "groups")
         # near copies share dozens of signatures: of groups with the same members one is enough
         members = shared.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
         one = members.groupBy("x", "n", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
         self.shared = scratch.keep(shared.join(one, "sig", "left_semi"), "shared")
-        scratch.drop("all-shared", "parsed", "groups")
-        scratch.release()
+        scratch.drop("all-shared")
         self._keep_sets()
 
+    def _with_nodes(self, df: DataFrame) -> DataFrame:
+        """`df` (node, more and others) with node told apart where two sets shared it."""
+        both = (F.col("node") == F.col("_node")) & (F.col("more") == F.col("_more"))
+        return df.join(self.renamed, both, "left").withColumn("node", F.coalesce("_fresh", "node")).drop("more", "_node", "_more", "_fresh")
+
     def _keep_sets(self) -> None:
-        """Sketches and fragments of the nodes that share a signature, from one document each. A
-        repeated row may give its set twice; what follows counts pairs, so it doesn't matter."""
+        """Sketches and fragments of the nodes that share a signature, from one document each."""
         active = self.shared.select("node").distinct()
-        one = self.documents.join(active, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("x"))
+        # partial minima first: a node that a third of all rows share is one row then
+        one = self.documents.groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("x")).join(active, "node", "left_semi")
         one = one.select(F.col("x.text_key").alias("text_key"), F.col("x.doc_id").alias("_id"))
-        texts = self.texts.join(one, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
-        kind = "node long, level int, size int, sketch binary, fragments array<struct<part: int, elements: array<long>>>"
-        sets = self.scratch.keep(texts.mapInArrow(_sets(self.n, self.percent), kind), "sets")
-        self.sketches = sets.select("node", "level", "size", "sketch")
-        self.parts = sets.select("node", "level", F.explode("fragments").alias("x")).select("node", "level", "x.part", "x.elements")
+        # repeated rows give a text once
+        texts = self.texts.join(one, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("text_key").agg(F.first("text").alias("text")).select("text")
+        self.sets = self.scratch.keep(self._with_nodes(texts.mapInArrow(_sets(self.n, self.percent), SETS)), "sets")
+        looks = [self.sets.select("node", (F.col("own") + up).alias("level"), "size", F.col(f"look{up}").alias("sketch")) for up in (0, 1)]
+        self.sketches = looks[0].unionByName(looks[1].filter("sketch is not null"))
 
     def count_overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Links among `pairs`, a written table: overlaps are counted per fragment and summed per
-        pair. The shuffle files by which the pairs were found go first."""
-        self.scratch.release()
-        a = self.parts.select(F.col("node").alias("a"), "level", "part", F.col("elements").alias("ea"))
-        b = self.parts.select(F.col("node").alias("b"), "level", "part", F.col("elements").alias("eb"))
-        partial = pairs.join(a, ["a", "level"]).join(b, ["b", "level", "part"]).groupBy("a", "b", "size_a", "size_b", "part").agg(F.max(F.size(F.array_intersect("ea", "eb"))).alias("n"))
-        total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
-        return self.scratch.keep(total.filter(100 * F.col("n") >= self.percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b"), name)
+        """Links among `pairs` (a, b and their sizes, each pair once): overlaps are counted in one vertical
+        fragment after the other and summed per pair. What a fragment's turn shuffles is that fragment alone,
+        and pairs that cannot reach the limit any more are not in the next turn."""
+        state = pairs.select("a", "b", "size_a", "size_b", F.lit(0).alias("n"), F.col("size_a").alias("left_a"), F.col("size_b").alias("left_b"))
+        for p in range(FRAGMENTS):
+            part = [self.sets.select(F.col("node").alias(x), F.col(f"e{p}").alias(f"e_{x}")) for x in ("a", "b")]
+            met = state.join(part[1], "b").join(part[0], "a")  # the lead's, a, meets its partners last: once per lead
+            met = met.withColumns({
+                "n": F.col("n") + F.size(F.array_intersect("e_a", "e_b")),
+                "left_a": F.col("left_a") - F.size("e_a"), "left_b": F.col("left_b") - F.size("e_b"),
+            })
+            most = F.col("n") + F.least("left_a", "left_b")
+            met = met.filter(100 * most.cast("long") >= self.percent * (F.col("size_a").cast("long") + F.col("size_b") - most))
+            state = self.scratch.keep(met.select(*state.columns), f"{name}-{p}")
+            self.scratch.drop(f"{name}-{p - 1}")
+        return state.select("a", "b")
 
     def _rows(self, comps: DataFrame | None) -> DataFrame:
         """Members of shared signatures with their component (without components, themselves)."""
@@ -300,7 +325,7 @@ class JaccardJoin:
         leads = rows.groupBy("sig").agg(F.min(F.struct(luck, "node", "comp")).alias("x"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
         leads = leads.filter("_lo < _hi").select("sig", F.col("x.node").alias("lead"), F.col("x.comp").alias("lead_comp"))
         met = rows.join(leads, "sig").filter("comp <> lead_comp")
-        pairs = met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"), "level").distinct()
+        pairs = met.select(F.col("lead").alias("a"), F.col("node").alias("b"), "level").distinct()
         look = lambda x: self.sketches.select(F.col("node").alias(x), "level", F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         pairs = pairs.join(look("a"), ["a", "level"]).join(look("b"), ["b", "level"])
         pairs = self.scratch.keep(_once(pairs.mapInArrow(_filter_pairs(self.percent), PAIR)), f"star-pairs-{turn}")
@@ -329,11 +354,9 @@ class JaccardJoin:
             found, counted = self.star_links(comps, turn)
             links = found if links is None else links.unionByName(found)
             comps = connected_components(links, self.scratch, f"turn-{turn}")
-            self.scratch.release()
             if found.count() * 4 <= counted:  # what remains is mostly no link
                 break
         links = links.unionByName(self.other_links(comps))
-        self.scratch.release()
         return connected_components(links, self.scratch, "all")
 
     def placed(self) -> DataFrame:
@@ -345,6 +368,7 @@ class JaccardJoin:
         """`documents` with component_id, the smallest doc_id reachable by links."""
         rows = self.placed()
         least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        least = self.scratch.keep(least, "least")  # a plain table, so that a large component can be split in the join
         return rows.join(least, "comp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
@@ -362,6 +386,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent:
     least = rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
     bare = named(rows.filter("comp is null"), "doc_id", "text_key", False).distinct()
     chosen = join.scratch.keep(named(least, "x.doc_id", "x.text_key", True).unionByName(bare), "chosen")
+    join.scratch.drop_but("chosen")
     key = F.xxhash64("text")
     kept = docs.withColumn("_jj_text", key).join(chosen, F.col("doc_id").eqNullSafe(F.col("_jj_id")) & (F.col("_jj_text") == F.col("_jj_key")))
     # one row where a document is repeated

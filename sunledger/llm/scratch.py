@@ -5,14 +5,23 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting by which a query removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where the cluster names none (tests), a folder of our own."""
+    """The folder of `spark.checkpoint.dir`. Where it is unset, a session on one machine (tests) gets
+    a folder of its own; on a cluster there is no such folder that all could see."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sunledger-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -39,16 +48,36 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes `df` and returns the written table."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Writes `df` and returns the written table. The shuffle files of the write go with it: what
+        it read from stays as tables, so nothing needs them any more."""
+        with self._cleaned_up():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    @contextmanager
+    def _cleaned_up(self) -> Iterator[None]:
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
         for name in names:
             self._fs.delete(self._path(self.path(name)), True)
 
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        for status in self._fs.listStatus(self._path(self.root)):
+            if status.getPath().getName() not in names:
+                self._fs.delete(status.getPath(), True)
+
     def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
+        """Lets Spark's cleaner remove what plans of others (a stage before) left behind."""
         gc.collect()
         self.spark._jvm.System.gc()
