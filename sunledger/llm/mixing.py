@@ -1,23 +1,32 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
-Every document gets a rate r >= 0, its expected number of copies. Among all rates whose tokens
-meet each source's target, the ones nearest to 1 in relative entropy are wanted:
+Every document gets a rate r >= 0, its expected number of copies. Among all rates up to `cap` whose
+tokens meet each source's target, the ones nearest to 1 in relative entropy are wanted:
 
-    minimise  sum_i size_i (r_i log r_i - r_i + 1)   so that   sum_{i in s} size_i r_i = T_s.
+    minimise  sum_i w_i (r_i log r_i - r_i + 1)   so that   sum_{i in s} size_i r_i = T_s.
 
-The reference measure is the token, so a document's rate does not depend on its length. The
-dual is convex: with a multiplier per constraint the optimum is the exponential tilt
-r_i = exp(lambda_s), and Newton's step on the dual needs the tilted token mass alone. The mass is
-one distributed aggregate; as constraints of different sources share no document, the Hessian is
-diagonal and each source's iterations run in its own row, on all executors at once.
+The reference measure counts a document half as a document and half by its tokens,
+w_i = (m_s + size_i) / 2 with m_s the mean size of its source. The optimum is an exponential tilt
+with a multiplier for each token constraint and a coefficient for each document:
 
-Rates become whole copies: within a source, documents of similar size are ranked and rank k gets
-floor(k r) - floor((k - 1) r) copies, so copies are spread evenly and every run agrees. What is
-still missing is then made up by single copies of documents from ever smaller size classes.
+    r_i = min(cap, exp(lambda_s c_i)),   c_i = size_i / w_i = 2 size_i / (m_s + size_i).
 
-Defined results: a null text has size 0; documents of size 0 are taken 0 words; null is a source
-of its own, last in order; repeated rows are documents of their own; no document is copied more
-than `cap` times.
+So what a source gains or loses comes from its longer documents first, but no document is tilted
+more than twice as much as one of mean size, and short ones stay near one copy. The dual is convex
+and its Hessian diagonal, as constraints of different sources share no document. A Newton step is
+one distributed aggregate over all documents, which enter as exact counts by source and size; the
+multipliers are a table with a row per source, and steps that leave the known bracket are bisected.
+
+Rates become whole copies: floor(r) of them, and one more where u < r - floor(r), u a fixed draw from
+a hash of the document. As sources must meet their targets, the draws' level is moved a little:
+with v = u / (r - floor(r)) one more copy goes to those with v below the source's level, found from
+token counts in fine bins of v. What is still missing is made up by single copies of documents near that
+level, from ever smaller size classes. Nothing depends on how rows lie, so reruns agree.
+
+Defined results: a null text has size 0; documents of size 0 keep one copy and are taken 0 words;
+null is a source of its own, last in order; repeated rows are documents of their own (which of
+them gets how many copies is open, how often each number occurs is not); no document is copied more
+than `cap` times; a source whose target is `cap` times its size gives all documents `cap` copies.
 """
 
 from __future__ import annotations
@@ -27,10 +36,13 @@ from pyspark.sql import functions as F
 
 from .quality_rules import split_words
 from .scratch import Scratch
+from .sharding import number_within
 
-NEWTON_STEPS = 40
-#: Rows that one ranking task is meant to get.
-ROWS_PER_BUCKET = 2_000
+NEWTON_STEPS = 80
+#: A multiplier's bound on either side, and how near the tokens must come to the target, relatively.
+FAR, NEAR = 500.0, 1e-9
+#: Bins of v below 2 in which the level of a source is looked for.
+BINS = 1 << 16
 #: Documents of each size class that stand by to make up for rounding.
 SPARE = 4
 
@@ -58,107 +70,151 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...], cap: float) ->
     return df.withColumn("target", F.least(F.col("_cap"), F.coalesce(level * F.col("_w"), F.col("_cap")))).drop("_w", "_cap", "_left", "_wleft")
 
 
-def newton_rate(mass: Column, target: Column, steps: int = NEWTON_STEPS) -> Column:
-    """exp(lambda) at the minimum of the dual mass * exp(lambda) - target * lambda.
-
-    Gradient mass * e^l - target, curvature mass * e^l; steps upwards are cut to 1, as the full
-    step overshoots where the tilt is far too small. Converges quadratically.
-    """
-    def step(l: Column, _: Column) -> Column:
-        tilted = mass * F.exp(l)
-        return l - F.greatest((tilted - target) / F.greatest(tilted, F.lit(1e-300)), F.lit(-1.0))
-
-    multiplier = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return F.when((mass > 0) & (target > 0), F.exp(multiplier)).otherwise(F.lit(0.0))
+def tilted(lam: Column, size: Column, mean: Column, cap: int) -> tuple[Column, Column]:
+    """(rate, coefficient) of a document."""
+    c = 2 * size / (mean + size)
+    return F.when(size > 0, F.least(F.exp(lam * c), F.lit(float(cap)))).otherwise(F.lit(1.0)), c
+
+
+def newton_step(counts: DataFrame, state: DataFrame, cap: int) -> DataFrame:
+    """The next `state` (a row per source): the tokens and the curvature that its multipliers give,
+    summed over all documents, and Newton's step kept inside the bracket low .. high."""
+    joined = counts.join(state, counts["source"].eqNullSafe(state["s_source"]))
+    rate, c = tilted(F.col("lam"), F.col("size"), F.col("mean"), cap)
+    weight = F.col("n") * F.col("size") * rate
+    sums = joined.groupBy(*state.columns).agg(F.sum(weight).alias("mass"), F.sum(F.when(rate < cap, weight * c).otherwise(0.0)).alias("slope"))
+    over = F.col("mass") > F.col("target")
+    sums = sums.withColumns({"low": F.when(over, F.col("low")).otherwise(F.col("lam")), "high": F.when(over, F.col("lam")).otherwise(F.col("high"))})
+    newton = F.col("lam") - (F.col("mass") - F.col("target")) / F.col("slope")
+    inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
+    near = F.abs(F.col("mass") - F.col("target")) <= NEAR * F.col("target")
+    after = F.when(near, F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+    return sums.withColumns({"lam": after, "settled": near | (F.col("high") - F.col("low") < 1e-12)}).select(*state.columns)
+
+
+def multipliers(counts: DataFrame, weights: tuple[float, ...], cap: int, scratch: Scratch) -> DataFrame:
+    """(s_source, source_size, target, mean, lam) of each source, from `counts` (source, size, n)."""
+    totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs"))
+    state = source_targets(totals, weights, cap).select(
+        F.col("source").alias("s_source"), "source_size", "target", F.coalesce(F.col("source_size") / F.col("docs"), F.lit(1.0)).alias("mean"),
+        # at the cap, or without any tokens, there is nothing to solve
+        ((F.col("source_size") <= 0) | (F.col("target") >= cap * F.col("source_size"))).alias("settled"),
+    )
+    at = F.when(F.col("source_size") <= 0, F.lit(0.0)).when(F.col("settled"), F.lit(FAR)).otherwise(F.log(F.col("target") / F.col("source_size")))
+    state = scratch.keep(state.withColumns({"lam": at, "low": F.lit(-FAR), "high": F.lit(FAR)}), "newton-0")
+    for step in range(1, NEWTON_STEPS + 1):
+        if state.filter(~F.col("settled")).isEmpty():
+            break
+        # what is settled stays as it is
+        moved = newton_step(counts, state.filter(~F.col("settled")), cap)
+        state = scratch.keep(moved.unionByName(state.filter("settled")), f"newton-{step}")
+        scratch.drop(f"newton-{step - 1}")
+    return state.select("s_source", "source_size", "target", "mean", "lam", (F.col("target") >= cap * F.col("source_size")).alias("full"))
+
+
+def _numbered(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """`docs` with _mix_no: 0, and 1, 2, ... for further rows of the same key."""
+    again = docs.groupBy(F.col(key).alias("_mix_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mix_again")
+    again = scratch.keep(again, "again")
+    if again.isEmpty():
+        return docs.withColumn("_mix_no", F.lit(0).cast("long"))
+    same = F.col(key) == F.col("_mix_again")
+    rows = scratch.keep(docs.join(again, same, "left_semi"), "repeated")
+    return docs.join(again, same, "left_anti").withColumn("_mix_no", F.lit(0).cast("long")).unionByName(number_within(rows, key, [key], "_mix_no", scratch))
 
 
 def entropy_balance(
-    spark: SparkSession, docs: DataFrame, size: str, source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: int = 3
+    spark: SparkSession, docs: DataFrame, size: str, source: str, key: str, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3
 ) -> DataFrame:
-    """`docs` with source_size, target, rate and copies. Other columns stay as they are.
-
-    `docs` must be cheap to read: a written table.
-    """
+    """`docs` with _mix_size (of the source), _mix_target, _mix_rate and _mix_copies, all other columns as
+    they are. `key` is a 64-bit hash that tells documents apart. `docs` must be a written table."""
     scratch = Scratch(spark, "mix")
-    # a few columns with names of our own, so columns of the input cannot clash
-    mass = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.col(size)).cast("double").alias("source_size"))
-    targets = source_targets(mass, weights, cap).withColumn("rate", F.least(newton_rate(F.col("source_size"), F.col("target")), F.lit(float(cap))))
-    targets = scratch.keep(targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate")), "targets")
-
-    # size classes: powers of two; buckets cut what is large, by a hash of where a row lies
-    level = F.when(F.col(size) > 0, F.floor(F.log2(F.col(size)))).otherwise(F.lit(-1)).cast("int")
-    many = docs.count() // ROWS_PER_BUCKET + 1
-    place = F.monotonically_increasing_id()
-    rows = docs.withColumns({"_mix_class": level, "_mix_id": place}).withColumn("_mix_bucket", F.pmod(F.xxhash64("_mix_id"), F.lit(many)))
-    rows = scratch.keep(rows, "rows")
-    group = [F.col(source), F.col("_mix_class")]
-    counts = rows.groupBy(F.col(source).alias("_c_source"), F.col("_mix_class").alias("_c_class"), F.col("_mix_bucket").alias("_c_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_c_source", "_c_class").orderBy("_c_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("_c_source", "_c_class", "_c_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c_first"))
-    rank = F.row_number().over(Window.partitionBy(*group, "_mix_bucket").orderBy(F.col(size).desc(), "_mix_id"))
-    ranked = rows.withColumn("_mix_rank", rank).join(
-        firsts, F.col(source).eqNullSafe(F.col("_c_source")) & (F.col("_mix_class") == F.col("_c_class")) & (F.col("_mix_bucket") == F.col("_c_bucket"))
+    counts = scratch.keep(docs.groupBy(F.col(source).alias("source"), F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    solved = multipliers(counts, weights, cap, scratch).select(F.col("s_source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), "mean", "lam", "full")
+    solved = scratch.keep(solved, "solved")
+    rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(tilted(F.col("lam"), F.col(size), F.col("mean"), cap)[0])
+    draw = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("_mix_no"), F.lit(17)), 11) + 0.5) / float(1 << 53)
+    rated = _numbered(docs, key, scratch).join(solved, F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_rate", rate).drop("mean", "lam", "full")
+    whole = F.floor("_mix_rate").cast("int")
+    # rates within rounding of a whole number have nothing to draw
+    part = F.when((F.col("_mix_rate") - whole) * (whole + 1 - F.col("_mix_rate")) > 1e-9, F.col("_mix_rate") - whole)
+    rated = rated.withColumns({"_mix_whole": F.when(part.isNull(), F.round("_mix_rate")).otherwise(whole).cast("int"), "_mix_v": draw / part})
+    rated = scratch.keep(rated, "rated")
+
+    level = _levels(rated, source, size)
+    rounded = rated.join(level, F.col(source).eqNullSafe(F.col("_l_source")), "left").drop("_l_source")
+    above = F.col("_mix_v") - F.coalesce(F.col("_mix_level"), F.lit(1.0))  # below the level: one copy more
+    rounded = rounded.withColumns({"_mix_copies": F.col("_mix_whole") + F.when(above < 0, 1).otherwise(0), "_mix_off": F.coalesce(F.abs(above), F.lit(9.0))})
+    rounded = scratch.keep(rounded.drop("_mix_whole", "_mix_v", "_mix_level"), "rounded")
+    scratch.drop("rated")
+    fixes = scratch.keep(_corrections(rounded, source, size, key, cap), "fixes")
+    fixed = rounded.join(fixes, (F.col(key) == F.col("_fix_key")) & (F.col("_mix_no") == F.col("_fix_no")), "left")
+    fixed = fixed.withColumn("_mix_copies", (F.col("_mix_copies") + F.coalesce(F.col("_fix_by"), F.lit(0))).cast("int"))
+    return fixed.select(*docs.columns, "_mix_size", "_mix_target", "_mix_rate", "_mix_copies")
+
+
+def _levels(rated: DataFrame, source: str, size: str) -> DataFrame:
+    """(_l_source, _mix_level): v below which a document gets one copy more. Tokens are counted in bins of v;
+    the level is where they come to what the whole copies lack."""
+    bin_ = F.least(F.floor(F.col("_mix_v") * (BINS // 2)), F.lit(BINS)).cast("int")
+    bins = rated.groupBy(F.col(source).alias("_l_source"), bin_.alias("bin")).agg(
+        F.sum(F.when(F.col("_mix_v").isNotNull(), F.col(size))).alias("tokens"), F.sum(F.col("_mix_whole") * F.col(size)).alias("whole"), F.first("_mix_target").alias("target")
     )
-    rated = ranked.join(targets, F.col(source).eqNullSafe(F.col("_mix_source")))
-    # each class starts at half a step, so that roundings of different classes don't add up
-    at = F.col("_c_first") + F.col("_mix_rank")
-    copies = F.floor(at * F.col("_mix_rate") + 0.5) - F.floor((at - 1) * F.col("_mix_rate") + 0.5)
-    copies = F.when(F.col(size) > 0, F.least(F.greatest(copies, F.lit(0)), F.lit(cap))).otherwise(F.lit(0)).cast("int")
-    rounded = scratch.keep(rated.withColumn("_mix_copies", copies).drop("_c_source", "_c_class", "_c_bucket", "_c_first", "_mix_rank", "_mix_bucket"), "rounded")
-    scratch.drop("rows")
-
-    fixes = _corrections(rounded, source, size, cap).select(F.col("id").alias("_fix_id"), F.col("by").alias("_fix_by"))
-    return (
-        rounded.join(fixes, F.col("_mix_id") == F.col("_fix_id"), "left")
-        .withColumns({
-            "source_size": F.col("_mix_size").cast("long"), "target": F.col("_mix_target"), "rate": F.col("_mix_rate"),
-            "copies": (F.col("_mix_copies") + F.coalesce(F.col("_fix_by"), F.lit(0))).cast("int"),
-        })
-        .select(*docs.columns, "source_size", "target", "rate", "copies")
-    )
+    everyone = Window.partitionBy("_l_source")
+    upto = Window.partitionBy("_l_source").orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lack = F.col("target") - F.sum("whole").over(everyone)
+    bins = bins.withColumns({"lack": lack, "upto": F.sum(F.coalesce("tokens", F.lit(0))).over(upto)}).filter("bin is not null")
+    fits = F.when(F.col("upto") <= F.col("lack"), F.col("bin") + 1).otherwise(F.lit(0))
+    return bins.groupBy("_l_source").agg((F.max(fits) / (BINS // 2)).alias("_mix_level"))
 
 
-def _corrections(rounded: DataFrame, source: str, size: str, cap: int) -> DataFrame:
-    """(id, by): documents that get one copy more or less, so each source comes to its target.
+def _corrections(rounded: DataFrame, source: str, size: str, key: str, cap: int) -> DataFrame:
+    """(_fix_key, _fix_no, _fix_by): documents that get one copy more or less, so each source comes to its target.
 
-    Each source and size class names at most SPARE documents that can take one copy more, and as
-    many that can lose one. From large to small, those that still fit what is missing are taken;
-    what then remains is less than the smallest spare document.
+    Each source and size class (powers of two) names at most SPARE documents that can take one copy more,
+    and as many that can lose one, the nearest to the level. From large to small, those that still fit
+    what is missing are taken; what then remains is less than the smallest spare document.
     """
     taken = rounded.groupBy(F.col(source).alias("_s")).agg((F.first("_mix_target") - F.sum(F.col("_mix_copies") * F.col(size))).alias("missing"))
-    spare = []
+    entry = F.struct(F.col(size).cast("long").alias("size"), F.col(key).alias("key"), F.col("_mix_no").alias("no"), "by")
+    spare = None
     for by, able in ((1, F.col("_mix_copies") < cap), (-1, F.col("_mix_copies") > 0)):
-        few = F.slice(F.sort_array(F.array_agg(F.struct(F.col(size).cast("long").alias("size"), F.col("_mix_id").alias("id"), F.lit(by).alias("by"))), asc=False), 1, SPARE)
-        # narrowed down by a bucket's largest before any list is built
-        bucket = Window.partitionBy(F.col(source), "_mix_class", F.pmod("_mix_id", F.lit(64))).orderBy(F.col(size).desc(), "_mix_id")
-        some = rounded.filter(able & (F.col(size) > 0)).withColumn("_k", F.row_number().over(bucket)).filter(F.col("_k") <= SPARE)
-        spare.append(some.groupBy(F.col(source).alias("_s2"), "_mix_class").agg(few.alias("few")))
-    classes = spare[0].unionByName(spare[1])
-    lists = classes.groupBy("_s2").agg(F.sort_array(F.flatten(F.array_agg("few")), asc=False).alias("few"))
-    state = F.struct(F.lit(0.0).alias("done"), F.array().cast("array<struct<id:bigint,by:int>>").alias("picked"))
+        nearest = Window.partitionBy(F.col(source), F.floor(F.log2(F.col(size)))).orderBy("_mix_off", key, "_mix_no")
+        some = rounded.filter(able & (F.col(size) > 0)).withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= SPARE)
+        some = some.withColumn("by", F.lit(by)).select(F.col(source).alias("_s2"), entry.alias("e"))
+        spare = some if spare is None else spare.unionByName(some)
+    lists = spare.groupBy("_s2").agg(F.sort_array(F.collect_list("e"), asc=False).alias("few"))  # 2 * SPARE for each power of two
+    state = F.struct(F.lit(0.0).alias("done"), F.array().cast("array<struct<size:bigint,key:bigint,no:bigint,by:int>>").alias("picked"))
 
     def take(a: Column, x: Column) -> Column:
         left = F.col("missing") - a["done"]
-        fits = (F.signum(left) == x["by"]) & (x["size"] <= F.abs(left))
-        return F.when(fits, F.struct((a["done"] + x["size"] * x["by"]).alias("done"), F.array_append(a["picked"], F.struct(x["id"].alias("id"), x["by"].alias("by"))).alias("picked"))).otherwise(a)
+        fits = (F.signum(left) == x["by"]) & (x["size"] <= F.abs(left)) & ~F.exists(a["picked"], lambda p: (p["key"] == x["key"]) & (p["no"] == x["no"]))
+        return F.when(fits, F.struct((a["done"] + x["size"] * x["by"]).alias("done"), F.array_append(a["picked"], x).alias("picked"))).otherwise(a)
 
     joined = taken.join(lists, F.col("_s").eqNullSafe(F.col("_s2")))
     picked = joined.select(F.explode(F.aggregate("few", state, take)["picked"]).alias("p"))
-    return picked.select("p.id", "p.by")
+    return picked.select(F.col("p.key").alias("_fix_key"), F.col("p.no").alias("_fix_no"), F.col("p.by").alias("_fix_by"))
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """Per document: doc_id, size (words), source_size, target, rate, copies and taken (words)."""
+    """Per document: doc_id, source, size (words), source_size, target, rate, copies and taken (words)."""
     scratch = Scratch(spark, "mixdocs")
     body = F.coalesce(F.col("text"), F.lit(""))
-    sized = scratch.keep(docs.select("doc_id", "source", F.size(split_words(body)).cast("long").alias("size")), "sizes")
-    mixed = entropy_balance(spark, sized, "size", "source", weights, cap)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    key = F.xxhash64("doc_id", "source", "text")
+    sized = scratch.keep(docs.select("doc_id", "source", F.size(split_words(body)).cast("long").alias("size"), key.alias("_mix_key")), "sizes")
+    mixed = entropy_balance(spark, sized, "size", "source", "_mix_key", weights, cap)
+    return mixed.select(
+        "doc_id", "source", "size", F.col("_mix_size").cast("long").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_rate").alias("rate"),
+        F.col("_mix_copies").alias("copies"), (F.col("_mix_copies") * F.col("size")).cast("long").alias("taken"),
+    )
 
 
 def mix_corpus(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """`docs` with every document as often as the mix copies it; a document with no copies goes."""
+    """`docs` with every document as often as the mix copies it; a document with no copies goes. The input's
+    columns travel as one struct, so none of them can clash with those of the mix."""
     scratch = Scratch(spark, "mixcorpus")
-    sized = scratch.keep(docs.withColumn("_mix_words", F.size(split_words(F.coalesce(F.col("text"), F.lit("")))).cast("long")), "docs")
-    mixed = entropy_balance(spark, sized, "_mix_words", "source", weights, cap)
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    words = F.size(split_words(F.coalesce(F.col("text"), F.lit("")))).cast("long")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), words.alias("words"), F.col("source").alias("of"), F.xxhash64("doc_id", "source", "text").alias("key"))
+    mixed = entropy_balance(spark, scratch.keep(packed, "docs"), "words", "of", "key", weights, cap)
+    scratch.drop("docs")  # the mix has written its own
+    return mixed.filter("_mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select("row.*")

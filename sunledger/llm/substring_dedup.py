@@ -230,23 +230,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", win
     from pyspark.sql.pandas.types import to_arrow_schema
 
     scratch = Scratch(spark, "repeats")
+    scratch.release()
     docs = docs.drop(*ADDED.names)
     key = F.xxhash64(F.col(text)).alias("_key")  # a collision only merges two lists of true facts
     keyed = docs.select(key, F.col(text).alias("text"))
     symbols = scratch.keep(keyed.mapInArrow(_symbols(window), "_key long, sym long"), "symbols")
     shared = scratch.keep(symbols.groupBy("sym").count().filter("count > 1").select("sym"), "shared")
-    scratch.release()
     lists = symbols.join(shared, "sym").groupBy("_key").agg(F.collect_set("sym").alias("_shared"))
     windows = keyed.join(lists, "_key", "left").mapInArrow(_candidates(window), "_key long, name long, more int, n int")
     windows = scratch.keep(windows, "windows")
     scratch.drop("symbols", "shared")
-    scratch.release()
     repeated = scratch.keep(windows.groupBy("name", "more").agg(F.sum("n").alias("n")).filter("n > 1").select("name", "more"), "repeated")
-    scratch.release()
     found = windows.join(repeated, ["name", "more"]).groupBy(F.col("_key").alias("_sd_key")).agg(F.collect_set("name").alias("_repeated"))
     found = scratch.keep(found, "found")
     scratch.drop("windows", "repeated")
-    scratch.release()
     named = docs.withColumn("_sd_text", F.col(text)).join(found, F.xxhash64(F.col(text)) == F.col("_sd_key"), "left").drop("_sd_key")
     schema = T.StructType([*docs.schema.fields, *ADDED.fields])
     return named.mapInArrow(_remove(window, docs.columns, to_arrow_schema(schema)), schema)
@@ -254,10 +251,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", win
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` with repeated passages cut out of their texts. A text that loses nothing stays as it
-    is, one that loses words becomes its kept words; n_chars, where there is one, follows."""
-    cleaned = remove_repeats(spark, docs, "text", window)
-    cleaned = cleaned.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+    is, one that loses words becomes its kept words; n_chars, where there is one, follows. The other
+    columns travel as one struct, so none of them can clash with those of the operator."""
+    rest = [c for c in docs.columns if c != "text"]
+    cleaned = remove_repeats(spark, docs.select(F.struct(*(docs[c] for c in rest)).alias("row"), "text"), "text", window)
+    cut = F.col("n_removed") > 0
+    out = {c: F.col("row")[c] for c in rest}
+    out["text"] = F.when(cut, F.col("kept")).otherwise(F.col("text"))
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return cleaned.select(*(out[c].alias(c) for c in docs.columns))
