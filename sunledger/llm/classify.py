@@ -34,8 +34,9 @@ def crc_bucket(doc_id: Column, buckets: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
-    """(text, y): at most `per_class` labelled documents of each class among those that `learn`
-    (a condition on doc_id) allows, the first by a hash of doc_id, so reruns agree.
+    """(doc_id, text, y): at most `per_class` labelled documents of each class among those that `learn`
+    (a condition on doc_id) allows, the first by a hash of doc_id, so reruns agree. Of rows that share a
+    doc_id the text with the least hash counts, so the bound holds for rows too.
 
     The bound keeps the fit on one machine; it is the sample's size, not a cap on what is scored.
     """
@@ -45,7 +46,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         some = rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     # bounded: 2 * per_class ids
-    return docs.select("doc_id", F.col("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def class_share(labels: DataFrame, label: str, learn: Column) -> float:

@@ -9,7 +9,9 @@ n-grams are words, pairs of words, and runs of one to three word shapes. A shape
 is written (capitals, digits, symbols, closing marks, length) and whether it repeats its
 predecessor; so junk made of words never seen before is still known by its form.
 
-Fitted on at most 2 * SAMPLE labelled documents; scoring covers every whole text. Defined results:
+Fitted on at most 2 * SAMPLE labelled documents. The vocabulary is every n-gram that MIN_DOCS of them
+hold; it is counted on the executors, and of the sample only what the vocabulary holds goes to the
+driver. Scoring covers every whole text. Defined results:
 null and empty texts get the score of a text without words; with labels of one class only, or
 none, every score is the share of label 1; repeated rows get equal scores.
 """
@@ -20,13 +22,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classify import Model, calibrate, class_share, crc_bucket, encode, labelled_sample, ngram, rows_over, score_texts, trimmed
+from .classify import Model, calibrate, class_share, crc_bucket, encode, labelled_sample, ngram, rows_over, score_texts, trimmed, within
+from .scratch import Scratch
 from .words import U64, Words, mix
 
 #: Labelled documents of each class that the fit takes at most.
 SAMPLE = 3000
+#: An n-gram that fewer documents of the sample hold is not in the vocabulary.
 MIN_DOCS = 3
-VOCABULARY = 1 << 16
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>{}@~^=+_/\\")] = True
@@ -93,14 +96,10 @@ def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarra
     return w
 
 
-def fit(names: list[np.ndarray], y: np.ndarray, share: float, c: float = 1.0, smooth: float = 1.0) -> Model:
-    """The model of a sample: names[i] are the distinct n-grams of a document with label y[i]."""
+def fit(vocabulary: np.ndarray, names: list[np.ndarray], y: np.ndarray, share: float, c: float = 1.0, smooth: float = 1.0) -> Model:
+    """The model of a sample over a sorted vocabulary: names[i] are the distinct n-grams of a document with label y[i]."""
     if len(set(y.tolist())) < 2:
         return Model(np.empty(0, U64), np.empty(0), None, 0.0, 0.0, float(np.log(share / (1 - share))))
-    vocabulary, counts = np.unique(np.concatenate(names), return_counts=True)
-    often = np.flatnonzero(counts >= min(MIN_DOCS, len(y)))
-    often = np.sort(often[np.argsort(-counts[often], kind="stable")[:VOCABULARY]])
-    vocabulary = vocabulary[often]
     rows = rows_over(vocabulary, names)
     p, q = (smooth + rows.sum_rows((y == k).astype(float), len(vocabulary)) for k in (1, 0))
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -120,12 +119,18 @@ def fit(names: list[np.ndarray], y: np.ndarray, share: float, c: float = 1.0, sm
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> Model:
     """Fits on a bounded sample of the labelled documents that `learn` allows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = labelled_sample(docs, labels, label, learn, sample)
-    rows = picked.mapInArrow(encode([features], False), f"doc_id {kind}, y int, f0 array<long>").toArrow().sort_by("doc_id")
+    scratch = Scratch(docs.sparkSession, "quality")
+    schema = f"doc_id {kind}, y int, f0 array<long>"
+    encoded = scratch.keep(labelled_sample(docs, labels, label, learn, sample).mapInArrow(encode([features], False), schema), "sample")
+    least = min(MIN_DOCS, encoded.count())
+    often = encoded.select(F.explode("f0").alias("name")).groupBy("name").count().filter(F.col("count") >= least).select("name")
+    vocabulary = np.sort(often.toArrow()["name"].to_numpy().view(U64))
+    rows = encoded.mapInArrow(within(vocabulary, ("f0",)), schema).toArrow().sort_by("doc_id")
+    scratch.drop("sample")
     names = [v.values.to_numpy().view(U64) for v in rows["f0"]]
     y = rows["y"].to_numpy().astype(int)
     order = np.random.default_rng(3).permutation(len(y))  # doc_id must not decide who is held back
-    return fit([names[i] for i in order], y[order], class_share(labels, label, learn))
+    return fit(vocabulary, [names[i] for i in order], y[order], class_share(labels, label, learn))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = 4, held: int = 2, cut: float = 0.7) -> DataFrame:
