@@ -1,19 +1,24 @@
 """Quality rules with thresholds that follow each language and source, in DataFrame functions only.
 
-Fixed cutoffs suit one language or one crawl and fail the next. Here every measure is sketched
-(KLL, mergeable) per language and source; sketches of sources merge into those of their
-language and of the whole corpus, which serve groups too small to speak for themselves. A
-document passes when each of its measures lies inside the fences of its group.
+Fixed cutoffs suit one language or one crawl and fail the next. Here every measure is sketched per
+language and source: a sketch counts values in the cells of a fixed logarithmic grid, so its
+quantiles are off by 1 % of their value at most, sketches merge by adding counts, and as nothing is drawn
+at random, reruns agree. Sketches of sources merge into those of their language and of the whole
+corpus. A source's quantiles are blended with its language's, and those with the corpus's, by its
+number of documents n against PRIOR documents of the parent: n / (n + PRIOR) is its own. A document
+passes when each of its measures lies inside the fences of its group.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and
-sources form groups of their own; repeated rows count as often as they occur.
+sources form groups of their own; repeated rows count as often as they occur. The arrays of one
+text (words, hashes, windows) lie in one row, some 60 bytes a word: texts of tens of millions of
+words need executors to match.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -44,10 +49,11 @@ FENCES = (
     Fence("repeat_share", 3.0, 0.05),
     Fence("mean_word_chars", 4.0, 1.0, low=True),
 )
-#: A source with fewer documents takes its language's thresholds, such a language the corpus's.
-MIN_GROUP = 50
-#: KLL's k: rank errors of about 0.7 %.
-SKETCH_K = 400
+#: So many documents of the parent (language, corpus) weigh as much as the group's own.
+PRIOR = 50
+#: Cells of the sketches' grid grow by this factor; the cell of values up to 0 comes before all.
+GAMMA = 1.02
+ZERO = -1_000_000
 
 
 def split_words(text: Column) -> Column:
@@ -113,34 +119,43 @@ def measures(stats: DataFrame) -> DataFrame:
     })
 
 
-def sketch_groups(measured: DataFrame, fences: tuple[Fence, ...] = FENCES, k: int = SKETCH_K) -> DataFrame:
-    """One row per language and source: n and a KLL sketch of each measure. Partial sketches merge
-    before the shuffle, so a source with a third of all rows costs no more than any other."""
-    return measured.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(f.measure), k).alias(f.measure) for f in fences)
-    )
-
-
-def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, min_group: int = MIN_GROUP) -> DataFrame:
-    """Fences per language and source, from the narrowest level with at least `min_group` documents."""
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(f.measure)).alias(f.measure) for f in fences)]
-    levels = [
-        sketches,
-        sketches.groupBy("lang").agg(*merged),
-        sketches.agg(*merged),
-    ]
-    for level, (df, tag) in enumerate(zip(levels, ("s", "l", "c"), strict=True)):
-        keys = [c for c in ("lang", "source") if c in df.columns]
-        quantile = lambda f, q: F.kll_sketch_get_quantile_double(F.col(f.measure), F.lit(q))
-        levels[level] = df.select(
-            *(F.col(c).alias(f"{tag}_{c}") for c in keys), F.col("n").alias(f"{tag}_n"),
-            *(F.struct(quantile(f, 0.25).alias("a"), quantile(f, 0.75).alias("b")).alias(f"{tag}_{f.measure}") for f in fences),
-        )
-    source, lang, corpus = levels
+def cell(x: Column) -> Column:
+    """The grid's cell of a value."""
+    return F.when(x > 0, F.floor(F.log(x) / F.log(F.lit(GAMMA)))).otherwise(F.lit(ZERO)).cast("int")
+
+
+def value_of(at: Column) -> Column:
+    """The middle of a cell."""
+    return F.when(at == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), at + 0.5))
+
+
+def sketch_groups(measured: DataFrame, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
+    """(lang, source, measure, cell, n). Counts are added up before the shuffle, so a source with a third
+    of all rows costs no more than any other."""
+    entries = F.array(*(F.struct(F.lit(f.measure).alias("measure"), cell(F.col(f.measure)).alias("cell")) for f in fences))
+    rows = measured.select("lang", "source", F.explode(entries).alias("e")).select("lang", "source", "e.measure", "e.cell")
+    return rows.groupBy("lang", "source", "measure", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(sketches: DataFrame, keys: list[str], tag: str, fences: tuple[Fence, ...]) -> DataFrame:
+    """Per group of `keys`: {tag}_n documents and the quartiles {tag}_a_<measure>, {tag}_b_<measure>, from merged sketches."""
+    merged = sketches.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "measure")  # as many rows as a sketch has cells
+    merged = merged.withColumns({"upto": F.sum("n").over(group.orderBy("cell")), "all": F.sum("n").over(group)})
+    at = lambda f, q: F.min(F.when((F.col("measure") == f.measure) & (F.col("upto") >= q * F.col("all")), F.col("cell")))
+    found = [value_of(at(f, q)).alias(f"{tag}_{x}_{f.measure}") for f in fences for x, q in (("a", 0.25), ("b", 0.75))]
+    return merged.groupBy(*keys).agg(F.max("all").alias(f"{tag}_n"), *found).withColumnsRenamed({k: f"{tag}_{k}" for k in keys})
+
+
+def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, prior: int = PRIOR) -> DataFrame:
+    """Fences per language and source, from quantiles blended with those of language and corpus."""
+    source, lang, corpus = (quantiles(sketches, keys, tag, fences) for keys, tag in ((["lang", "source"], "s"), (["lang"], "l"), ([], "c")))
     both = source.join(lang, F.col("s_lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(corpus), F.lit(True))  # corpus is one row
+    own, of_lang = (F.col(f"{tag}_n") / (F.col(f"{tag}_n") + prior) for tag in ("s", "l"))
     out = [F.col("s_lang").alias("t_lang"), F.col("s_source").alias("t_source")]
     for f in fences:
-        q = F.when(F.col("s_n") >= min_group, F.col(f"s_{f.measure}")).when(F.col("l_n") >= min_group, F.col(f"l_{f.measure}")).otherwise(F.col(f"c_{f.measure}"))
+        parent = {x: of_lang * F.col(f"l_{x}_{f.measure}") + (1 - of_lang) * F.col(f"c_{x}_{f.measure}") for x in "ab"}
+        q = {x: own * F.col(f"s_{x}_{f.measure}") + (1 - own) * parent[x] for x in "ab"}
         reach = f.reach * F.greatest(q["b"] - q["a"], F.lit(f.least))
         out.append((q["b"] + reach).alias(f"max_{f.measure}"))
         if f.low:
@@ -149,7 +164,7 @@ def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, min_grou
 
 
 def apply_rules(
-    spark: SparkSession, docs: DataFrame, fences: tuple[Fence, ...] = FENCES, min_group: int = MIN_GROUP, min_words: int = 10, max_repeat_percent: int = 20
+    spark: SparkSession, docs: DataFrame, fences: tuple[Fence, ...] = FENCES, prior: int = PRIOR, min_words: int = 10, max_repeat_percent: int = 20
 ) -> DataFrame:
     """Per document: its base statistics, base_failed, and kept.
 
@@ -161,7 +176,7 @@ def apply_rules(
     stats = measures(base_statistics(docs.select("doc_id", "text", "lang", "source"))).drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     stats = scratch.keep(stats.withColumn("base_failed", failed), "stats")
-    limits = thresholds(scratch.keep(sketch_groups(stats.filter(~F.col("base_failed")), fences), "sketches"), fences, min_group)
+    limits = thresholds(scratch.keep(sketch_groups(stats.filter(~F.col("base_failed")), fences), "sketches"), fences, prior)
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     inside = F.lit(True)
     for f in fences:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import struct
 import zlib
 from collections import Counter
 
 import edge
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sunledger.llm.mixing import mix_corpus, mix_documents
@@ -36,6 +39,40 @@ def test_base_statistics(spark):
     assert apply_rules(spark, edge.empty(spark)).count() == 0
 
 
+def brute_kept(rows):
+    """`kept` from the sorted values of each group: a sketch's quantile is the cell of an exact one."""
+    stats = {i: base(t) + (len([x for x in (t or "").split("\n") if edge.words(x)]),) for i, t, _, _ in rows}
+    failed = {i: s[0] < 10 or 100 * s[4] > 20 * s[0] for i, s in stats.items()}
+    measured = {i: (s[2] / max(s[1], 1), s[3] / max(s[5], 1), s[4] / max(s[0], 1), s[1] / max(s[0], 1)) for i, s in stats.items()}
+
+    def quartiles(ids, m):
+        values = sorted(measured[i][m] for i in ids)
+        cells = [values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.75)]
+        return [0.0 if v <= 0 else 1.02 ** (math.floor(math.log(v) / math.log(1.02)) + 0.5) for v in cells]
+
+    good = [r for r in rows if not failed[r[0]]]
+    kept = {}
+    for i, _, lang, source in rows:
+        kept[i] = not failed[i]
+        groups = [[r[0] for r in good if r[2:] == (lang, source)], [r[0] for r in good if r[2] == lang], [r[0] for r in good]]
+        for m, (reach, least, low) in enumerate(((3, 0.015, False), (3, 0.1, False), (3, 0.05, False), (4, 1.0, True))):
+            if failed[i]:
+                continue
+            (sa, sb), (la, lb), (ca, cb) = (quartiles(g, m) for g in groups)
+            own, of_lang = (len(g) / (len(g) + 50) for g in groups[:2])
+            a, b = (own * s + (1 - own) * (of_lang * x + (1 - of_lang) * c) for s, x, c in ((sa, la, ca), (sb, lb, cb)))
+            far = reach * max(b - a, least)
+            kept[i] &= measured[i][m] <= b + far and (not low or measured[i][m] >= a - far)
+    return kept
+
+
+def test_kept_against_exact_quantiles(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    got = {r["doc_id"]: r["kept"] for r in apply_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    want = brute_kept(rows)
+    assert got == want and 0.5 < sum(want.values()) / len(want) < 1 and sum(not k for k in want.values()) > sum(not k and len(edge.words(r[1])) < 10 for k, r in zip(want.values(), rows, strict=True))
+
+
 def test_thresholds_follow_the_source(spark):
     """A source full of symbols keeps them; the same document in a plain source goes."""
     plain = [(i, " ".join(f"word{i}x{k}" for k in range(40)), "en", "plain") for i in range(200)]
@@ -96,7 +133,49 @@ def test_mixing_meets_targets_and_agrees(spark, sf_dir):
     one = mix_documents(spark, docs)
     by = one.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r["t"] - r["g"]) <= 0.1 * r["g"] for r in by)
-    assert sorted(one.select("doc_id", "taken").collect()) == sorted(mix_documents(spark, docs).select("doc_id", "taken").collect())
+    again = mix_documents(spark, docs.repartition(3)).select("doc_id", "copies")
+    assert sorted(one.select("doc_id", "copies").collect()) == sorted(again.collect())
+
+
+def test_mixing_tilts_documents(spark):
+    """Rates solve the entropy problem (checked against bisection), differ within a source, and their copies meet the targets within 1 %."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sources = {}
+    for r in mix_documents(spark, docs).collect():
+        sources.setdefault(r["source"], []).append(r)
+    for rows in sources.values():
+        size, target = [r["size"] for r in rows], rows[0]["target"]
+        mean = sum(size) / sum(s > 0 for s in size)
+        rate = lambda lam: [min(3.0, math.exp(lam * 2 * s / (mean + s))) if s else 1.0 for s in size]  # noqa: B023, E731
+        low, high = -500.0, 500.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(s * r for s, r in zip(size, rate(mid), strict=True)) > target else (mid, high)
+        assert all(abs(r["rate"] - x) < 1e-6 for r, x in zip(rows, rate(low), strict=True))
+        assert len({r["rate"] for r in rows}) > 10
+        assert abs(sum(r["taken"] for r in rows) - target) <= 0.01 * target
+
+
+def jump(key, shards):
+    """Lamping and Veach's loop, on the draws that the library takes."""
+    b, j, i = -1, 0, 0
+    while j < shards:
+        b = j
+        u = ((xx(key, i) >> 11) + 1) / (1 << 53)
+        j, i = math.floor(min((b + 1) / u, 1 << 52)), i + 1
+    return b
+
+
+def xx(key, i):
+    """Spark's xxhash64 of (long, int) with seed 42."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    return xxhash.xxh64_intdigest(struct.pack("<i", i), h)
+
+
+def test_jump_against_the_loop(spark):
+    keys = [0, 1, 7, 12345678901, -5]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", jump_shard(F.col("k"), 24).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == {k: jump(k, 24) for k in keys}
 
 
 def test_sharding(spark, tmp_path):
