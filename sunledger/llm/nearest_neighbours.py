@@ -2,14 +2,17 @@
 
 A vector is represented by the order of its nearest pivots: near vectors see the pivots in nearly
 the same order. Rows are dealt to segments by a hash of their id; a segment posts each of its
-vectors, with the rank, in the inverted file of each of its PREFIX nearest pivots. A query walks
-the files of its own nearest pivots and adds up, pivot by pivot, what the footrule distance of the
-two orders lacks to its maximum; the nearest share of each segment by footrule is reranked by
-exact inner product.
-
-Pivots are a bounded sample; every row is indexed. Queries meet segments in blocks of bounded
-size, so no task holds all queries or all rows. Equal vectors of a segment share one entry with
-all their ids, so a vector that a third of all rows repeat takes one place among the candidates.
+vectors, with the rank, in the inverted file of each of its PREFIX nearest pivots, an eighth of
+all. A query is routed to the files of its own nearest pivots alone and adds up, pivot by pivot, what
+the footrule distance of the two orders lacks to its maximum; a vector that shares none of them is
+not touched. Of each segment the nearest SHARE by footrule, and MORE for each neighbour asked for,
+are reranked by exact inner product: one law at every size.
+
+Pivots are a bounded sample; every row is indexed. Segments stay where they are and blocks of queries
+come to them, so no task holds all queries or all rows, and what is shuffled is each segment once and
+each query once for a segment. Equal vectors of a segment share one entry with all their ids, so a
+vector that a third of all rows repeat takes one place among the candidates. Every query asks every
+segment: the work grows with queries times rows, as with any index that leaves a share to rerank.
 
 Defined results: null ids and vectors that are null, zero, of another length than the pivots', or
 hold a null or non-finite component take no part; of several rows with one id the least vector
@@ -27,12 +30,13 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-PIVOTS = 256
-PREFIX = 128
-#: The share of a segment that is reranked, and the least number of it.
-SHARE = 0.2
-LEAST = 3000
-SEGMENT = 16_384
+PIVOTS = 512
+PREFIX = 64
+#: The share of a segment that is reranked, and how many more for each neighbour asked for.
+SHARE = 0.15
+MORE = 2
+#: Rows of a segment and queries of a block, about.
+SEGMENT = 8192
 QUERY_BLOCK = 1024
 
 
@@ -42,9 +46,12 @@ def usable(vector: Column, size: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == size) & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
 
 
-def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
-    """At most `pivots` distinct vectors, the first by a hash of their id: unit vectors."""
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).select("vector").toArrow()["vector"]
+def choose_pivots(rows: DataFrame, number: int, pivots: int) -> np.ndarray:
+    """At most `pivots` distinct vectors of `number` rows, the first by a hash of their id: unit vectors. A
+    threshold on the hash leaves a few times that many before any are gathered."""
+    share = min(1.0, (3 * pivots + 100) / max(number, 1))
+    luck = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+    few = rows.select("id", "vector", luck.alias("luck")).filter(F.col("luck") <= share).orderBy("luck", "id").limit(4 * pivots).select("vector").toArrow()["vector"]
     found = np.array([v.as_py() for v in few], np.float64).reshape(len(few), -1)
     if not len(found):
         return found
@@ -89,42 +96,44 @@ def _unpack(row: dict, prefix: str, size: int) -> tuple[np.ndarray, ...]:
     return v.reshape(n, size), o.reshape(n, -1), i, s
 
 
-def inverted_files(orders: np.ndarray, pivots: int) -> np.ndarray:
-    """A row for each pivot: how many places its rank in an entry's order leaves to the prefix.
-
-    0 stands for entries that are not posted under the pivot. As an order holds half of all
-    pivots, such a row is smaller than a list of entries with their ranks, and adds up faster."""
+def inverted_files(orders: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, entry, left): pivot p's file is at[p] .. at[p + 1], the entries that have p in their order, each
+    with how many places its rank leaves to the prefix."""
     n, prefix = orders.shape
-    files = np.zeros((pivots, n), np.uint16)
-    files[orders, np.arange(n)[:, None]] = prefix - np.arange(prefix)
-    return files
+    flat = orders.ravel()
+    by = np.argsort(flat, kind="stable")
+    return np.searchsorted(flat[by], np.arange(pivots + 1)), (by // prefix).astype(np.int32), (prefix - by % prefix).astype(np.int32)
 
 
-def footrule_scores(order: np.ndarray, files: np.ndarray) -> np.ndarray:
+def footrule_scores(order: np.ndarray, files: tuple[np.ndarray, np.ndarray, np.ndarray], entries: int) -> np.ndarray:
     """What the footrule distance to each entry lacks to its maximum, halved.
 
     With l(p) the places a pivot's rank leaves to the prefix (0 beyond it), the distance is
     sum |l(p) - l'(p)| = const - 2 sum min(l(p), l'(p)), and only shared pivots add to the sum."""
-    total, least = np.zeros(files.shape[1], np.int32), np.empty(files.shape[1], np.uint16)
-    for rank, p in enumerate(order):
-        total += np.minimum(files[p], np.uint16(len(order) - rank), out=least)
-    return total
+    at, entry, left = files
+    met = [slice(at[p], at[p + 1]) for p in order]
+    least = [np.minimum(left[m], len(order) - rank) for rank, m in enumerate(met)]
+    return np.bincount(np.concatenate([entry[m] for m in met]), np.concatenate(least), entries)
 
 
-def _search(size: int, pivots: int, k: int, share: float, least: int) -> Callable:
+def _search(size: int, pivots: int, k: int, share: float, more: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names if c not in ("at", "block")}
-                vectors, orders, ids, starts = _unpack(row, "", size)
-                files = inverted_files(orders, pivots)
-                wanted = min(len(vectors), max(least, int(np.ceil(share * len(vectors)))))
+                if batch.column("at")[i].as_py() != segment:  # blocks of one segment follow each other
+                    segment = batch.column("at")[i].as_py()
+                    vectors, orders, ids, starts = (x.copy() for x in _unpack(row, "", size))
+                    files = inverted_files(orders, pivots)
+                n = len(vectors)
+                wanted = min(n, int(np.ceil(share * n)) + more * (k + 1))
                 out: tuple[list, list, list] = ([], [], [])
                 queries, query_orders, query_ids, query_starts = _unpack(row, "q_", size)
                 for q, order, a, b in zip(queries, query_orders, query_starts[:-1], query_starts[1:], strict=True):
                     # equal footrules: the smaller id first, as entries are sorted by it
-                    near = -footrule_scores(order, files).astype(np.int64) * len(vectors) + np.arange(len(vectors))
-                    near = np.sort(np.argpartition(near, wanted - 1)[:wanted]) if wanted < len(vectors) else np.arange(len(vectors))
+                    near = np.arange(n) - footrule_scores(order, files, n).astype(np.int64) * n
+                    near = np.sort(np.argpartition(near, wanted - 1)[:wanted])
                     rough = vectors[near] @ q  # its last bits depend on where a row lies
                     if len(near) > k + 33:
                         near = near[np.argpartition(-rough, k + 32)[: k + 33]]
@@ -147,7 +156,7 @@ def _search(size: int, pivots: int, k: int, share: float, least: int) -> Callabl
 
 def nearest(
     spark: SparkSession, table: DataFrame, queries: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 20,
-    pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST,
+    pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, more: int = MORE, segment: int = SEGMENT,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows, other than itself, of each row for
     which `queries` (a condition on column `id`) holds."""
@@ -160,25 +169,27 @@ def nearest(
     size = size["n"]
     rows = rows.filter(usable(F.col("vector"), size)).groupBy("id").agg(F.min("vector").alias("vector"))
     rows = scratch.keep(rows, "rows")
-    found = choose_pivots(rows, pivots)
+    number = rows.count()
+    found = choose_pivots(rows, number, pivots)
     if not len(found):
         return spark.createDataFrame([], empty)
     prefix = min(prefix, len(found))
     shared = spark.sparkContext.broadcast(found)  # at most `pivots` vectors
 
-    def packed(df: DataFrame, per_group: int, name: str) -> DataFrame:
-        groups = df.count() // per_group + 1
-        placed = df.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-        return scratch.keep(placed.groupBy("at").applyInArrow(_pack(shared, prefix), PACKED), name)
-
-    segments = packed(rows, SEGMENT, "segments")
-    blocks = packed(rows.filter(queries), QUERY_BLOCK, "blocks")
-    numbers = segments.select("at")
-    # each block of queries goes to each segment; one row of bytes on either side
-    asked = blocks.select(F.col("at").alias("block"), *(F.col(p).alias(f"q_{p}") for p in PARTS))
-    count = numbers.count()
-    asked = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(max(count, int(numbers.agg(F.max("at")).first()[0] or 0) + 1) - 1))))
-    met = asked.join(segments, "at").repartition(max(2 * count, blocks.count() * count), "at", "block")
-    hits = met.mapInArrow(_search(size, len(found), k, share, least), "query_id long, vec_id long, score double")
+    count = number // segment + 1
+    segment_of = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+
+    def packed(df: DataFrame, at: Column, name: str) -> DataFrame:
+        return scratch.keep(df.withColumn("at", at).groupBy("at").applyInArrow(_pack(shared, prefix), PACKED), name)
+
+    segments = packed(rows, segment_of, "segments")
+    asked = rows.filter(queries)
+    many = asked.count() // QUERY_BLOCK + 1
+    asked = packed(asked, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(many)).cast("int"), "blocks")
+    # each block of queries comes to each segment, where that lies; one row of bytes on either side
+    asked = asked.select(F.col("at").alias("block"), *(F.col(p).alias(f"q_{p}") for p in PARTS))
+    asked = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    met = asked.repartition(count, "at").join(segments.repartition(count, "at"), "at").select("at", "block", *PARTS, *(f"q_{p}" for p in PARTS))
+    hits = met.mapInArrow(_search(size, len(found), k, share, more), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

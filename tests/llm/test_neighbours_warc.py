@@ -30,7 +30,7 @@ def test_recall_and_scores(spark):
     vectors[1000:3000] = vectors[7]  # a third is one vector
     ids = np.arange(6000)
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
-    rows = nearest(spark, df, F.col("id") % 20 == 0, least=1200).collect()
+    rows = nearest(spark, df, F.col("id") % 20 == 0).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -41,6 +41,22 @@ def test_recall_and_scores(spark):
     assert all(got[q] == want[q] for q in hot)  # ties go to the smaller ids
 
 
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1", "check_s"])
+def test_recall_with_default_parameters(spark, table):
+    """500, 2000 and 10256 nearly isotropic vectors (the last in two segments of more than 3000)."""
+    df = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").toArrow()
+    ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    got = {}
+    for r in nearest(spark, df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(ids, vectors, 20)
+    recall = np.mean([len(got[q] & {a for a, _ in want[q]}) / 20 for q in want])
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    print(table, len(ids), recall)
+    assert recall >= 0.93
+
+
 def test_odd_vectors(spark):
     good = [(i, [float(i), 1.0]) for i in range(5)]
     odd = [(20, None), (21, [0.0, 0.0]), (22, [1.0, None]), (23, [float("nan"), 1.0]), (24, [1.0]), (None, [1.0, 1.0]), (25, [float("inf"), 0.0]), (3, [3.0, 1.0])]
@@ -59,7 +75,7 @@ def test_footrule():
         np.put_along_axis(left, orders.astype(int), 6 - np.arange(6)[None], 1)
         mine = np.zeros(12, int)
         mine[order] = 6 - np.arange(6)
-        assert (2 * 21 - 2 * footrule_scores(order, files) == np.abs(left - mine).sum(1)).all()
+        assert (2 * 21 - 2 * footrule_scores(order, files, 40) == np.abs(left - mine).sum(1)).all()
 
 
 PAGES = [
