@@ -166,3 +166,26 @@ def whole_word(pattern: str) -> str:
 def any_of(literals: tuple[str, ...]) -> str:
     """An alternation of literals, for rlike."""
     return "|".join(x.replace(".", "\\.") for x in literals)
+
+#: Headers of an uploaded spreadsheet that stand for a field, in the order in which they are looked for.
+UPLOAD_HEADERS = {
+    "epbc_number": ("epbc number", "epbc no", "referral number", "epbc"),
+    "project_name": ("project", "project name", "title"),
+    "proponent": ("proposer", "proposer/approval holder", "proponent", "approval holder"),
+    "location": ("location",),
+    "industry_type": ("industry type", "industry"),
+    "referral_date": ("valid date", "referral date", "date referred", "referral started"),
+    "project_status": ("project status", "status"),
+    "state": ("primary jurisdiction", "jurisdiction", "state"),
+    "decision_status": ("decision status", "decision"),
+}
+#: Words in the titles of news cards.
+SOLAR_TITLES = ("solar", "pv", "photovoltaic", "hybrid solar", "solar farm", "solar park", "solar project", "solar and battery", "solar bess")
+#: Words that make a contact's name one of a team rather than of a person.
+NOT_ONE_PERSON = "team|group|office|crew|solar|renewables|energy"
+#: Market statistics near a capacity.
+STATISTIC = r"total (?:installed )?capacity|cumulative|pipeline of|combined capacity|nationwide|across australia|installed capacity"
+#: Kinds and states of embedded records that count as early, and states of snapshot records.
+EARLY_TYPE = "in development|announced|planning|proposed"
+EARLY_STATUS = "in development|under development|announced|planning"
+SNAPSHOT_STATUSES = ("Proposed", "Approved", "Committed", "Committed (FID)")

@@ -83,10 +83,19 @@ def developer(text: Column) -> Column:
     return F.coalesce(*(F.when(F.length(x).between(4, 59), x) for x in found))
 
 
+def technology_flags(name: Column, description: Column) -> dict[str, Column]:
+    """Whether each kind of technology is mentioned. Projected first, each pattern runs once a row."""
+    both = F.concat_ws(" ", _text(name), _text(description))
+    return {k: both.rlike("(?i)" + P.whole_word(v)) for k, v in P.TECHNOLOGY.items()}
+
+
 def technology(name: Column, description: Column) -> dict[str, Column]:
     """technology_type, relevance_status, is_solar and is_renewable of a referral."""
-    both = F.concat_ws(" ", _text(name), _text(description))
-    has = {k: both.rlike("(?i)" + P.whole_word(v)) for k, v in P.TECHNOLOGY.items()}
+    return technology_of(technology_flags(name, description))
+
+
+def technology_of(has: dict[str, Column]) -> dict[str, Column]:
+    """The same, from flags."""
     cases = [
         (has["solar"] & has["bess"], "Solar + BESS", "solar"), (has["solar"], "Solar", "solar"),
         (has["wind"] & has["bess"], "Wind + BESS", "wind"), (has["wind"], "Wind", "wind"), (has["bess"], "BESS", "bess"),
@@ -118,6 +127,24 @@ def emails(html: Column) -> Column:
     return F.transform(found, F.lower)
 
 
+def email_contexts(html: Column, around: int = 200) -> Column:
+    """Each address in the text of HTML, lower-cased, with the text up to `around` characters before and
+    after it. The text is cut at addresses; each piece keeps what is next to its address."""
+    text, address = strip_html(html), r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+    marked = F.regexp_replace(text, f"({address})", "\u0001$1\u0001")
+    pieces = F.split(marked, "\u0001")
+    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: i % 2 == 1)
+    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(p)))
+    bare = F.array_join(pieces, "")
+
+    def one(i: Column) -> Column:
+        begin, size = F.get(starts, i), F.length(F.get(pieces, i))
+        first = F.greatest(begin - around, F.lit(0))
+        return F.struct(F.lower(F.get(pieces, i)).alias("email"), F.substr(bare, first + 1, begin + size + around - first).alias("context"))
+
+    return F.transform(at, one)
+
+
 def person_name(context: Column) -> Column:
     """The first pair of capitalised words that isn't a known phrase."""
     pairs = F.regexp_extract_all(context, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]{1,20}\s+[A-Z][a-z]{1,25})(?![A-Za-z0-9_])"), F.lit(1))

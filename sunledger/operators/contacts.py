@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -26,6 +26,62 @@ def union_contacts(frames: list[DataFrame]) -> DataFrame:
     return keep_first(both, ["email"], ["_file", "ord"]).drop("_file")
 
 
+#: The columns of a contact file, each with its field.
+CONTACT_COLUMNS = {
+    "First Name": "first_name", "Middle Name": "middle_name", "Last Name": "last_name", "Organization Name": "organization_name",
+    "Organization Title": "organization_title", "E-mail 1 - Value": "email1", "E-mail 2 - Value": "email2",
+}
+
+
+def read_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """A contact file as text columns. Quoted commas and line feeds stay inside their field."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def contact_rows(raw: DataFrame) -> DataFrame:
+    """Contacts that a reload takes: cells trimmed, empty ones null, rows without any address gone."""
+    cell = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) if c in raw.columns else F.lit(None).cast("string")
+    rest = [c for c in raw.columns if c not in CONTACT_COLUMNS]
+    return raw.select(*rest, *(cell(c).alias(name) for c, name in CONTACT_COLUMNS.items())).filter("email1 is not null or email2 is not null")
+
+
+def reload_contacts(raw: DataFrame, order: str) -> DataFrame:
+    """The whole contact table anew, ids from 1 by `order` (the number of the row in its file)."""
+    rows = contact_rows(raw)
+    # a contact list is small; ids without gaps need its order in one place
+    return rows.withColumn("id", F.row_number().over(Window.orderBy(order)))
+
+
+def split_person(name: Column) -> tuple[Column, Column]:
+    """(first, last) of a contact's name at its first space; null for teams and for single words."""
+    full = F.trim(name)
+    at = F.instr(full, F.lit(" "))
+    one = (at > 1) & ~full.rlike(f"(?i){P.NOT_ONE_PERSON}")
+    return F.when(one, F.left(full, at - 1)), F.when(one, F.substr(full, at + 1))
+
+
+def with_fallback(projects: DataFrame, matches: DataFrame) -> DataFrame:
+    """New projects of a known developer without name and address of a contact take those of the developer's
+    best match; a phone is never taken. `matches` is what `match_contacts` gives."""
+    found = matches.select(F.col("developer").alias("_d"), F.col("contact_name").alias("_name"), F.col("contact_email").alias("_email"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    use = F.col("is_new") & blank("contact_email") & blank("contact_name") & ~blank("developer") & F.col("_email").isNotNull()
+    joined = projects.join(found, F.col("developer") == F.col("_d"), "left")
+    return joined.withColumns({"contact_name": F.when(use, F.col("_name")).otherwise(F.col("contact_name")), "contact_email": F.when(use, F.col("_email")).otherwise(F.col("contact_email"))}).select(*projects.columns)
+
+
+def first_companies(contacts: DataFrame, n: int = 50) -> DataFrame:
+    """The first `n` companies in alphabetical order."""
+    return contacts.select("company").distinct().orderBy("company").limit(n)
+
+
+def enrichment_counters(projects: DataFrame, updated: DataFrame, key: str = "id") -> DataFrame:
+    """checked (rows that needed a contact) and updated (rows among them that were written)."""
+    checked = projects.filter(needs_enrichment()).select(key)
+    both = checked.join(updated.select(F.col(key).alias("_u")).distinct(), F.col(key) == F.col("_u"), "left")
+    return both.agg(F.count(F.lit(1)).alias("checked"), F.count("_u").alias("updated"))
+
+
 def company_contacts(contacts: DataFrame) -> DataFrame:
     """Per normalised company: its addresses, in order, and the spellings of its name."""
     keyed = contacts.filter("company is not null and company <> ''").withColumn("company_key", X.company_key(F.col("company")))

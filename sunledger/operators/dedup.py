@@ -31,7 +31,9 @@ def scan_dedup(rows: DataFrame, stored: DataFrame | None, date_from: Column | No
     """
     known = rows.withColumn("source_url", F.nullif("source_url", F.lit("")))
     if stored is not None:
-        known = known.join(stored, "source_url", "left")
+        # rows without URL meet nothing; they stay out of the join, where they would be one key
+        none = known.filter("source_url is null").withColumns({c: F.lit(None).cast(stored.schema[c].dataType) for c in ("stored_id", "stored_date")})
+        known = known.filter("source_url is not null").join(stored.select("source_url", "stored_id", "stored_date"), "source_url", "left").unionByName(none)
     else:
         known = known.withColumns({"stored_id": F.lit(None).cast("long"), "stored_date": F.lit(None).cast("date")})
     known = known.withColumn("eff_date", F.coalesce("stored_date", "announced_date"))

@@ -21,6 +21,22 @@ def with_gates(records: DataFrame) -> DataFrame:
     return records.withColumn("gate_ok", gate_ok(F.col("name"), F.col("description"), F.col("country"), F.col("capacity_mw")))
 
 
+def scan_sources(branches: list[DataFrame]) -> DataFrame:
+    """Records of several sources as one scan sees them: with the source's number (`branch`), `ord` from
+    source, document and place in it, and gate_ok. Branches have ord, pos, name, description, capacity_mw,
+    source_url and announced_date; country defaults to AU."""
+    columns = ("ord", "pos", "name", "description", "capacity_mw", "source_url", "announced_date", "country")
+    parts = []
+    for i, df in enumerate(branches):
+        df = df if "country" in df.columns else df.withColumn("country", F.lit("AU"))
+        parts.append(df.select(F.lit(i).alias("branch"), *columns))
+    both = parts[0]
+    for df in parts[1:]:
+        both = both.unionByName(df)
+    # a document's number and the place in it have twelve digits together
+    return with_gates(both.withColumn("ord", F.col("branch").cast("long") * 10**12 + F.col("ord") * 1000 + F.col("pos")).drop("pos"))
+
+
 def date_gate(parsed: Column, date: Column, date_from: Column | None, date_to: Column | None) -> Column:
     """The parsers' window: an unread date fails as soon as there is a bound."""
     keep = F.lit(True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,114 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from .dedup import keep_first
+from .directory import search_filter
 
 #: What a portal sync changes in a known referral; a spreadsheet leaves the description alone.
 SYNC_UPDATES = ("project_status", "decision_status", "is_approved", "raw_description", "updated_at")
 UPLOAD_UPDATES = ("project_status", "decision_status", "is_approved", "updated_at")
 
 
+@dataclass(frozen=True)
+class ReferralQuery:
+    """What a visitor asks for. Any `approval` but approved and not_approved is ignored."""
+
+    search: str | None = None
+    state: str | None = None
+    technology: str | None = None
+    relevance: str | None = None
+    approval: str | None = None
+
+
+def referral_filter(query: ReferralQuery) -> Column:
+    keep = search_filter(query.search, ("project_name", "proponent", "epbc_number")) if query.search else F.lit(True)
+    for column, value in (("state", query.state), ("technology_type", query.technology), ("relevance_status", query.relevance)):
+        if value:
+            keep &= F.col(column) == value
+    if query.approval in ("approved", "not_approved"):
+        keep &= F.col("is_approved") == (query.approval == "approved")
+    return keep
+
+
+def referral_list(referrals: DataFrame, query: ReferralQuery) -> DataFrame:
+    """Oldest referral first, those without a date last; equal dates by number."""
+    return referrals.filter(referral_filter(query)).orderBy(F.col("referral_date").asc_nulls_last(), "epbc_number")
+
+
+def referral_meta(referrals: DataFrame) -> DataFrame:
+    """How many there are, and when one was last read."""
+    return referrals.agg(F.count(F.lit(1)).alias("total"), F.max("scraped_at").alias("last_scraped_at"))
+
+
+def technology_types(referrals: DataFrame) -> DataFrame:
+    """The kinds that a list shows, each once."""
+    return referrals.filter("technology_type <> ''").select("technology_type").distinct()
+
+
+def resolve_headers(headers: list[str], aliases: dict[str, tuple[str, ...]] = P.UPLOAD_HEADERS) -> dict[str, str]:
+    """The header of each field: of its aliases, in their order, the first that some header equals in any case."""
+    found = {}
+    for field, names in aliases.items():
+        for name in names:
+            hit = next((h for h in headers if h.strip().lower() == name), None)
+            if hit is not None:
+                found[field] = hit
+                break
+    return found
+
+
+def upload_rows(sheet: DataFrame, url_base: str, order: str = "ord") -> DataFrame:
+    """Referrals out of a spreadsheet's rows (read from CSV or Parquet, a column per header), with `valid`:
+    a row counts if its number holds a digit. Cells are trimmed, empty ones are null; a row without a
+    name is called by its number."""
+    at = resolve_headers([c for c in sheet.columns if c != order])
+    cell = lambda field: F.nullif(F.trim(F.col(f"`{at[field]}`").cast("string")), F.lit("")) if field in at else F.lit(None).cast("string")
+    number = F.coalesce(cell("epbc_number"), F.lit(""))
+    rows = sheet.select(
+        F.col(order), number.alias("epbc_number"), number.rlike("[0-9]").alias("valid"), F.coalesce(cell("project_name"), number).alias("project_name"),
+        *(cell(c).alias(c) for c in ("proponent", "location", "industry_type", "project_status", "state", "decision_status")), X.referral_date(cell("referral_date")).cast("string").alias("referral_date"),
+    )
+    kinds = X.technology(F.col("project_name"), F.lit(None).cast("string"))
+    return rows.withColumns(kinds | {
+        "is_approved": X.is_approved(F.col("project_status"), F.col("decision_status")), "size_mw": X.megawatts(F.col("project_name")),
+        "source_url": F.concat(F.lit(url_base), F.replace("epbc_number", F.lit("/"), F.lit("-"))),
+    })
+
+
+def upload_labels(rows: DataFrame, stored: DataFrame, key: str = "epbc_number", order: str = "ord") -> DataFrame:
+    """`rows` with `label`, as one row after another would have it: skipped (not valid), inserted (the
+    first of a number that isn't stored), updated."""
+    known = stored.select(F.col(key).alias("_known")).distinct()
+    first = rows.filter("valid").groupBy(key).agg(F.min(order).alias("_first")).join(known, F.col(key) == F.col("_known"), "left_anti").select(F.col("_first"))
+    labelled = rows.join(first, F.col(order) == F.col("_first"), "left")
+    return labelled.withColumn("label", F.when(~F.col("valid"), "skipped").when(F.col("_first").isNotNull(), "inserted").otherwise("updated")).drop("_first")
+
+
+def counters(labelled: DataFrame) -> DataFrame:
+    """new, updated, skipped and total of labelled rows."""
+    names = (("new_count", "inserted"), ("updated_count", "updated"), ("skipped", "skipped"))
+    return labelled.agg(*(F.count_if(F.col("label") == label).alias(name) for name, label in names), F.count(F.lit(1)).alias("total"))
+
+
+def year_bands(start: int = 2018, end: int = 2018) -> list[str]:
+    """Labels of the years that a search is split into; "all years" if there is none."""
+    return [str(y) for y in range(start, end + 1)] or ["all years"]
+
+
+def search_answers(items: DataFrame, order: list[str]) -> DataFrame:
+    """Referrals out of the items of many answers (epbc_number, project_name, proponent, state, status,
+    notice_date): the first of each trimmed number stays; capacity and technology are not taken over."""
+    named = items.withColumn("_key", F.trim(F.coalesce("epbc_number", F.lit("")))).filter("_key <> ''")
+    return keep_first(named, ["_key"], order).select(
+        F.col("epbc_number").alias("epbcNumber"), F.col("project_name").alias("projectName"), F.col("proponent").alias("proposer"), F.lit("Energy").alias("industryType"),
+        F.col("status").alias("projectStatus"), "state", F.col("state").alias("location"), F.col("notice_date").alias("referralDate"),
+    )
+
+
+def import_url(number: Column, detail_base: str, list_url: str) -> Column:
+    """A referral's page as the one-off import writes it: the number percent-encoded, or the list of all."""
+    return F.when(F.coalesce(number, F.lit("")) != "", F.concat(F.lit(detail_base), X.url_component(number))).otherwise(F.lit(list_url))
+
+
 def portal_records(pages: DataFrame, page: str = "page") -> DataFrame:
     """Rows of portal pages, whichever of four envelopes they come in."""
     some = F.coalesce(*(F.col(f"{page}.{k}") for k in ("content", "results", "items", "referrals")))
@@ -69,21 +172,27 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, updates: tuple[str,
 
 def import_labels(rows: DataFrame, known_names: DataFrame, number: str, name: str, status: str, order: str) -> DataFrame:
     """`rows` with `label`: no_name, skipped (by status), duplicate (of a stored name or of an
-    earlier row) or inserted, tested in this order."""
+    earlier row) or inserted, tested in this order. Rows without a name and skipped ones take no part in
+    joins, so they are no hot key; rows with equal `order` get equal labels."""
     key = F.lower(F.trim(F.coalesce(F.col(name), F.lit(""))))
-    known = known_names.select(F.lower(F.trim("name")).alias("_key")).distinct().withColumn("_known", F.lit(True))
-    tagged = rows.withColumns({"_key": key, "_skip": F.coalesce(F.col(status).isin(*P.SKIPPED_STATUSES), F.lit(False))}).join(known, "_key", "left")
-    usable = (F.col("_key") != "") & ~F.col("_skip") & F.col("_known").isNull()
-    first = keep_first(tagged.filter(usable), ["_key"], [order]).select(F.col(order).alias("_o"), F.lit(True).alias("_one"))
-    joined = tagged.join(first, F.col(order) == F.col("_o"), "left")
-    label = F.when(F.col("_key") == "", "no_name").when(F.col("_skip"), "skipped").when(F.col("_one"), "inserted").otherwise("duplicate")
-    return joined.withColumn("label", label).drop("_key", "_skip", "_known", "_o", "_one")
+    tagged = rows.withColumns({"_key": key, "_skip": F.coalesce(F.col(status).isin(*P.SKIPPED_STATUSES), F.lit(False))})
+    usable = (F.col("_key") != "") & ~F.col("_skip")
+    known = known_names.select(F.lower(F.trim("name")).alias("_known")).distinct()
+    first = tagged.filter(usable).groupBy("_key").agg(F.min(order).alias("_o")).join(known, F.col("_key") == F.col("_known"), "left_anti")
+    first = first.select(F.col("_key").alias("_k"), "_o")
+    named = tagged.filter(usable).join(first, (F.col("_key") == F.col("_k")) & (F.col(order) == F.col("_o")), "left")
+    named = named.withColumn("label", F.when(F.col("_o").isNotNull(), "inserted").otherwise("duplicate")).select(*rows.columns, "label")
+    rest = tagged.filter(~usable).withColumn("label", F.when(F.col("_key") == "", "no_name").otherwise("skipped")).select(*rows.columns, "label")
+    return named.unionByName(rest)
 
 
 def to_projects(referrals: DataFrame, projects: DataFrame, today: datetime.date) -> DataFrame:
-    """Referrals as new projects, without those whose URL is one already."""
+    """Referrals as new projects, without those whose URL is one already; of referrals with one URL the
+    first by number becomes a project, and those without URL all do."""
     urls = projects.filter("source_url is not null").select("source_url").distinct()
-    return referrals.join(urls, "source_url", "left_anti").select(
+    new = referrals.join(urls, "source_url", "left_anti")
+    new = keep_first(new.filter("source_url is not null"), ["source_url"], ["epbc_number"]).unionByName(new.filter("source_url is null"))
+    return new.select(
         F.col("project_name").alias("name"), F.col("raw_description").alias("description"),
         F.coalesce("size_mw", F.lit(0.0)).cast("decimal(10,2)").alias("capacity_mw"), F.col("proponent").alias("developer"),
         F.coalesce("location", "state").alias("location"), F.lit("AU").alias("country"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STALE = "Interrupted by a restart"
@@ -14,6 +14,26 @@ def latest(log: DataFrame, key: str = "run_id", order: str = "at") -> DataFrame:
     return log.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
 
 
+def run_label(run_id: Column) -> Column:
+    """RUN- and the number, with four digits at least."""
+    return F.format_string("RUN-%04d", run_id)
+
+
+def newest_first(scans: DataFrame) -> DataFrame:
+    """Scans, the one that began last first; of equal starts the later id."""
+    return scans.orderBy(F.col("started_at").desc(), F.col("id").desc())
+
+
+def new_first(projects: DataFrame, order: str) -> DataFrame:
+    """A scan's projects, new ones first, otherwise in their order."""
+    return projects.orderBy(F.col("is_new").desc(), order)
+
+
+def new_counts(relations: DataFrame) -> DataFrame:
+    """Per scan: how many of its projects were new."""
+    return relations.groupBy("scan_id").agg(F.count_if("is_new").alias("new_count"))
+
+
 def recover(runs: DataFrame, message: str = STALE) -> DataFrame:
     """Runs still marked as running when a session starts have failed."""
     stale = F.col("status") == "running"

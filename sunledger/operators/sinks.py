@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,17 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def update_by_key(stored: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """Given columns take the changes' values where there are any; others and other rows stay."""
-    new = changes.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in columns))
+def update_by_key(stored: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...], order: str | None = None, now: Column | None = None) -> DataFrame:
+    """Given columns take the changes' values where there are any; others and other rows stay. Of several
+    changes of a key the last by `order` counts (without `order`, the greatest of their values); changed
+    rows get `now` as updated_at, where the table has that column."""
+    value = F.struct(*columns)
+    new = changes.groupBy(F.col(key).alias("_k")).agg((F.max_by(value, order) if order else F.max(value)).alias("_new"))
     joined = stored.join(new, F.col(key) == F.col("_k"), "left")
-    return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(*stored.columns)
+    out = {c: F.coalesce(f"_new.{c}", c) for c in columns}
+    if "updated_at" in stored.columns and now is not None:
+        out["updated_at"] = F.when(F.col("_k").isNotNull(), now.cast(stored.schema["updated_at"].dataType)).otherwise(F.col("updated_at"))
+    return joined.withColumns(out).select(*stored.columns)
 
 
 def delete_by_key(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -108,11 +108,10 @@ def directory_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.stats_rows(projects(spark, sf_dir), directory.permanent_filters(), TODAY)
 
 
-@query("select p_partkey, p_name from part where p_name ilike '%r%d_' escape '\\' or p_brand ilike '%r%d_' escape '\\'")
+@query("select p_partkey, p_name from part where p_name ilike '%r_d%' or p_brand ilike '%r_d%'")
 def directory_search_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a visitor's % and _ are wildcards; the pattern is open at both ends
-    parts = table(spark, sf_dir, "part")
-    return parts.filter(F.col("p_name").ilike("%r%d_") | F.col("p_brand").ilike("%r%d_")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").filter(directory.search_filter("r_d", ("p_name", "p_brand"))).select("p_partkey", "p_name")
 
 
 @query("""select c_custkey, concat_ws(',', c_custkey::varchar, case when regexp_matches(label, '[,"\\n]') then concat('"', replace(label, '"', '""'), '"') else label end,
@@ -164,11 +163,11 @@ def keep_first_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_first(table(spark, sf_dir, "events"), ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")
 
 
-SYNTH_SQL = """select p_partkey, s_suppkey, concat(p_name, case p_size % 6 when 0 then ' Solar Farm and battery' when 1 then ' Wind Farm' when 2 then ' PV plant' when 3 then ' substation'
+SYNTH_SQL = """select p_partkey, p_partkey % 97 as s_suppkey, concat(p_name, case p_size % 6 when 0 then ' Solar Farm and battery' when 1 then ' Wind Farm' when 2 then ' PV plant' when 3 then ' substation'
 when 4 then ' Grain storage' else ' Plains' end) as name, concat(case p_size % 5 when 0 then 'Proposed ' when 1 then 'now generating ' when 2 then 'planning approval for ' when 3 then 'Solar ' else '' end,
 p_size * 10, case p_size % 4 when 0 then ' MW' when 1 then 'GW' when 2 then ' megawatt' else ',500 MW' end, case p_size % 3 when 0 then ' in NSW' when 1 then ' near USA' else ' Victoria' end,
-' by Alpha', case when s_suppkey % 2 = 0 then ' Energy' else ' Solar' end, '; turbine', p_size % 2) as body, case p_size % 4 when 0 then 'Not Approved' when 1 then 'Withdrawn' when 2 then 'Approval in force' end as state
-from part join supplier on p_partkey % 10 = s_suppkey % 10"""
+' by Alpha', case when p_partkey % 97 % 2 = 0 then ' Energy' else ' Solar' end, '; turbine', p_size % 2) as body, case p_size % 4 when 0 then 'Not Approved' when 1 then 'Withdrawn' when 2 then 'Approval in force' end as state
+from part"""
 
 
 def synth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +179,7 @@ def synth(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = F.when(size % n == i, F.lit(v)).otherwise(out)
         return out
 
-    rows = table(spark, sf_dir, "part").join(table(spark, sf_dir, "supplier"), F.col("p_partkey") % 10 == F.col("s_suppkey") % 10)
+    rows = table(spark, sf_dir, "part").withColumn("s_suppkey", F.col("p_partkey") % 97)
     name = F.concat("p_name", pick(6, " Solar Farm and battery", " Wind Farm", " PV plant", " substation", " Grain storage", " Plains"))
     body = F.concat(
         pick(5, "Proposed ", "now generating ", "planning approval for ", "Solar ", ""), size * 10, pick(4, " MW", "GW", " megawatt", ",500 MW"),
@@ -246,8 +245,9 @@ def _has(kind: str) -> str:
 when {_has('wind')} then 'Wind' when {_has('bess')} then 'BESS' when {_has('transmission')} then 'Transmission' when {_has('renewable')} then 'Renewable (unclassified)' else 'Unknown' end as technology_type,
 case when {_has('solar')} then 'solar' when {_has('wind')} then 'wind' when {_has('bess')} then 'bess' when {_has('transmission')} then 'transmission' else 'needs_review' end as relevance_status, {_has('renewable')} as is_renewable from t""")
 def classify_technology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = synth(spark, sf_dir)
-    kinds = X.technology(F.col("name"), F.col("body"))
+    flags = X.technology_flags(F.col("name"), F.col("body"))
+    t = synth(spark, sf_dir).withColumns({f"_{k}": v for k, v in flags.items()})  # each pattern once a row
+    kinds = X.technology_of({k: F.col(f"_{k}") for k in flags})
     return t.select("p_partkey", "s_suppkey", *(kinds[k].alias(k) for k in ("technology_type", "relevance_status", "is_renewable")))
 
 
@@ -476,7 +476,9 @@ def title_rank_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, (props->>'$.k')::int as k from events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    # as the items of a model's answer, prose and fences around them
+    answers = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Here it is:\n```json\n["), "props", F.lit("]\n```\n")).alias("content"))
+    return parsers.answer_items(answers, "k int").select("event_id", "item.k")
 
 
 @query("""select user_id, arg_max(event_type, event_id) as status, max(event_id) as at from events group by 1""")
@@ -620,6 +622,6 @@ def scan_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with d as (select id, name, developer, location, country, status, capacity_mw, announced_date from ({PROJECTS_SQL}) where {PERMANENT_SQL}) select developer, country, count(*) as n, sum(capacity_mw)::decimal(38,2) as capacity_mw, max(announced_date) as latest from d group by 1, 2""")
-def scan_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = projects(spark, sf_dir).filter(directory.permanent_filters())
     return rows.groupBy("developer", "country").agg(F.count(F.lit(1)).alias("n"), F.sum("capacity_mw").cast("decimal(38,2)").alias("capacity_mw"), F.max("announced_date").alias("latest"))

@@ -98,9 +98,6 @@ def markdown_sections(pages: DataFrame) -> DataFrame:
     return df.filter(keep).select("source", "url", "ord", "pos", "name", "capacity_mw", link.alias("source_url"), F.left("section", F.lit(500)).alias("description"), written_date(F.col("section")).alias("announced_date"))
 
 
-STATISTIC = r"total (?:installed )?capacity|cumulative|pipeline of|combined capacity|nationwide|across australia|installed capacity"
-
-
 def only_statistics(text: Column, before: int = 60, after: int = 80) -> Column:
     """Whether every capacity in a text stands near a phrase of market statistics.
 
@@ -109,10 +106,13 @@ def only_statistics(text: Column, before: int = 60, after: int = 80) -> Column:
     figure = r"(?i)\d+(?:\.\d+)?\s*(?:mw|gw|megawatt|gigawatt)"
     marked = F.regexp_replace(text, f"({figure})", "\u0001$1")
     pieces = F.split(marked, "\u0001")
-    around = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.concat(
-        F.right(F.array_join(F.slice(pieces, F.lit(1), i), ""), F.lit(before)), F.left(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), ""), F.lit(after)),
-    ))
-    return text.rlike(f"(?i){STATISTIC}") & text.rlike(figure) & F.forall(around, lambda a: a.rlike(f"(?i){STATISTIC}"))
+    # what stands before a figure and after its start, of which at most so many characters are kept: linear in the text
+    step = lambda keep, side: lambda a, p: F.array_append(a, side(F.concat(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), p), F.lit(keep)))
+    none = F.array().cast("array<string>")
+    heads = F.aggregate(pieces, none, step(before, F.right))
+    tails = F.reverse(F.aggregate(F.reverse(pieces), none, lambda a, p: F.array_append(a, F.left(F.concat(p, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))), F.lit(after)))))
+    around = F.transform(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda i: F.concat(F.get(heads, i), F.coalesce(F.get(tails, i + 1), F.lit(""))))
+    return text.rlike(f"(?i){X.P.STATISTIC}") & text.rlike(figure) & F.forall(around, lambda a: a.rlike(f"(?i){X.P.STATISTIC}"))
 
 
 def markdown_tables(pages: DataFrame) -> DataFrame:
@@ -215,10 +215,6 @@ def captured_projects(documents: DataFrame, today: Column, date_from: Column | N
     return df.filter(date_gate(F.lit(True), F.col("announced_date"), date_from, date_to)).drop("row_url", "text")
 
 
-EARLY_TYPE = "in development|announced|planning|proposed"
-EARLY_STATUS = "in development|under development|announced|planning"
-
-
 def embedded_projects(pages: DataFrame, today: Column | None = None, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
     """Projects in development of a JSON array inside a page's script, solar by their kind and not
     known to be under 5 MW; a page whose array can't be read has none. A record without a date has
@@ -228,7 +224,7 @@ def embedded_projects(pages: DataFrame, today: Column | None = None, date_from:
     mw = F.nullif(F.regexp_extract("p.capacity", r"^\s*(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
     place = F.concat_ws(", ", F.nullif("p.location", F.lit("")), F.nullif("p.state", F.lit("")))
     kind, state = F.coalesce("p.type", F.lit("")), F.coalesce("p.status", F.lit(""))
-    early = F.lower(kind).rlike(EARLY_TYPE) | F.lower(state).rlike(EARLY_STATUS)
+    early = F.lower(kind).rlike(X.P.EARLY_TYPE) | F.lower(state).rlike(X.P.EARLY_STATUS)
     wanted = F.col("p.energy_id").isin(1, 4, 9) & (mw.isNull() | (mw >= 5)) & early
     updated = F.left(F.coalesce("p.updated_at", F.lit("")), F.lit(10))
     if date_from is not None:
@@ -280,9 +276,6 @@ def decode_snapshot(encoded: Column, key: bytes) -> Column:
     return F.when(F.length(encoded) > 0, F.decode(F.unhex(F.array_join(plain, "")), "UTF-8"))
 
 
-SNAPSHOT_STATUSES = ("Proposed", "Approved", "Committed", "Committed (FID)")
-
-
 def snapshot_projects(pages: DataFrame, key: bytes, today: Column, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
     """Solar projects of encoded snapshots (a JSON array under a repeating key): energy, one of four
     statuses, 5 MW or more, no wind; of equal names in a snapshot the first stays. Snapshots have no
@@ -293,7 +286,7 @@ def snapshot_projects(pages: DataFrame, key: bytes, today: Column, date_from: Co
     mw = _one(F.col("p.capacity"), r"^\s*([+\-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+\-]?\d+)?)").cast("double")
     df = df.withColumns({"name": field("name"), "capacity_mw": mw, "_about": F.concat_ws(" ", field("name"), field("type"), field("subtype")), "_n": F.lower(field("name"))})
     wanted = (
-        (F.col("name") != "") & (field("category") == "Energy") & field("status").isin(*SNAPSHOT_STATUSES) & (F.col("capacity_mw") >= 5)
+        (F.col("name") != "") & (field("category") == "Energy") & field("status").isin(*X.P.SNAPSHOT_STATUSES) & (F.col("capacity_mw") >= 5)
         & X.has_solar_component(F.col("_about")) & ~X.is_wind(F.col("name"), F.col("_about")) & date_gate(F.lit(True), today, date_from, date_to)
     )
     df = keep_first(df.filter(wanted), ["ord", "_n"], ["pos"])
@@ -308,6 +301,67 @@ def snapshot_projects(pages: DataFrame, key: bytes, today: Column, date_from: Co
     )
 
 
+def news_cards(pages: DataFrame, today: Column, link: str, block: str = "news-block-four") -> DataFrame:
+    """Cards of a news listing: title, source_url (the first link that matches `link`), announced_date (a
+    "Published Date: 2024-June-12", else `today`); cards without link or title have no row."""
+    card = rf'(?is)<div[^>]*class="[^"]*{block}[^"]*"[^>]*>(.*?)</div>\s*</div>\s*</div>'
+    df = explode_at(pages, _all(F.col("content"), card), "card").withColumns({
+        "source_url": _one(F.col("card"), rf'(?i)href="({link}[^"]+)"'),
+        "title": F.trim(F.regexp_replace(F.regexp_replace(_one(F.col("card"), r"(?is)<h[23][^>]*>(.*?)</h[23]>"), "<[^>]+>", ""), r"\s+", " ")),
+        "announced_date": F.coalesce(X.long_date(_one(F.col("card"), r"(?i)Published\s+Date:\s*(\d+-[A-Za-z]+-\d+)")), today),
+    })
+    return df.filter("source_url is not null and title <> ''").drop("card", "content")
+
+
+def news_projects(cards: DataFrame, articles: DataFrame, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
+    """Projects among news cards, with the text of their articles (source_url, html; one at most for each
+    link): a title that speaks of solar power and has the shape of a project's name, and an early stage. Of
+    cards with one link the first that passes stays."""
+    detail = _one(F.col("html"), r'(?is)<div[^>]*class="[^"]*(?:lower-box|post-details|blog-content)[^"]*"[^>]*>(.*?)</div>')
+    bodies = articles.select(F.col("source_url").alias("_u"), F.left(clean_cell(F.coalesce(detail, F.lit(""))), F.lit(1000)).alias("body"))
+    wanted = X.has_any(F.col("title"), X.P.SOLAR_TITLES) & ~X.is_noisy_name(F.col("title"), True) & date_gate(F.lit(True), F.col("announced_date"), date_from, date_to)
+    df = cards.filter(wanted).join(bodies, F.col("source_url") == F.col("_u"), "left").withColumn("body", F.coalesce("body", F.lit("")))
+    df = df.withColumn("text", F.concat_ws(" ", "title", "body")).filter(X.is_early_stage(F.col("text")))
+    text = F.col("text")
+    return keep_first(df, ["source_url"], ["ord", "pos"]).select(
+        "source", "ord", "pos", F.col("title").alias("name"), F.coalesce(F.nullif(F.left("body", F.lit(600)), F.lit("")), "title").alias("description"), X.capacity(text).alias("capacity_mw"),
+        X.developer(text).alias("developer"), X.location(text).alias("location"), F.lit("AU").alias("country"), X.status(text).alias("status"), "source_url", "announced_date",
+    )
+
+
+def newsletter_index(pages: DataFrame, today: Column, link: str, block: str = "pdf-block-watts-new") -> DataFrame:
+    """Newsletters that an index page links to (source_url, announced_date), found in two ways: in blocks of a
+    class, dated by their heading; and at any link, dated by what stands up to 200 characters before and
+    300 after it. Of one link in a page the first find stays, blocks before links."""
+    url, day = rf'(?i)href="({link}[^"]+)"', r"(\d{1,2}\s+[A-Za-z]+\s+\d{4})"
+    dated = lambda text: F.coalesce(X.long_date(F.regexp_replace(_one(text, day), r"\s+", " ")), today)
+    blocks = explode_at(pages, _all(F.col("content"), rf'(?is)<div[^>]*class="[^"]*{block}[^"]*"[^>]*>(.*?)</div>\s*</div>\s*</div>'), "block")
+    title = F.regexp_replace(F.coalesce(_one(F.col("block"), r"(?is)<h2[^>]*>(.*?)</h2>"), F.lit("")), "<[^>]+>", "")
+    first = blocks.select("ord", F.lit(0).alias("way"), "pos", _one(F.col("block"), url).alias("source_url"), dated(title).alias("announced_date")).filter("source_url is not null")
+    links = explode_at(pages, _all(F.col("content"), url), "source_url")
+    at = F.instr(F.lower("content"), F.concat(F.lit('href="'), F.lower("source_url"), F.lit('"')))
+    start = F.greatest(at - 200, F.lit(1))
+    around = F.regexp_replace(F.substr("content", start, at + 300 - start), "<[^>]+>", " ")
+    second = links.select("ord", F.lit(1).alias("way"), "pos", "source_url", dated(around).alias("announced_date"))
+    return keep_first(first.unionByName(second), ["ord", "source_url"], ["way", "pos"]).select("ord", "source_url", "announced_date")
+
+
+ANSWER_PROJECT = "name string, description string, capacity_mw double, developer string, location string, country string, status string, source_url string, announced_date string"
+
+
+def answer_projects(answers: DataFrame, today: Column) -> DataFrame:
+    """Projects of a model's answers about a source (source, url, ord, content): nameless ones and those known
+    to be under 5 MW go, what is missing gets the source's defaults."""
+    df = answer_items(answers, ANSWER_PROJECT)
+    p = lambda k: F.col(f"item.{k}")
+    return df.filter((F.coalesce(p("name"), F.lit("")) != "") & (p("capacity_mw").isNull() | (p("capacity_mw") >= 5))).select(
+        "source", "ord", "pos", p("name").alias("name"), F.coalesce(p("description"), p("name")).alias("description"), p("capacity_mw").alias("capacity_mw"),
+        p("developer").alias("developer"), p("location").alias("location"), F.when(p("country") == "NZ", "NZ").otherwise("AU").alias("country"),
+        F.when(p("status") == "under_development", "under_development").otherwise("announced").alias("status"), F.coalesce(p("source_url"), "url").alias("source_url"),
+        F.coalesce(p("announced_date").try_cast("date"), today).alias("announced_date"),
+    )
+
+
 def answer_items(answers: DataFrame, schema: str, column: str = "content") -> DataFrame:
     """Items of a model's answer; an answer that can't be read has none."""
     return answers.select("*", F.posexplode(F.from_json(X.json_array(F.col(column)), f"array<struct<{schema}>>")).alias("pos", "item"))

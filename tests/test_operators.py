@@ -184,3 +184,55 @@ def test_incremental_scan(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
         incremental_scan(spark, landing, typed.schema, store, check).awaitTermination()
     assert sorted(r["source_url"] for r in spark.read.parquet(store).collect()) == ["a", "c"]
+
+
+def test_orders_of_lists(spark):
+    rows = [("b", "2024-02-01"), ("c", None), ("a", "2024-01-01"), ("d", "2024-01-01")]
+    df = spark.createDataFrame(rows, "epbc_number string, referral_date string").withColumns({c: F.lit("x") for c in ("project_name", "proponent", "state")})
+    assert [r["epbc_number"] for r in referrals.referral_list(df, referrals.ReferralQuery()).collect()] == ["a", "d", "b", "c"]
+    scans = spark.createDataFrame([(1, 10), (2, 30), (3, 20), (4, 30)], "id int, started_at int")
+    assert [r["id"] for r in runs.newest_first(scans).collect()] == [4, 2, 3, 1]
+    found = spark.createDataFrame([(1, False), (2, True), (3, False), (4, True)], "ord int, is_new boolean")
+    assert [r["ord"] for r in runs.new_first(found, "ord").collect()] == [2, 4, 1, 3]
+
+
+def test_year_bands():
+    assert referrals.year_bands(2018, 2020) == ["2018", "2019", "2020"] and referrals.year_bands(2021, 2020) == ["all years"]
+
+
+def test_contact_file(spark, tmp_path):
+    path = tmp_path / "contacts.csv"
+    path.write_text('First Name,Organization Name,E-mail 1 - Value,E-mail 2 - Value\nJo,"Acme, ""Sun""",jo@x.example,\nNo,None,,\n,"Two\nlines",,b@x.example\n')
+    rows = contacts.contact_rows(contacts.read_contacts(spark, str(path))).collect()
+    assert [(r["first_name"], r["organization_name"], r["email1"], r["email2"]) for r in rows] == [("Jo", 'Acme, "Sun"', "jo@x.example", None), (None, "Two\nlines", None, "b@x.example")]
+
+
+def test_changes_of_one_key_count_once(spark):
+    stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, status string, name string")
+    changes = spark.createDataFrame([(1, "p", 1), (1, "q", 2), (9, "z", 3)], "id int, status string, at int")
+    assert sorted(map(tuple, sinks.update_by_key(stored, changes, "id", ("status",), "at").collect())) == [(1, "q", "x"), (2, "b", "y")]
+
+
+def test_one_project_for_each_url(spark):
+    rows = [("2", "u", "B"), ("1", "u", "A"), ("3", None, "C"), ("4", None, "D"), ("5", "known", "E")]
+    df = spark.createDataFrame(rows, "epbc_number string, source_url string, project_name string").withColumns({
+        "raw_description": F.lit("r"), "size_mw": F.lit(None).cast("double"), "proponent": F.lit("p"), "location": F.lit(None).cast("string"), "state": F.lit("NSW"),
+        "is_approved": F.lit(True), "referral_date": F.lit("soon"),
+    })
+    known = spark.createDataFrame([("known",), (None,)], "source_url string")
+    out = referrals.to_projects(df, known, DAY).collect()
+    assert sorted(r["name"] for r in out) == ["A", "C", "D"] and all(r["announced_date"] == DAY and r["capacity_mw"] == 0 for r in out)
+
+
+def test_market_statistics(spark):
+    near, far = "total capacity of 900 MW nationwide", "x " * 60
+    texts = [near, near + far + "a plant of 50 MW", "a plant of 50 MW", near + far + "pipeline of 70 MW", "nationwide " + far + "5 MW"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parsers.only_statistics(F.col("t")).alias("s")).orderBy("i").select("s").collect()]
+    assert got == [True, False, False, True, False]
+
+
+def test_scan_joins_have_no_key_of_missing_urls(spark):
+    rows = spark.createDataFrame([(None, 1, True, DAY), ("", 2, True, DAY), ("a", 3, True, DAY)], "source_url string, ord long, gate_ok boolean, announced_date date")
+    stored = spark.createDataFrame([("a", 7, DAY)], "source_url string, stored_id long, stored_date date")
+    got = {r["ord"]: r["project_ref"] for r in dedup.scan_dedup(rows, stored).collect()}
+    assert got == {1: "new", 2: "new", 3: "stored"}

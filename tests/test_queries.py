@@ -5,9 +5,10 @@ from __future__ import annotations
 import decimal
 
 import duckdb
+import pandas as pd
 import pytest
 
-from sunledger.plans import catalogue
+from sunledger.plans import catalogue, screens  # noqa: F401  (screens adds its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -22,7 +23,7 @@ def duck(sf_dir):
 
 def rows(df):
     def plain(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return "None"
         if isinstance(v, (float, decimal.Decimal)):
             return f"{float(v):.4f}"
