@@ -86,14 +86,18 @@ def encode(featurizers: list[Featurizer], lower: bool) -> Callable:
 
 
 def within(vocabulary: np.ndarray, columns: tuple[str, ...]) -> Callable:
-    """Encoded rows whose lists hold only names of the vocabulary; null lists stay null."""
+    """Encoded rows whose lists hold only names of the sorted vocabulary; null lists stay null."""
+
+    def known(v: np.ndarray) -> np.ndarray:
+        names = v.view(U64)
+        i = np.minimum(np.searchsorted(vocabulary, names), max(len(vocabulary) - 1, 0))
+        return v[vocabulary[i] == names] if len(vocabulary) else v[:0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for column in columns:
-                lists = [v.values.to_numpy() if v.is_valid else None for v in batch.column(column)]
-                known = [None if v is None else v[np.isin(v.view(U64), vocabulary)] for v in lists]
-                batch = batch.set_column(batch.schema.get_field_index(column), column, pa.array(known, pa.list_(pa.int64())))
+                lists = [known(v.values.to_numpy()) if v.is_valid else None for v in batch.column(column)]
+                batch = batch.set_column(batch.schema.get_field_index(column), column, pa.array(lists, pa.list_(pa.int64())))
             yield batch
 
     return run

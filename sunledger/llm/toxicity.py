@@ -219,13 +219,12 @@ def _minimise(x: Rows, d: Rows, e: Rows, y: np.ndarray, width: int, decay: float
     return w, b
 
 
-def fit(vocabulary: np.ndarray, names: list[np.ndarray], twins: list[np.ndarray], y: np.ndarray, share: float, decay: float = 3e-5, fairness: float = FAIRNESS) -> Model:
-    """The model of a sample over a sorted vocabulary; names[i] and twins[i] are the features of
-    text i and of its twin."""
+def fit(vocabulary: np.ndarray, names: list[np.ndarray], lost: list[np.ndarray], gained: list[np.ndarray], y: np.ndarray, share: float, decay: float = 3e-5, fairness: float = FAIRNESS) -> Model:
+    """The model of a sample over a sorted vocabulary; names[i] are the features of text i, lost[i] those
+    that its twin has not, and gained[i] those that only the twin has."""
     if len(set(y.tolist())) < 2:
         return Model(np.empty(0, U64), np.empty(0), None, 0.0, 0.0, float(np.log(share / (1 - share))))
-    d, e = (rows_over(vocabulary, [x[:0] if x is y else np.setdiff1d(x, y) for x, y in zip(*two, strict=True)]) for two in ((names, twins), (twins, names)))
-    w, b = _minimise(rows_over(vocabulary, names), d, e, y.astype(float), len(vocabulary), decay, fairness)
+    w, b = _minimise(*(rows_over(vocabulary, x) for x in (names, lost, gained)), y.astype(float), len(vocabulary), decay, fairness)
     # the sample may hold more of label 1 than the corpus; a logistic score moves by the log odds
     prior = y.mean()
     shift = float(np.log(share / (1 - share)) - np.log(prior / (1 - prior)))
@@ -245,13 +244,14 @@ def train(
     vocabulary = select_vocabulary(encoded)
     swaps = induce_swaps(picked, encoded, vocabulary) | seeds(terms)
     twins = picked.mapInArrow(encode([features, swapped(swaps)], True), schema)
-    rows = twins.mapInArrow(within(vocabulary, ("f0", "f1")), schema).toArrow().sort_by("doc_id")
+    rows = twins.mapInArrow(within(vocabulary, ("f0", "f1")), schema)
+    rows = rows.select("doc_id", "y", "f0", *(F.coalesce(F.array_except(*two), F.array().cast("array<long>")).alias(name) for name, two in (("lost", ("f0", "f1")), ("gained", ("f1", "f0")))))
+    rows = rows.toArrow().sort_by("doc_id")
     scratch.drop("sample", "encoded")
-    names = [v.values.to_numpy().view(U64) for v in rows["f0"]]
-    twins = [v.values.to_numpy().view(U64) if v.is_valid else name for v, name in zip(rows["f1"], names, strict=True)]
+    names, lost, gained = ([v.values.to_numpy().view(U64) for v in rows[c]] for c in ("f0", "lost", "gained"))
     y = rows["y"].to_numpy().astype(int)
     order = np.random.default_rng(3).permutation(len(y))
-    return fit(vocabulary, [names[i] for i in order], [twins[i] for i in order], y[order], class_share(labels, label, learn), fairness=fairness)
+    return fit(vocabulary, *([x[i] for i in order] for x in (names, lost, gained)), y[order], class_share(labels, label, learn), fairness=fairness)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = 3, held: int = 1, cut: float = 0.7) -> DataFrame:
