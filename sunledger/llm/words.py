@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
