@@ -65,9 +65,17 @@ def distinct(text: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[new], name[new]
 
 
-def encode(featurizers: list[Featurizer], lower: bool) -> Callable:
-    """Rows (doc_id, text, y) to (y, and for each featurizer the distinct feature names). Where a
-    later featurizer finds what the first does, as for most twins, its list is null."""
+def in_vocabulary(vocabulary: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names the sorted vocabulary holds."""
+    if not len(vocabulary):
+        return np.zeros(len(names), bool)
+    return vocabulary[np.minimum(np.searchsorted(vocabulary, names), len(vocabulary) - 1)] == names
+
+
+def encode(featurizers: list[Featurizer], lower: bool, vocabulary: np.ndarray | None = None) -> Callable:
+    """Rows (doc_id, text, y) to (y, and for each featurizer the distinct feature names, of the
+    vocabulary alone if one is given). Where a later featurizer finds what the first does, as for most
+    twins, its list is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +83,11 @@ def encode(featurizers: list[Featurizer], lower: bool) -> Callable:
                 words = words_of(block.column("text"), lower)
                 columns, lists = [block.column("doc_id"), block.column("y")], []
                 for featurizer in featurizers:
-                    text, name = distinct(*featurizer(words))
+                    text, name = featurizer(words)
+                    if vocabulary is not None:
+                        some = in_vocabulary(vocabulary, name)
+                        text, name = text[some], name[some]
+                    text, name = distinct(text, name)
                     at = np.searchsorted(text, np.arange(block.num_rows + 1))
                     own = [name[a:b].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
                     lists.append(own if not lists else [None if np.array_equal(x, y) else x for x, y in zip(own, lists[0], strict=True)])
@@ -89,9 +101,7 @@ def within(vocabulary: np.ndarray, columns: tuple[str, ...]) -> Callable:
     """Encoded rows whose lists hold only names of the sorted vocabulary; null lists stay null."""
 
     def known(v: np.ndarray) -> np.ndarray:
-        names = v.view(U64)
-        i = np.minimum(np.searchsorted(vocabulary, names), max(len(vocabulary) - 1, 0))
-        return v[vocabulary[i] == names] if len(vocabulary) else v[:0]
+        return v[in_vocabulary(vocabulary, v.view(U64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classify import Model, Rows, class_share, crc_bucket, encode, filter_texts, labelled_sample, rows_over, score_texts, sigmoid, trimmed, within
+from .classify import Model, Rows, class_share, crc_bucket, encode, filter_texts, labelled_sample, rows_over, score_texts, sigmoid, trimmed
 from .scratch import Scratch
 from .words import U64, Words, blocks, mix, words_of
 
@@ -243,8 +243,7 @@ def train(
     encoded = scratch.keep(picked.mapInArrow(encode([features, whole_words], True), schema), "encoded")
     vocabulary = select_vocabulary(encoded)
     swaps = induce_swaps(picked, encoded, vocabulary) | seeds(terms)
-    twins = picked.mapInArrow(encode([features, swapped(swaps)], True), schema)
-    rows = twins.mapInArrow(within(vocabulary, ("f0", "f1")), schema)
+    rows = picked.mapInArrow(encode([features, swapped(swaps)], True, vocabulary), schema)
     rows = rows.select("doc_id", "y", "f0", *(F.coalesce(F.array_except(*two), F.array().cast("array<long>")).alias(name) for name, two in (("lost", ("f0", "f1")), ("gained", ("f1", "f0")))))
     rows = rows.toArrow().sort_by("doc_id")
     scratch.drop("sample", "encoded")
