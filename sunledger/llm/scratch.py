@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting by which a query removes its shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of every written step. Rows of blocks and of long texts are large, and a batch for Python is
+#: held twice in the JVM while it grows and once more in Python, for each task.
+SETTINGS = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,21 +53,23 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes `df` and returns the written table. The shuffle files of the write go with it: what
         it read from stays as tables, so nothing needs them any more."""
-        with self._cleaned_up():
+        with self._settings():
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     @contextmanager
-    def _cleaned_up(self) -> Iterator[None]:
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+    def _settings(self) -> Iterator[None]:
+        before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
