@@ -36,6 +36,10 @@ from .skew import join_counted
 #: Rows compared with a codebook at once.
 ROWS = 4_096
 LIMIT = 1 << 24
+#: Bounds are lowered by this share of the squared norms, some thousand times what rounding may cost.
+MARGIN = 1e-11
+#: With fewer pairs left than this share, bounds are taken pair by pair.
+SPARSE = 0.1
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
@@ -56,33 +60,45 @@ def segments(length: int) -> list[list[int]]:
     return levels
 
 
-def summary(x: np.ndarray, starts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per segment of each row: the mean times the root of its size, the residual norm, and its square."""
+def summary(x: np.ndarray, starts: list[int]) -> np.ndarray:
+    """Per segment of each row the mean times the root of its size, then per segment the residual norm: the squared
+    distance of two summaries is the bound on the rows' own."""
     size = np.diff([*starts, x.shape[1]])
     total, square = np.add.reduceat(x, starts, 1), np.add.reduceat(x * x, starts, 1)
-    residual = (size * square - total * total) / size
-    return total / np.sqrt(size), np.sqrt(residual), residual
+    return np.hstack([total / np.sqrt(size), np.sqrt((size * square - total * total) / size)])
 
 
 def assign(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest entry of each row (ties to the lower number) and its squared distance, exact."""
+    """The nearest entry of each row (ties to the lower number) and its squared distance, exact.
+
+    At each level the entry with the lowest bound gives a distance that the answer cannot exceed. While
+    many pairs are left bounds are taken for all by one product of matrices, later for those that are left."""
     x, entries = x.astype(np.int64), entries.astype(np.int64)
-    n, k = len(x), len(entries)
-    row, entry, most = np.repeat(np.arange(n), k), np.tile(np.arange(k), n), None
+    k, every = len(entries), np.arange(len(x))
+    near, most = np.ones((len(x), k), bool), np.full(len(x), np.iinfo(np.int64).max)
+    row, entry = None, None
     for starts in segments(x.shape[1]):
-        (mv, rv, sv), (mc, rc, sc) = summary(x, starts), summary(entries, starts)
-        if most is None:  # one segment: all pairs as a table
-            bound = (mv - mc.T) ** 2 + (rv - rc.T) ** 2 - 1e-11 * (sv + sc.T + mv * mv + (mc * mc).T) - 1e-6
+        v, c = summary(x, starts), summary(entries, starts)
+        of_v, of_c = (v * v).sum(1), (c * c).sum(1)
+        if row is None:
+            bound = np.where(near, (1 - MARGIN) * of_v[:, None] + ((1 - MARGIN) * of_c - 1e-6) - 2 * (v @ c.T), np.inf)
             guess = bound.argmin(1)
-            most = ((x - entries[guess]) ** 2).sum(1)
-            row, entry = np.nonzero(bound <= most[:, None])
         else:
-            slack = 1e-11 * (sv + mv * mv).sum(1)[row] + 1e-11 * (sc + mc * mc).sum(1)[entry] + 1e-6
-            bound = ((mv[row] - mc[entry]) ** 2 + (rv[row] - rc[entry]) ** 2).sum(1) - slack
-            near = bound <= most[row]
-            row, entry = row[near], entry[near]
+            bound = ((v[row] - c[entry]) ** 2).sum(1) - MARGIN * (of_v[row] + of_c[entry]) - 1e-6
+            lowest = np.lexsort((bound, row))[np.searchsorted(row, every)]
+            guess = entry[lowest]
+        most = np.minimum(most, ((x - entries[guess]) ** 2).sum(1))
+        if row is None:
+            near = bound <= most[:, None]
+            if near.mean() < SPARSE:
+                row, entry = np.nonzero(near)
+        else:
+            left = bound <= most[row]
+            row, entry = row[left], entry[left]
+    if row is None:
+        row, entry = np.nonzero(near)
     distance = ((x[row] - entries[entry]) ** 2).sum(1)
-    best = np.minimum.reduceat(distance * k + entry, np.searchsorted(row, np.arange(n)))  # each row has its guess at least
+    best = np.minimum.reduceat(distance * k + entry, np.searchsorted(row, every))  # what gave `most` is never out
     return best % k, best // k
 
 
