@@ -2,12 +2,16 @@
 
 Fixed cutoffs suit one language or one crawl and fail the next. Here every measure is sketched per
 language and source: a sketch counts values in the cells of a fixed logarithmic grid, so its
-quantiles are off by 1 % of their value at most, sketches merge by adding counts, and as nothing is drawn
+quantiles are off by 0.1 % of their value at most, sketches merge by adding counts, and as nothing is drawn
 at random, reruns agree. Sketches of sources merge into those of their language and of the whole
 corpus. A source's quantiles are blended with its language's, and those with the corpus's, by its
 number of documents n against PRIOR documents of the parent: n / (n + PRIOR) is its own. A document
 passes when each of its measures lies inside the fences of its group.
 
+Quantiles and fences are of logarithms, so a fence is as many times the group's spread away whatever the
+measure's unit. Shares that are zero in most documents say nothing in quantiles; they are taken with half a
+case more, (count + 1/2) / (size + 1), so they have a spread in every group, that of its documents' sizes.
+
 Defined results: a null or empty text has no words and fails the base rules; null languages and
 sources form groups of their own; repeated rows count as often as they occur. The arrays of one
 text (words, hashes, windows) lie in one row, some 60 bytes a word: texts of tens of millions of
@@ -16,6 +20,7 @@ words need executors to match.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,31 +34,28 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Fence:
-    """A document fails above q75 + reach * spread (and, if `low`, below q25 - reach * spread).
-
-    spread is q75 - q25 of the group, and at least `least`: where nearly all documents of a
-    group agree, small differences are still no fault. Where a base rule has a cutoff of its own,
-    reach * least has to lie well below it, or the fence never decides.
-    """
+    """A document fails above q75 * (q75 / q25) ** reach (and, if `low`, below q25 * (q25 / q75) ** reach)."""
 
     measure: str
     reach: float
-    least: float
     low: bool = False
 
 
-#: In shares and characters; see `measures`.
+#: See `measures`.
 FENCES = (
-    Fence("symbol_share", 3.0, 0.015),
-    Fence("dup_line_share", 3.0, 0.1),
-    Fence("repeat_share", 3.0, 0.05),
-    Fence("mean_word_chars", 4.0, 1.0, low=True),
+    Fence("mark_share", 4.0),
+    Fence("dup_line_share", 4.0),
+    Fence("repeat_share", 4.0),
+    Fence("mean_word_chars", 5.0, low=True),
+    Fence("word_variety", 4.0, low=True),
 )
 #: So many documents of the parent (language, corpus) weigh as much as the group's own.
 PRIOR = 50
 #: Cells of the sketches' grid grow by this factor; the cell of values up to 0 comes before all.
-GAMMA = 1.02
+GAMMA = 1.002
 ZERO = -1_000_000
+#: q75 / q25 counts as at least this: only for groups whose documents agree to a hundredth.
+TIE = 1.01
 
 
 def split_words(text: Column) -> Column:
@@ -88,7 +90,8 @@ def repeated_words(windows: Column, width: int) -> Column:
 
 
 def base_statistics(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (longs)."""
+    """`docs` with n_words, n_distinct, word_chars, n_symbols, n_marks (characters that are no letters, digits or
+    white space), n_lines, n_dup_lines and n_repeat_words (longs)."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_words", split_words(body))
     df = df.withColumns({"n_words": F.size("_words").cast("long"), "_hashes": F.transform("_words", lambda w: F.xxhash64(w))})
@@ -96,6 +99,8 @@ def base_statistics(docs: DataFrame, text: str = "text", width: int = 5) -> Data
     df = df.withColumn("_windows", F.when(F.col("n_words") >= width, F.transform(F.sequence(F.lit(0), F.size("_hashes") - width), window)))
     df = df.withColumns({
         "word_chars": F.length(F.translate(body, SPACE, "")).cast("long"),
+        "n_marks": (F.length(body) - F.length(F.regexp_replace(body, "[^\\p{L}\\p{M}\\p{N}\\s]+", ""))).cast("long"),
+        "n_distinct": F.size(F.array_distinct("_hashes")).cast("long"),
         "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
         "_lines": F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""),
     })
@@ -109,13 +114,16 @@ def base_statistics(docs: DataFrame, text: str = "text", width: int = 5) -> Data
 
 
 def measures(stats: DataFrame) -> DataFrame:
-    """Length-free measures that the fences speak of."""
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
+    """The measures that the fences speak of: shares with half a case more, characters per word, and how much of the
+    logarithm of the number of words that of distinct words is (1 if none occurs twice, whatever the length)."""
+    share = lambda n, of: (F.col(n) + 0.5) / (F.col(of) + 1)
+    words = F.greatest(F.col("n_words"), F.lit(1))
     return stats.withColumns({
-        "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_share": F.col("n_dup_lines") / lines,
-        "repeat_share": F.col("n_repeat_words") / words,
+        "mark_share": share("n_marks", "word_chars"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"),
         "mean_word_chars": F.col("word_chars") / words,
+        "word_variety": F.when(words > 1, F.log(F.col("n_distinct").cast("double")) / F.log(words.cast("double"))).otherwise(1.0),
     })
 
 
@@ -124,9 +132,9 @@ def cell(x: Column) -> Column:
     return F.when(x > 0, F.floor(F.log(x) / F.log(F.lit(GAMMA)))).otherwise(F.lit(ZERO)).cast("int")
 
 
-def value_of(at: Column) -> Column:
-    """The middle of a cell."""
-    return F.when(at == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), at + 0.5))
+def log_of(at: Column) -> Column:
+    """The logarithm of a cell's middle; that of the cell of zero is far below all others."""
+    return (at + 0.5) * math.log(GAMMA)
 
 
 def sketch_groups(measured: DataFrame, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
@@ -138,12 +146,12 @@ def sketch_groups(measured: DataFrame, fences: tuple[Fence, ...] = FENCES) -> Da
 
 
 def quantiles(sketches: DataFrame, keys: list[str], tag: str, fences: tuple[Fence, ...]) -> DataFrame:
-    """Per group of `keys`: {tag}_n documents and the quartiles {tag}_a_<measure>, {tag}_b_<measure>, from merged sketches."""
+    """Per group of `keys`: {tag}_n documents and the logarithms {tag}_a_<measure>, {tag}_b_<measure> of the quartiles, from merged sketches."""
     merged = sketches.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")  # as many rows as a sketch has cells
     merged = merged.withColumns({"upto": F.sum("n").over(group.orderBy("cell")), "all": F.sum("n").over(group)})
     at = lambda f, q: F.min(F.when((F.col("measure") == f.measure) & (F.col("upto") >= q * F.col("all")), F.col("cell")))
-    found = [value_of(at(f, q)).alias(f"{tag}_{x}_{f.measure}") for f in fences for x, q in (("a", 0.25), ("b", 0.75))]
+    found = [log_of(at(f, q)).alias(f"{tag}_{x}_{f.measure}") for f in fences for x, q in (("a", 0.25), ("b", 0.75))]
     return merged.groupBy(*keys).agg(F.max("all").alias(f"{tag}_n"), *found).withColumnsRenamed({k: f"{tag}_{k}" for k in keys})
 
 
@@ -156,10 +164,10 @@ def thresholds(sketches: DataFrame, fences: tuple[Fence, ...] = FENCES, prior: i
     for f in fences:
         parent = {x: of_lang * F.col(f"l_{x}_{f.measure}") + (1 - of_lang) * F.col(f"c_{x}_{f.measure}") for x in "ab"}
         q = {x: own * F.col(f"s_{x}_{f.measure}") + (1 - own) * parent[x] for x in "ab"}
-        reach = f.reach * F.greatest(q["b"] - q["a"], F.lit(f.least))
-        out.append((q["b"] + reach).alias(f"max_{f.measure}"))
+        reach = f.reach * F.greatest(q["b"] - q["a"], F.lit(math.log(TIE)))
+        out.append(F.exp(q["b"] + reach).alias(f"max_{f.measure}"))
         if f.low:
-            out.append((q["a"] - reach).alias(f"min_{f.measure}"))
+            out.append(F.exp(q["a"] - reach).alias(f"min_{f.measure}"))
     return both.select(*out)
 
 

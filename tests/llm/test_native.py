@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sunledger.llm.mixing import mix_corpus, mix_documents
-from sunledger.llm.quality_rules import apply_rules
+from sunledger.llm.quality_rules import FENCES, TIE, apply_rules, base_statistics, measures, quantiles, sketch_groups, thresholds
 from sunledger.llm.sharding import jump_shard, shard_documents, write_shards
 
 
@@ -41,28 +42,34 @@ def test_base_statistics(spark):
 
 def brute_kept(rows):
     """`kept` from the sorted values of each group: a sketch's quantile is the cell of an exact one."""
-    stats = {i: base(t) + (len([x for x in (t or "").split("\n") if edge.words(x)]),) for i, t, _, _ in rows}
+    stats = {}
+    for i, t, _, _ in rows:
+        w, lines = edge.words(t), [x for x in (t or "").split("\n") if edge.words(x)]
+        marks = sum(not (unicodedata.category(c)[0] in "LMN" or c in " \t\n\x0b\f\r") for c in t or "")
+        stats[i] = base(t) + (len(lines), marks, len(set(w)))
     failed = {i: s[0] < 10 or 100 * s[4] > 20 * s[0] for i, s in stats.items()}
-    measured = {i: (s[2] / max(s[1], 1), s[3] / max(s[5], 1), s[4] / max(s[0], 1), s[1] / max(s[0], 1)) for i, s in stats.items()}
+    measured = {
+        i: ((s[6] + 0.5) / (s[1] + 1), (s[3] + 0.5) / (s[5] + 1), (s[4] + 0.5) / (s[0] + 1), s[1] / max(s[0], 1), math.log(s[7]) / math.log(s[0]) if s[0] > 1 else 1.0)
+        for i, s in stats.items()
+    }
 
     def quartiles(ids, m):
         values = sorted(measured[i][m] for i in ids)
-        cells = [values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.75)]
-        return [0.0 if v <= 0 else 1.02 ** (math.floor(math.log(v) / math.log(1.02)) + 0.5) for v in cells]
+        return [(math.floor(math.log(values[math.ceil(q * len(values)) - 1]) / math.log(1.002)) + 0.5) * math.log(1.002) for q in (0.25, 0.75)]
 
     good = [r for r in rows if not failed[r[0]]]
     kept = {}
     for i, _, lang, source in rows:
         kept[i] = not failed[i]
         groups = [[r[0] for r in good if r[2:] == (lang, source)], [r[0] for r in good if r[2] == lang], [r[0] for r in good]]
-        for m, (reach, least, low) in enumerate(((3, 0.015, False), (3, 0.1, False), (3, 0.05, False), (4, 1.0, True))):
+        for m, (reach, low) in enumerate(((4, False), (4, False), (4, False), (5, True), (4, True))):
             if failed[i]:
                 continue
             (sa, sb), (la, lb), (ca, cb) = (quartiles(g, m) for g in groups)
             own, of_lang = (len(g) / (len(g) + 50) for g in groups[:2])
             a, b = (own * s + (1 - own) * (of_lang * x + (1 - of_lang) * c) for s, x, c in ((sa, la, ca), (sb, lb, cb)))
-            far = reach * max(b - a, least)
-            kept[i] &= measured[i][m] <= b + far and (not low or measured[i][m] >= a - far)
+            far = reach * max(b - a, math.log(1.01))
+            kept[i] &= measured[i][m] <= math.exp(b + far) and (not low or measured[i][m] >= math.exp(a - far))
     return kept
 
 
@@ -73,6 +80,31 @@ def test_kept_against_exact_quantiles(spark):
     assert got == want and 0.5 < sum(want.values()) / len(want) < 1 and sum(not k for k in want.values()) > sum(not k and len(edge.words(r[1])) < 10 for k, r in zip(want.values(), rows, strict=True))
 
 
+def test_limits_are_the_groups_own(spark):
+    """On 80 groups: limits differ, ties don't decide, and labelled rows come out as they should."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    stats = measures(base_statistics(docs)).drop("text").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).cache()
+    sketches = sketch_groups(stats.filter(~F.col("base_failed"))).cache()
+    limits, spreads = thresholds(sketches), quantiles(sketches, ["lang", "source"], "s", FENCES)
+    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))
+    joined = joined.join(spreads, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")))
+    rows = joined.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id", "left").drop("node").toPandas()
+    table, lost, rejected, by_tie = limits.toPandas(), Counter(rows[rows.base_failed].quality), 0, 0
+    rows = rows[~rows.base_failed]
+    out = rows.n_words < 0
+    for f in FENCES:
+        over = rows[f.measure] > rows[f"max_{f.measure}"]
+        if f.low:
+            over |= rows[f.measure] < rows[f"min_{f.measure}"]
+        out |= over
+        if over.any():
+            assert table[f"max_{f.measure}"].round(9).nunique() > len(table) / 2
+            rejected += over.sum()
+            by_tie += (over & (rows[f"s_b_{f.measure}"] - rows[f"s_a_{f.measure}"] <= math.log(TIE))).sum()
+    assert len(table) == 80 and rejected > 700 and by_tie < rejected / 10
+    assert lost[0] + (out & (rows.quality == 0)).sum() >= 565 and (out & (rows.quality == 1)).sum() <= 15
+
+
 def test_thresholds_follow_the_source(spark):
     """A source full of symbols keeps them; the same document in a plain source goes."""
     plain = [(i, " ".join(f"word{i}x{k}" for k in range(40)), "en", "plain") for i in range(200)]
@@ -93,7 +125,7 @@ def test_repeats_and_lines_have_fences(spark):
     docs = spark.createDataFrame(plain + odd, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in apply_rules(spark, docs).collect()}
     assert all(got[i]["kept"] for i, *_ in plain)
-    assert 0.15 < got[900]["repeat_share"] < 0.2 and 0.3 < got[901]["dup_line_share"] < 0.45 and got[901]["repeat_share"] == 0
+    assert 0.15 < got[900]["repeat_share"] < 0.2 and 0.3 < got[901]["dup_line_share"] < 0.45 and got[901]["n_repeat_words"] == 0
     assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (900, 901))
 
 

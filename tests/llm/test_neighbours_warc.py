@@ -41,10 +41,15 @@ def test_recall_and_scores(spark):
     assert all(got[q] == want[q] for q in hot)  # ties go to the smaller ids
 
 
-@pytest.mark.parametrize("table", ["sf0.01", "sf0.1", "check_s"])
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1", "10000 made up"])
 def test_recall_with_default_parameters(spark, table):
-    """500, 2000 and 10256 nearly isotropic vectors (the last in two segments of more than 3000)."""
-    df = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    """500, 2000 and 10000 nearly isotropic vectors (the last in two segments of more than 3000)."""
+    if table.startswith("sf"):
+        df = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    else:
+        made = np.random.default_rng(20).normal(size=(10_000, 64)).astype(np.float32)
+        made /= np.linalg.norm(made, axis=1, keepdims=True)
+        df = spark.createDataFrame(enumerate(made.tolist()), "vec_id long, embedding array<float>")
     rows = df.select("vec_id", "embedding").toArrow()
     ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
     got = {}
