@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from .dedup import keep_first
-
-MIN_SCORE = 40
+from .matching import best_names
+from .staging import stage
 
 
 def union_contacts(frames: list[DataFrame]) -> DataFrame:
@@ -95,45 +95,17 @@ def match_contacts(developers: DataFrame, contacts: DataFrame) -> DataFrame:
 
     Names are compared without company words: equal 100, one within the other 80, else 60 times
     the shared words over the longer list; at least 40. Ties go to the earlier contact (`ord`).
-
-    Developers and organisations are reduced to distinct keys first. Equal keys and shared words
-    are equi-joins. Containment is one too: a key that lies inside another starts with one of the
-    other's trigrams, so keys meet on their first trigram, and only what meets is tested; the few
-    keys under three characters are compared directly, against keys in which they can occur as
-    one- and two-character parts.
+    Developers and organisations are reduced to distinct keys first; see `matching` for how keys meet.
     """
     devs = developers.select("developer").distinct().withColumn("dev", X.contact_key(F.col("developer"))).filter("dev <> ''")
     orgs = contacts.filter("organization_name is not null and organization_name <> '' and email1 is not null and email1 <> ''")
     orgs = orgs.withColumn("org", X.contact_key(F.col("organization_name"))).filter("org <> ''")
-    orgs = keep_first(orgs, ["org"], ["ord"])
-    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 3)
-
-    def grams(c):  # all parts of one, two and three characters
-        some = (F.when(F.length(c) >= k, _parts(c, k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))
-        return F.array_distinct(F.flatten(F.array(*some)))
-
-    d, o = devs.select("dev").distinct(), orgs.select("org")
-    head = lambda c: F.left(c, F.lit(3))
-    d_parts, o_parts = d.select("dev", F.explode(grams(F.col("dev"))).alias("g")), o.select("org", F.explode(grams(F.col("org"))).alias("g"))
-    inside = d_parts.join(o.withColumn("g", head("org")), "g").filter(F.col("dev").contains(F.col("org"))).select("dev", "org")
-    around = o_parts.join(d.withColumn("g", head("dev")), "g").filter(F.col("org").contains(F.col("dev"))).select("dev", "org")
-    d_words = d.select("dev", F.explode(words("dev")).alias("w"))
-    o_words = o.select("org", F.explode(F.array_distinct(words("org"))).alias("w"))
-    shared = d_words.join(o_words, "w").groupBy("dev", "org").agg(F.count(F.lit(1)).alias("n"))
-    longest = F.greatest(F.size(words("dev")), F.size(F.array_distinct(words("org"))))
-    scored = inside.unionByName(around).withColumn("score", F.when(F.col("dev") == F.col("org"), 100.0).otherwise(80.0)).unionByName(
-        shared.select("dev", "org", (F.col("n") / longest * 60).alias("score"))
-    )
-    ranked = scored.groupBy("dev", "org").agg(F.max("score").alias("score")).join(orgs.select("org", "ord", "first_name", "last_name", "organization_name", "email1"), "org")
-    best = F.row_number().over(Window.partitionBy("dev").orderBy(F.desc("score"), "ord"))
-    top = ranked.withColumn("_k", best).filter((F.col("_k") == 1) & (F.col("score") >= MIN_SCORE))
+    orgs = stage(keep_first(orgs, ["org"], ["ord"]).select("org", "ord", "first_name", "last_name", "organization_name", "email1"))
+    names = stage(devs.select(F.col("dev").alias("name")).distinct())
+    top = best_names(names, orgs.select(F.col("org").alias("other"), "ord")).join(orgs, F.col("other") == F.col("org"))
     person = F.concat_ws(" ", F.nullif("first_name", F.lit("")), F.nullif("last_name", F.lit("")))
     name = F.coalesce(F.nullif(person, F.lit("")), "organization_name")
-    return devs.join(top, "dev").select("developer", name.alias("contact_name"), F.col("email1").alias("contact_email"), "score")
-
-
-def _parts(c, k: int):
-    return F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substr(c, i, F.lit(k)))
+    return devs.join(top, F.col("dev") == F.col("name")).select("developer", name.alias("contact_name"), F.col("email1").alias("contact_email"), "score")
 
 
 def needs_enrichment(email: str = "contact_email", name: str = "contact_name", developer: str = "developer"):

@@ -271,11 +271,6 @@ def scan_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[\s\S]*?</script>|<style[\s\S]*?</style>', ' ', 'gi'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"select page_id, left({TEXT_SQL}, 1000) as body from pages")
-def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html"), 1000).alias("body"))
-
-
 @query(f"select page_id, {TEXT_SQL} as body from pages")
 def html_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
@@ -335,7 +330,7 @@ def company_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MATCH_SQL = f"""with dv as (select distinct concat(p_name, case when p_size % 3 = 0 then ' Pty Ltd' when p_size % 3 = 1 then ' Energy' else '' end) as developer from part),
-og as (select p_partkey as ord, concat(split_part(p_name, ' ', 2), case p_size % 4 when 0 then ' Group' when 1 then concat(' ', split_part(p_name, ' ', 1)) when 2 then ' works extra' else '' end) as organization_name from part where p_partkey % 20 = 0),
+og as (select p_partkey as ord, concat(split_part(p_name, ' ', 2), case p_size % 4 when 0 then ' Group' when 1 then concat(' ', split_part(p_name, ' ', 1)) when 2 then ' works extra' else '' end) as organization_name from part ),
 n1 as (select developer, trim(regexp_replace(regexp_replace(regexp_replace(lower(developer), '\\b(?:{P.CONTACT_STOP_WORDS})\\b', '', 'g'), '[^a-z0-9]', ' ', 'g'), '\\s+', ' ', 'g')) as dn from dv),
 n2 as (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(organization_name), '\\b(?:{P.CONTACT_STOP_WORDS})\\b', '', 'g'), '[^a-z0-9]', ' ', 'g'), '\\s+', ' ', 'g')) as gn from og),
 s as (select developer, organization_name, ord, case when dn = gn then 100.0 when contains(dn, gn) or contains(gn, dn) then 80.0 else
@@ -346,23 +341,17 @@ qualify row_number() over (partition by developer order by score desc, ord) = 1
 
 
 @query(MATCH_SQL)
-def fuzzy_contact_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL compares every pair, on a twentieth of the organisations; contact_top1 has them all
-    return _contact_top1(spark, sf_dir, F.col("p_partkey") % 20 == 0)
-
-
-@query(MATCH_SQL.replace(" where p_partkey % 20 = 0", ""))
 def contact_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contact_top1(spark, sf_dir, F.lit(True))
+    return _contact_top1(spark, sf_dir)
 
 
-def _contact_top1(spark: SparkSession, sf_dir: str, organisations: Column) -> DataFrame:
+def _contact_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, size = table(spark, sf_dir, "part"), F.col("p_size")
     devs = parts.select(F.concat("p_name", F.when(size % 3 == 0, " Pty Ltd").when(size % 3 == 1, " Energy").otherwise("")).alias("developer"))
     second, first = F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1))
     end = F.when(size % 4 == 0, " Group").when(size % 4 == 1, F.concat(F.lit(" "), first)).when(size % 4 == 2, " works extra").otherwise("")
     none = F.lit(None).cast("string")
-    orgs = parts.filter(organisations).select(
+    orgs = parts.select(
         F.col("p_partkey").alias("ord"), F.concat(second, end).alias("organization_name"), none.alias("first_name"), none.alias("last_name"),
         F.concat(F.lit("c"), "p_partkey", F.lit("@org.example")).alias("email1"),
     )

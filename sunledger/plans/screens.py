@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import contacts, dedup, enrichment, gates, referrals, runs, sinks
+from ..operators.staging import stage
 from ..sources import parsers
 from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, _contact_top1, _landed, listed, query, sql_any, table
 
@@ -292,7 +293,7 @@ def person_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key.alias("id"), first.alias("first"), last.alias("last"))
 
 
-@query(f"""with m as (select developer as d, contact_name as n, contact_email as e from ({MATCH_SQL.replace(" where p_partkey % 20 = 0", "")})),
+@query(f"""with m as (select developer as d, contact_name as n, contact_email as e from ({MATCH_SQL})),
 p as (select p_partkey as id, concat(p_name, case when p_size % 3 = 0 then ' Pty Ltd' when p_size % 3 = 1 then ' Energy' else '' end) as developer, p_size % 2 = 0 as is_new, case when p_size % 5 = 0 then 'me' end as contact_name, case when p_size % 7 = 0 then '' end as contact_email from part)
 select id, coalesce(contact_name, case when is_new then n end) as contact_name, case when is_new and contact_name is null and e is not null then e else contact_email end as contact_email from p left join m on d = developer""")
 def fallback_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +302,7 @@ def fallback_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), F.concat("p_name", F.when(size % 3 == 0, " Pty Ltd").when(size % 3 == 1, " Energy").otherwise("")).alias("developer"),
         (size % 2 == 0).alias("is_new"), F.when(size % 5 == 0, "me").alias("contact_name"), F.when(size % 7 == 0, "").alias("contact_email"),
     )
-    return contacts.with_fallback(rows, _contact_top1(spark, sf_dir, F.lit(True))).select("id", "contact_name", "contact_email")
+    return contacts.with_fallback(rows, _contact_top1(spark, sf_dir)).select("id", "contact_name", "contact_email")
 
 
 @query("select distinct p_brand as company from part order by 1 limit 50")
@@ -394,10 +395,10 @@ def scan_new_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAIN_SQL = f"""{LISTED_SQL}, r as (
-select 0 as branch, ord, 0 as pos, name, mw, concat(name, ' ', size, ' ', note) as text, concat('https://x.example/', ord % 100) as url from t
+select 0 as branch, ord, 2 as pos, name, mw, concat(name, ' ', size, ' ', note) as text, concat('https://x.example/', ord % 100) as url from t
 union all select 1, ord, 0, name, mw, concat(name, ' - ', size, ' - ', note), concat('https://x.example/', ord % 150) from t
 union all select 2, ord, 0, name, mw, concat(name, ' ', size, ' ', note), concat('https://x.example/', ord % 60) from t),
-s as (select *, branch * 1000000000000 + ord * 1000 + pos as seq from r where {LISTED_GATES_SQL}),
+s as (select *, row_number() over (order by branch, ord, pos) as seq from r where {LISTED_GATES_SQL}),
 e as (select s.*, coalesce(k.d, date '2024-01-01' + (ord % 30)::int) as eff, k.id from s left join
   (select concat('https://x.example/', s_suppkey) as u, s_suppkey as id, date '2024-01-01' + (s_suppkey % 30)::int as d from supplier where s_suppkey % 3 = 0) k on k.u = s.url),
 g as (select *, not (regexp_matches(name, 'wind\\b', 'i') or contains(lower(text), 'turbine')) as gate_ok from e),
@@ -416,7 +417,7 @@ def scan_of_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.create_map(F.lit("Project Name"), name, F.lit("Size"), size, F.lit("Stage"), note)
     lists = parts.select(F.col("p_partkey").alias("ord"), page(60).alias("url"), F.create_map(F.lit("l"), F.array(row)).alias("lists"))
     branches = [
-        parsers.table_projects(_landed(parts, cells).withColumn("url", F.concat(F.lit("https://x.example/"), F.col("ord") % 100)), day).withColumn("pos", F.lit(0)),
+        parsers.table_projects(_landed(parts, cells).withColumn("url", F.concat(F.lit("https://x.example/"), F.col("ord") % 100)), day),
         parsers.bullet_projects(_landed(parts, bullet).withColumn("url", F.concat(F.lit("https://x.example/"), F.col("ord") % 150)), day),
         parsers.captured_projects(lists, day),
     ]
@@ -430,12 +431,12 @@ def stored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = lambda d: F.lit(d).cast("date")
-    return dedup.scan_dedup(scan_of_all_sources(spark, sf_dir), stored_urls(spark, sf_dir), bound("2024-01-03"), bound("2024-01-25"))
+    return dedup.scan_dedup(stage(scan_of_all_sources(spark, sf_dir)), stored_urls(spark, sf_dir), bound("2024-01-03"), bound("2024-01-25"))
 
 
-@query(f"{CHAIN_SQL} select branch, seq as ord, name, mw as capacity_mw, url as source_url, passes, project_ref from w")
+@query(f"{CHAIN_SQL} select branch, ord, pos, name, mw as capacity_mw, url as source_url, passes, project_ref from w")
 def scan_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deduped(spark, sf_dir).select("branch", "ord", "name", "capacity_mw", "source_url", "passes", "project_ref")
+    return _deduped(spark, sf_dir).select("branch", "ord.ord", "ord.pos", "name", "capacity_mw", "source_url", "passes", "project_ref")
 
 
 @query(f"{CHAIN_SQL} select count(*) filter (where passes) as projects_found, count(*) filter (where passes and project_ref = 'new') as new_projects from w")
