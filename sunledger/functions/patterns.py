@@ -152,21 +152,6 @@ NON_DEVELOPER_HOSTS = (
     "heraldsun.com.au",
 )
 
-# End of the fixed values.
-
-#: White space as browsers and script engines see it; Java's \s is ASCII alone.
-SPACE = "[\\s ﻿  -     　]"
-
-
-def whole_word(pattern: str) -> str:
-    """The pattern between ASCII word boundaries (Java's \\b is Unicode-aware, ours must not be)."""
-    return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
-
-
-def any_of(literals: tuple[str, ...]) -> str:
-    """An alternation of literals, for rlike."""
-    return "|".join(x.replace(".", "\\.") for x in literals)
-
 #: Headers of an uploaded spreadsheet that stand for a field, in the order in which they are looked for.
 UPLOAD_HEADERS = {
     "epbc_number": ("epbc number", "epbc no", "referral number", "epbc"),
@@ -183,9 +168,31 @@ UPLOAD_HEADERS = {
 SOLAR_TITLES = ("solar", "pv", "photovoltaic", "hybrid solar", "solar farm", "solar park", "solar project", "solar and battery", "solar bess")
 #: Words that make a contact's name one of a team rather than of a person.
 NOT_ONE_PERSON = "team|group|office|crew|solar|renewables|energy"
-#: Market statistics near a capacity.
-STATISTIC = r"total (?:installed )?capacity|cumulative|pipeline of|combined capacity|nationwide|across australia|installed capacity"
+#: A capacity of a market rather than of a project.
+STATISTIC = (
+    r"\d+(?:\.\d+)?\s*(?:mw|gw|megawatt|gigawatt)\s+(?:cumulative|total|installed|of (?:solar|renewable|wind|bess|battery)"
+    r"|capacity in australia|capacity in new zealand|across australia)"
+)
+#: First cells of header rows in newsletter tables, and states of rows in them that are news.
+MILESTONE_HEADERS = ("project", "status", "developer", "state", "country")
+MILESTONE_STATES = ("added to", "proposed", "being assessed", "under assessment", "split from")
+MILESTONE_UNDER_WAY = ("being assessed", "under assessment")
 #: Kinds and states of embedded records that count as early, and states of snapshot records.
 EARLY_TYPE = "in development|announced|planning|proposed"
 EARLY_STATUS = "in development|under development|announced|planning"
 SNAPSHOT_STATUSES = ("Proposed", "Approved", "Committed", "Committed (FID)")
+
+# End of the fixed values.
+
+#: White space as browsers and script engines see it; Java's \s is ASCII alone.
+SPACE = "[\\s ﻿  -     　]"
+
+
+def whole_word(pattern: str) -> str:
+    """The pattern between ASCII word boundaries (Java's \\b is Unicode-aware, ours must not be)."""
+    return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
+
+
+def any_of(literals: tuple[str, ...]) -> str:
+    """An alternation of literals, for rlike."""
+    return "|".join(x.replace(".", "\\.") for x in literals)

@@ -489,14 +489,25 @@ def _landed(df: DataFrame, content: Column) -> DataFrame:
     return df.select(F.lit("s").alias("source"), F.concat(F.lit("https://x.example/"), "p_partkey").alias("url"), F.col("p_partkey").alias("ord"), content.alias("content"))
 
 
-@query("""select p_partkey as ord, 0 as pos, concat(p_name, ' solar') as name, concat('https://x.example/', p_partkey, '/a') as source_url from part where p_size % 2 = 0
-union all select p_partkey, 1, concat(p_name, ' photovoltaic'), concat('https://x.example/', p_partkey, '/b') from part where p_size % 3 <> 0""")
+@query("""with r as (select p_partkey as ord, 0 as pos, concat(p_name, case when p_size % 2 = 0 then ' solar' else ' wind' end) as name, concat('https://x.example/', p_partkey, '/a') as source_url,
+  concat('Plans by Alpha Energy in Victoria, ', p_size * 10, ' MW') as description, case when p_size % 5 = 0 then null else date '2024-01-02' end as d from part
+union all select p_partkey, 1, concat(p_name, ' photovoltaic'), concat('https://x.example/', p_partkey, '/b'), case when p_size % 3 = 0 then 'now generating' else 'resource consent' end, date '2024-02-03' from part
+union all select p_partkey, 2, concat(p_name, ' solar late'), 'https://x.example/c', 'soon', date '2025-02-03' from part union all select p_partkey, 3, concat(p_name, ' solar linkless'), '', 'soon', date '2024-02-03' from part)
+select ord, pos, name, source_url, description, d as announced_date, case when pos = 0 then nullif(regexp_extract(description, '(\\d+) MW', 1), '')::double end as capacity_mw, case when pos = 0 then 'Victoria' end as location,
+case when pos = 1 then 'under_development' else 'announced' end as status from r
+where contains(name, 'solar') and pos <> 3 and d <= date '2024-12-31' or pos = 1 and description = 'resource consent'""")
 def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size, link = F.col("p_size"), F.concat(F.lit("<link>https://x.example/"), "p_partkey")
-    one = F.concat(F.lit("<item><title><![CDATA["), "p_name", F.when(size % 2 == 0, " solar").otherwise(" wind"), F.lit("]]></title>"), link, F.lit("/a</link><description>&lt;b&gt; x</description></item>"))
-    two = F.concat(F.lit("<ITEM><title>"), "p_name", F.lit(" photovoltaic</title>"), link, F.lit("/b</link><description>"), F.when(size % 3 == 0, "now generating").otherwise("soon"), F.lit("</description></ITEM>"))
-    feeds = _landed(table(spark, sf_dir, "part"), F.concat(F.lit("<rss>"), one, F.lit("\n"), two, F.lit("</rss>")))
-    return parsers.rss_items(feeds, F.lit("2024-01-01").cast("date")).select("ord", "pos", "name", "source_url")
+    # tags with attributes, an item that generates, one after the window, one without date, one without link
+    size, link = F.col("p_size"), F.concat(F.lit("https://x.example/"), "p_partkey")
+    item = lambda title, url, text, day: F.concat(F.lit("<item><title type='html'><![CDATA["), title, F.lit("]]></title><link rel='self'>"), url, F.lit("</link><description><![CDATA[<p>"), text, F.lit("</p>]]></description>"), day, F.lit("</item>\n"))
+    day = lambda text: F.lit(f"<pubDate zone='utc'>{text} 10:00:00 GMT</pubDate>")
+    one = item(F.concat("p_name", F.when(size % 2 == 0, " solar").otherwise(" wind")), F.concat(link, F.lit("/a")), F.concat(F.lit("Plans by Alpha Energy in <b>Victoria</b>, "), size * 10, F.lit(" MW")), F.when(size % 5 != 0, day("Tue, 02 Jan 2024")).otherwise(""))
+    two = item(F.concat("p_name", F.lit(" photovoltaic")), F.concat(link, F.lit("/b")), F.when(size % 3 == 0, "now generating").otherwise("resource consent"), day("Sat, 03 Feb 2024"))
+    three = item(F.concat("p_name", F.lit(" solar late")), F.lit("https://x.example/c"), F.lit("soon"), day("Mon, 03 Feb 2025"))
+    four = item(F.concat("p_name", F.lit(" solar linkless")), F.lit(""), F.lit("soon"), day("Sat, 03 Feb 2024"))
+    feeds = _landed(table(spark, sf_dir, "part"), F.concat(F.lit("<rss>"), one, two, three, four, F.lit("</rss>")))
+    found = parsers.rss_items(feeds, F.lit("2024-01-01").cast("date"), F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date"))
+    return found.withColumn("description", F.replace("description", F.lit(" ,"), F.lit(","))).select("ord", "pos", "name", "source_url", "description", "announced_date", "capacity_mw", "location", "status")
 
 
 @query("""select p_partkey as ord, 2 as pos, p_name as name, (p_size * 10)::double as capacity_mw from part
@@ -567,18 +578,38 @@ def captured_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.captured_projects(docs, F.lit(DAY_ONE)).select("ord", "name", "capacity_mw")
 
 
-@query("""select p_partkey as ord, concat(p_name, ' Solar Farm ', p_size, ' MW') as name, case when p_size % 3 = 0 then 'NZ' else 'AU' end as country, p_brand as developer, p_size::double as capacity_mw
-from part where p_size >= 5 and p_size % 2 = 0""")
+@query("""with r as (select p_partkey as ord, case when p_size % 7 = 1 then 'PV ' else concat(p_name, ' & Sons Solar Farm ', p_size, ' MW') end as name, case when p_size % 2 = 0 then 'Added to list' when p_size % 5 = 0 then 'Being assessed' else 'Built' end as m,
+case when p_size % 3 = 0 then 'NZ' else 'NSW' end as place, p_brand as dev, case when p_size % 4 = 0 then 'a turbine site' when p_size % 4 = 1 then 'near town' else '' end as about, p_size from part)
+select ord, name, p_size::double as capacity_mw, case when place = 'NZ' then 'NZ' else 'AU' end as country, place as location, dev as developer, case when m = 'Being assessed' then 'under_development' else 'announced' end as status,
+case when about = '' then concat(name, ' ') else about end as description, date '2024-05-06' as announced_date from r where m <> 'Built' and not contains(about, 'turbine') and p_size >= 5 and length(name) > 3""")
 def newsletter_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a short name, a built project, a turbine in the description, a small one, header rows, rows outside tables
     size = F.col("p_size")
-    row = F.concat(F.lit("<tr><td><b>"), "p_name", F.lit(" Solar Farm "), size, F.lit(" MW</b></td><td>"), F.when(size % 2 == 0, "Added to list").otherwise("Built"), F.lit("</td><td>"), F.when(size % 3 == 0, "NZ").otherwise("NSW"), F.lit("</td><td>"), "p_brand", F.lit("</td><td></td></tr>"))
-    return parsers.milestone_rows(_landed(table(spark, sf_dir, "part"), F.concat(F.lit("<table><tr><th>Project</th></tr>"), row, F.lit("</table>")))).select("ord", "name", "country", "developer", "capacity_mw")
-
-
-@query("""select p_partkey as ord, 1 as pos, concat(p_name, ' Solar Farm') as name, p_size::double as capacity_mw from part where p_size >= 5""")
+    name = F.when(size % 7 == 1, "PV").otherwise(F.concat("p_name", F.lit(" &amp; Sons&nbsp;Solar Farm "), size, F.lit(" MW")))
+    state = F.when(size % 2 == 0, "Added to list").when(size % 5 == 0, "Being assessed").otherwise("Built")
+    about = F.when(size % 4 == 0, "a turbine site").when(size % 4 == 1, "near town").otherwise("")
+    row = F.concat(F.lit("<tr><td><b>"), name, F.lit("</b></td><td>"), state, F.lit("</td><td>"), F.when(size % 3 == 0, "NZ").otherwise("NSW"), F.lit("</td><td>"), "p_brand", F.lit("</td><td>"), about, F.lit("</td></tr>"))
+    head = F.lit("<table class='x'><tr><th>Project</th><th>proposed</th><th>State</th><th>x</th><th>solar 9 MW</th></tr><tr><th>Country</th><th>proposed</th><th>State</th><th>x</th><th>solar 9 MW</th></tr>")
+    found = parsers.milestone_rows(_landed(table(spark, sf_dir, "part"), F.concat(head, row, F.lit("</table>"), row)), F.lit("2024-05-06").cast("date"))
+    return found.select("ord", "name", "capacity_mw", "country", "location", "developer", "status", "description", "announced_date")
+
+
+@query("""with r as (select p_partkey as ord, 1 as pos, concat(p_name, ' Solar Farm') as name, case when p_size >= 5 then p_size::double end as capacity_mw, p_size % 3 = 0 as over from part
+union all select p_partkey, 2, 'Total capacity', 900, false from part union all select p_partkey, 4, 'Two figures', 10000, false from part
+union all select p_partkey, 6, 'Solar plant without a name of its own, 30 MW', 30, false from part)
+select ord, pos, name, capacity_mw, 'NSW' as location, date '2024-06-07' as announced_date from r where capacity_mw is not null and not over""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("intro\n## **"), "p_name", F.lit(" Solar Farm**\nA solar plant of "), "p_size", F.when(F.col("p_size") >= 5, " MW").otherwise(" acres"), F.lit("\n## Total capacity\nsolar pipeline of 900 MW nationwide"))
-    return parsers.markdown_sections(_landed(table(spark, sf_dir, "part"), text)).select("ord", "pos", "name", "capacity_mw")
+    # each section but the good ones is dropped by one rule alone: nothing but a market's figure, no date in the window
+    size, far = F.col("p_size"), "x" * 90
+    one = F.concat(F.lit("intro\n## **"), "p_name", F.lit(" Solar Farm**\nA solar plant of "), size, F.when(size >= 5, " MW").otherwise(" acres"), F.when(size % 3 == 0, " now generating").otherwise(""), F.lit(" in NSW, June 7, 2024"))
+    rest = (
+        "\n## Total capacity\nsolar pipeline of 900 MW nationwide, NSW, June 7, 2024\n## Of the market\n10 GW cumulative large-scale solar, NSW, June 7, 2024"
+        f"\n## Two figures\n10 GW total solar {far} and a plant of 20 MW, NSW, June 7, 2024\n## Undated one\nsolar 40 MW, NSW\n# abc\nSolar plant without a name of its own, 30 MW\nNSW, June 7, 2024"
+        "\n## Too late solar\n40 MW, NSW, June 7, 2025"
+    )
+    bound = lambda d: F.lit(d).cast("date")
+    found = parsers.markdown_sections(_landed(table(spark, sf_dir, "part"), F.concat(one, F.lit(rest))), F.lit(DAY_ONE), bound("2024-01-01"), bound("2024-12-31"))
+    return found.select("ord", "pos", "name", "capacity_mw", "location", "announced_date")
 
 
 @query("select p_partkey as ord, p_name as name from part")

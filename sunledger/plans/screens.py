@@ -256,18 +256,70 @@ def snapshot_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.snapshot_projects(pages, key, F.lit(DAY_ONE)).select("ord", "name", "capacity_mw", "developer", "status")
 
 
-@query("""select p_partkey as ord, concat(p_name, ' proposed solar') as name, 'https://x.example/n' as source_url, date '2024-06-12' as announced_date from part where p_size % 2 = 0 and length(p_name) >= 1""")
+@query("""select p_partkey as ord, concat(p_name, ' proposed solar') as name, case when p_size % 3 = 0 then 'https://x.example/n' else concat('https://x.example/', p_partkey) end as source_url, date '2024-06-12' as announced_date,
+(p_size * 10)::double as capacity_mw, 'SA' as location, 'announced' as status from part where p_size % 2 = 0 and p_size % 5 <> 0""")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # blocks that generate, without date, with a short heading
     size = F.col("p_size")
-    block = F.concat(F.lit('<article class="post"><h2>'), "p_name", F.lit(' proposed solar</h2><a href="https://x.example/n">x</a> June 12, 2024 '), F.when(size % 2 == 0, "planning approval").otherwise("now operating"), F.lit("</article>"))
-    return parsers.html_blocks(_landed(table(spark, sf_dir, "part"), block)).select("ord", "name", "source_url", "announced_date")
+    block = F.concat(
+        F.lit('<article class="post"><h2><i>'), "p_name", F.lit("</i> proposed solar</h2>"), F.when(size % 3 == 0, '<a href="https://x.example/n">x</a>').otherwise(""), F.when(size % 5 == 0, " undated ").otherwise(" June 12, 2024 "),
+        F.when(size % 2 == 0, "permit lodged").otherwise("now operating"), F.lit(" in SA, "), size * 10, F.lit(' MW</article><section class="entry"><h3>solar</h3> permit, June 12, 2024</section>'),
+    )
+    found = parsers.html_blocks(_landed(table(spark, sf_dir, "part"), block), "url", F.lit(DAY_ONE), F.lit("2024-02-01").cast("date"))
+    return found.select("ord", "name", "source_url", "announced_date", "capacity_mw", "location", "status")
+
+
+LETTER_SQL = """s as (select p_partkey as ord, concat(p_name, ' Solar Farm') as name, p_size::double as mw, 'announced' as status from part where p_size >= 5 and p_size % 4 <> 0
+union all select p_partkey, concat(p_name, ' Hybrid Solar'), 80, 'under_development' from part where p_size % 4 <> 0)"""
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newsletters with a section without solar power, headers in any case, a name that comes again, and some without any section."""
+    text = F.concat(
+        F.lit("<p>hello</p> NEW PROJECT: "), "p_name", F.lit(" Solar Farm. A plant of "), "p_size", F.lit(" MW <b>PROJECT UPDATE:</b> "), "p_name", F.lit(" Ridge. 70 MW project update: "), "p_name",
+        F.lit(" Hybrid Solar. 80 MW New Project: "), "p_name", F.lit(" Solar Farm. 90 MW again PROJECT MILESTONE: Other solar. 90 MW"),
+    )
+    return _landed(table(spark, sf_dir, "part"), F.when(F.col("p_size") % 4 == 0, "<p>nothing</p>").otherwise(text))
 
 
-@query("""select p_partkey as ord, concat(p_name, ' Solar Farm') as name, p_size::double as capacity_mw, 'announced' as status from part where p_size >= 5
-union all select p_partkey, concat(p_name, ' Ridge'), 70, 'under_development' from part""")
+@query(f"with {LETTER_SQL} select ord, name, mw as capacity_mw, status from s")
 def newsletter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("<p>hello</p> NEW PROJECT: "), "p_name", F.lit(" Solar Farm. A plant of "), "p_size", F.lit(" MW <b>PROJECT UPDATE:</b> "), "p_name", F.lit(" Ridge. 70 MW PROJECT MILESTONE: Other. 90 MW"))
-    return parsers.newsletter_sections(_landed(table(spark, sf_dir, "part"), text)).select("ord", "name", "capacity_mw", "status")
+    return parsers.newsletter_sections(letters(spark, sf_dir), F.lit(DAY_ONE)).select("ord", "name", "capacity_mw", "status")
+
+
+@query(f"""with {LETTER_SQL}, a as (select p_partkey as ord, p_name as name, case when p_size % 3 = 0 then null when p_size % 3 = 1 then p_size::double else 25 end as mw from part)
+select ord, name, mw as capacity_mw, 'announced' as status, concat('https://x.example/', ord, '#gpt-', replace(name, ' ', '%20')) as source_url from a where ord not in (select ord from s) and (mw is null or mw >= 5)
+union all select ord, name, mw, status, null from s""")
+def newsletter_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers stand in for newsletters without sections: their capacity, else that of their text."""
+    size = F.col("p_size")
+    one = _json_of(name=F.col("p_name"), description=F.when(size % 3 == 2, "some 25 MW").otherwise("a plant"), capacity_mw=F.when(size % 3 == 1, size))
+    answers = _landed(table(spark, sf_dir, "part"), F.concat(F.lit("```json\n["), one, F.lit(',{"capacity_mw":9},'), one, F.lit("]\n```")))
+    found = parsers.newsletter_sections(letters(spark, sf_dir), F.lit(DAY_ONE))
+    both = found.withColumn("source_url", F.lit(None).cast("string")).unionByName(parsers.newsletter_answers(answers, found, F.lit(DAY_ONE)), allowMissingColumns=True)
+    return both.select("ord", "name", "capacity_mw", "status", "source_url")
+
+
+SOURCE_SQL = """r as (select p_partkey, p_partkey % 50 as k, p_name, p_size from part),
+f as (select concat('s', k) as source, 0 as branch, p_partkey as ord, concat(p_name, ' solar ', p_size, ' MW') as name, concat('https://x.example/', p_partkey % 200) as url from r where k % 3 = 0),
+g as (select concat('s', k), 1, p_partkey, concat(p_name, ' proposed solar ', p_size, ' MW'), concat('https://x.example/', p_partkey % 400) from r where k % 3 < 2 and k % 5 <> 0),
+b as (select * from f union all select * from g), o as (select concat('s', k) as source, 2 as branch, p_partkey as ord, concat(p_name, ' Solar Farm') as name, concat('https://x.example/', p_partkey % 100) as url from r),
+u as (select * from b union all select * from o where source not in (select source from b))
+select source, branch, ord, name, url as source_url from u qualify row_number() over (partition by source, url order by branch, ord) = 1"""
+
+
+@query(f"with {SOURCE_SQL}")
+def source_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's feed, then its pages, the first of a URL; a model's answers for sources without any row."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    landed = lambda keep, content: table(spark, sf_dir, "part").filter(keep).select(F.concat(F.lit("s"), key % 50).alias("source"), F.concat(F.lit("https://x.example/"), key % 100).alias("url"), key.alias("ord"), content.alias("content"))
+    item = F.concat(F.lit("<item><title>"), "p_name", F.lit(" solar "), size, F.lit(" MW</title><link>https://x.example/"), key % 200, F.lit("</link></item>"))
+    block = F.concat(F.lit('<div class="post"><h2>'), "p_name", F.lit(" proposed solar "), size, F.lit(' MW</h2><a href="https://x.example/'), key % 400, F.lit('">x</a></div>'))
+    k, day = key % 50, F.lit(DAY_ONE)
+    feed = parsers.rss_items(landed(k % 3 == 0, item), day).withColumn("branch", F.lit(0))
+    pages = parsers.html_blocks(landed((k % 3 < 2) & (k % 5 != 0), block), "url", day).withColumn("branch", F.lit(1))
+    answers = parsers.answer_projects(landed(F.lit(True), F.concat(F.lit("["), _json_of(name=F.concat("p_name", F.lit(" Solar Farm"))), F.lit("]"))), day).withColumn("branch", F.lit(2))
+    return gates.first_of_source([feed, pages], answers).select("source", "branch", "ord", "name", "source_url")
 
 
 # Contacts.
@@ -457,6 +509,8 @@ GOLDEN: tuple[tuple[str, str, str | None], ...] = (
     ("long_date", "2026-June-12", "2026-06-12"), ("csv", 'a,"b"', '"a,""b"""'), ("jurisdiction", "New Zealand", "NZ"), ("jurisdiction", "NSW", "AU"),
     ("phone", "call +61 02 9999 1234 now", "+61 02 9999 1234"), ("phone", "call 12 now", None), ("person", "by Project Manager and Jo Smith", "Jo Smith"), ("url", "a b/(c)", "a%20b%2F(c)"), ("limited", "Quota exceeded", "true"), ("limited", "fine", "false"),
     ("host", "https://www.x.example/a", "x.example"), ("domain", "jo@X.Example", "x.example"), ("company", "Acme Energy Pty Ltd", "acmeenergy"), ("title", "CEO", "8"),
+    ("statistic", "10 GW cumulative large-scale solar capacity", "true"), ("statistic", "2.5 gigawatt of solar by 2030", "true"), ("statistic", "3 GW total, and a 50 MW farm", "true"), ("statistic", "50 MW farm " + "x" * 80 + " 3 GW total", "false"),
+    ("statistic", "pipeline of 900 MW nationwide", "false"), ("statistic", "installed 40 MW", "false"), ("statistic", "no figure in total", "false"),
     ("email_context", "<p>write to Jo@X.example today</p>", "jo@x.example|write to Jo@X.example today"),
 )
 
@@ -468,7 +522,7 @@ def golden_value(text: Column) -> dict[str, Column]:
         "solar_part": X.has_solar_component(text), "noisy": X.is_noisy_name(text), "shapeless": X.is_noisy_name(text, True), "technology": X.technology(text, none)["technology_type"],
         "approved": X.is_approved(text, none), "serial": X.serial_date(text.try_cast("double")), "referral_date": X.referral_date(text), "long_date": X.long_date(text), "csv": X.csv_field(text),
         "jurisdiction": X.jurisdiction_country(text), "phone": X.phone(text), "person": X.person_name(text), "url": X.url_component(text), "limited": X.is_rate_limited(text), "host": X.host(text),
-        "domain": X.email_domain(text), "company": X.company_key(text), "title": X.title_score(text),
+        "domain": X.email_domain(text), "company": X.company_key(text), "title": X.title_score(text), "statistic": parsers.only_statistics(text),
         "email_context": F.array_join(F.transform(X.email_contexts(text), lambda x: F.concat(x["email"], F.lit("|"), x["context"])), ";"),
     }
 
@@ -477,13 +531,19 @@ def _quoted(value: str | None) -> str:
     return "null" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-@query("select * from (values " + ", ".join(f"({i}, {_quoted(f)}, {_quoted(t)}, {_quoted(v)})" for i, (f, t, v) in enumerate(GOLDEN)) + ") as t(id, fn, input, value)")
+GOLDEN_SQL = "values " + ", ".join(f"({i}, {_quoted(f)}, {_quoted(t)}, {_quoted(v)})" for i, (f, t, v) in enumerate(GOLDEN))
+
+
+@query(f"select p_partkey as id, fn, concat(p_partkey, '|', input) as input, value from part join ({GOLDEN_SQL}) as t(i, fn, input, value) on i = p_partkey % {len(GOLDEN)}")
 def golden_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, f, t) for i, (f, t, _) in enumerate(GOLDEN)], "id int, fn string, input string")
+    """One of the texts for each part."""
+    pick = (F.col("p_partkey") % len(GOLDEN)).cast("int")
+    some = lambda k: F.get(F.array(*(F.lit(g[k]) for g in GOLDEN)), pick)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), some(0).alias("fn"), some(1).alias("input"))
     value = F.lit(None).cast("string")
     for name, found in golden_value(F.col("input")).items():
         value = F.when(F.col("fn") == name, found.cast("string")).otherwise(value)
-    return rows.withColumn("value", value)
+    return rows.withColumn("value", value).withColumn("input", F.concat_ws("|", F.col("id").cast("string"), "input"))
 
 
 __all__ = ["LISTED", "scan_of_all_sources"]

@@ -1,12 +1,17 @@
 """Landed content to canonical records.
 
-Each parser takes a DataFrame of landed documents (source, url, ord, content and, where a rule
-needs it, country) and yields rows of one kind. Patterns run in the JVM; documents become rows by
-explode, and the order of a row within its document goes along as `pos`.
+Each parser takes a DataFrame of landed documents (source, url, ord, content, and country, AU where there is
+no such column) and yields rows of one kind. Patterns run in the JVM; documents become rows by
+explode, and the order of a row within its document goes along as `pos`. Rows have the fields of a scraped
+record: what a text says of capacity, developer, place and status, and null for contacts it doesn't name.
 """
 
 from __future__ import annotations
 
+import base64
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,34 +48,58 @@ def feed_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(_one(text, r"(\d{1,2} [A-Za-z]{3} \d{4})"), "d MMM yyyy"), written_date(text))
 
 
+def _country(df: DataFrame) -> Column:
+    return F.coalesce("country", F.lit("AU")) if "country" in df.columns else F.lit("AU")
+
+
+def place_in(text: Column, country: Column) -> Column:
+    """The first place of the record's country that the text names."""
+    return F.when(country == "NZ", X.location(text, "NZ")).otherwise(X.location(text, "AU"))
+
+
+def with_record(df: DataFrame, text: Column, today: Column | None, date_from: Column | None, date_to: Column | None, date: Column | None = None) -> DataFrame:
+    """`df` (name, description, source_url) with what `text` says: capacity_mw unless there is one, developer, location,
+    country, status and announced_date, a date that is not written being `today`. With a bound rows without
+    a written date go, and so do those outside."""
+    found = written_date(text) if date is None else date
+    df = df.withColumns({"_text": text, "_date": found, "country": _country(df)})
+    text = F.col("_text")
+    fields = {"capacity_mw": X.capacity(text)} if "capacity_mw" not in df.columns else {}
+    fields |= {"developer": X.developer(text), "location": place_in(text, F.col("country")), "status": X.status(text), "source_name": F.col("source")}
+    fields["announced_date"] = F.col("_date") if today is None else F.coalesce("_date", today)
+    df = df.withColumns(fields).filter(date_gate(F.col("_date").isNotNull(), F.col("announced_date"), date_from, date_to))
+    none = F.lit(None).cast("string")
+    return df.withColumns({c: none for c in ("contact_name", "contact_email", "contact_phone")}).drop("_text", "_date", "content")
+
+
 def rss_items(feeds: DataFrame, today: Column, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
-    """Items of RSS feeds that speak of solar power and of nothing that already generates."""
+    """Items of RSS feeds that speak of solar power and of nothing that already generates. Tags may have attributes."""
     df = explode_at(feeds, _all(F.col("content"), r"(?is)<item>(.*?)</item>"), "item")
 
-    def field(tag: str) -> Column:
-        return F.trim(_one(F.col("item"), rf"(?is)<{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>"))
+    def field(tag: str, flags: str) -> Column:
+        pattern = rf"(?{flags})<{tag}[^>]*><!\[CDATA\[(.*?)\]\]></{tag}>|<{tag}[^>]*>(.*?)</{tag}>"
+        return F.trim(F.coalesce(_one(F.col("item"), pattern, 1), _one(F.col("item"), pattern, 2), F.lit("")))
 
-    df = df.select(
-        "source", "url", "ord", "pos", field("title").alias("name"), F.trim(_one(F.col("item"), r"(?is)<link>(.*?)</link>")).alias("source_url"),
-        F.left(X.strip_html(F.coalesce(field("description"), F.lit(""))), F.lit(800)).alias("description"), feed_date(_one(F.col("item"), r"(?is)<pubDate>(.*?)</pubDate>")).alias("_date"),
-    )
+    link = F.trim(F.regexp_extract("item", r"(?i)<link[^>]*>(.*?)</link>|<link[^>]*/>", 1))
+    df = df.withColumns({
+        "name": field("title", "i"), "source_url": link, "description": F.left(clean_cell(field("description", "is")), F.lit(800)),
+        "_pub": F.trim(_one(F.col("item"), r"(?i)<pubDate[^>]*>(.*?)</pubDate>")),
+    }).filter("name <> '' and source_url <> ''")
     both = F.concat_ws(" ", "name", "description")
-    keep = F.col("name").isNotNull() & F.col("source_url").isNotNull() & X.mentions_solar(both) & ~X.has_any(both, X.P.EXCLUDE)
-    df = df.filter(keep).withColumn("announced_date", F.coalesce("_date", today))
-    return df.filter(date_gate(F.col("_date").isNotNull(), F.col("announced_date"), date_from, date_to)).drop("_date")
+    return with_record(df.filter(X.mentions_solar(both) & ~X.has_any(both, X.P.EXCLUDE)), both, today, date_from, date_to, feed_date(F.col("_pub"))).drop("item", "_pub")
 
 
-def html_blocks(pages: DataFrame, search_url: str = "url") -> DataFrame:
-    """Article-like blocks of listings: early-stage solar news with a heading of 10 or more."""
+def html_blocks(pages: DataFrame, search_url: str = "url", today: Column | None = None, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
+    """Article-like blocks of listings: early-stage solar news with a heading of 10 or more. Rules read the block as it
+    is, marks and all; the description is its text."""
     block = r'(?is)<(?:article|div|section)[^>]*class="[^"]*(?:post|article|entry|item|result)[^"]*"[^>]*>(.*?)</(?:article|div|section)>'
     df = explode_at(pages, _all(F.col("content"), block), "block")
-    body = F.left(X.strip_html(F.col("block")), F.lit(600))
-    df = df.withColumns({
-        "name": clean_cell(_one(F.col("block"), r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>")),
-        "source_url": F.coalesce(_one(F.col("block"), r'(?i)href="(https?://[^"]+)"'), F.col(search_url)), "body": body,
-    })
-    keep = X.mentions_solar(body) & X.is_early_stage(body) & (F.length("name") >= 10)
-    return df.filter(keep).select("source", "url", "ord", "pos", "name", "source_url", F.left("body", F.lit(500)).alias("description"), written_date(F.col("body")).alias("announced_date"))
+    raw = F.col("block")
+    df = df.filter(X.mentions_solar(raw) & X.is_early_stage(raw)).withColumns({
+        "name": F.trim(F.regexp_replace(F.coalesce(_one(raw, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit("")), "<[^>]+>", "")),
+        "source_url": F.coalesce(_one(raw, r'(?i)href="(https?://[^"]+)"'), F.col(search_url)), "description": F.left(clean_cell(raw), F.lit(500)),
+    }).filter(F.length("name") >= 10)
+    return with_record(df, raw, today, date_from, date_to).drop("block")
 
 
 def html_headings(pages: DataFrame, content: str = "html") -> DataFrame:
@@ -83,23 +112,22 @@ def html_list_items(pages: DataFrame, content: str = "html") -> DataFrame:
     return explode_at(pages, _all(F.col(content), r"(?is)<li[^>]*>(.*?)</li>"), "li").withColumn("item", clean_cell(F.col("li"))).drop("li")
 
 
-def markdown_sections(pages: DataFrame) -> DataFrame:
+def markdown_sections(pages: DataFrame, today: Column | None = None, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
     """Sections that begin at a heading of level 1 to 3, with a capacity, solar, and a usable name."""
     df = explode_at(pages, F.split(F.col("content"), r"\n(?=#{1,3} )"), "section")
-    first_line = F.trim(F.regexp_extract("section", r"^#{1,3}\s+([^\n]+)", 1))
-    other = _one(F.col("section"), r"(?m)^\s*([^\n]{11,})")
-    name = F.trim(F.regexp_replace(F.coalesce(F.nullif(first_line, F.lit("")), other), r"[*\[\]`]", ""))
-    df = df.withColumns({"name": name, "capacity_mw": X.capacity(F.col("section"))})
-    keep = (
-        X.mentions_solar(F.col("section")) & F.col("capacity_mw").isNotNull() & ~X.has_any(F.col("section"), X.P.EXCLUDE)
-        & ~only_statistics(F.col("section")) & (F.length("name") >= 5) & ~X.is_noisy_name(F.col("name")) & X.has_solar_component(F.col("name"), F.col("section"))
-    )
-    link = F.coalesce(_one(F.col("section"), r"\]\((https?://[^)]+)\)"), F.col("url"))
-    return df.filter(keep).select("source", "url", "ord", "pos", "name", "capacity_mw", link.alias("source_url"), F.left("section", F.lit(500)).alias("description"), written_date(F.col("section")).alias("announced_date"))
+    section = F.col("section")
+    heading = F.trim(F.regexp_replace(F.regexp_extract(section, r"(?m)^#{1,3} ([^\n\r]+)", 1), r"[*\[\]`]", ""))
+    line = F.get(F.filter(F.split(section, "\n"), lambda x: F.length(F.trim(x)) > 10), F.lit(0))
+    df = df.withColumns({"name": F.when(F.length(heading) >= 5, heading).otherwise(F.trim(F.coalesce(line, F.lit("")))), "capacity_mw": X.capacity(section)})
+    df = df.filter(is_listed_project(F.col("name"), section, F.col("capacity_mw")) & ~only_statistics(section)).withColumns({
+        "source_url": F.coalesce(_one(section, r"\[.*?\]\((https?://[^)]+)\)"), F.col("url")),
+        "description": F.trim(F.left(F.regexp_replace(section, r"\A#{1,3} [^\n]+\n?", ""), F.lit(500))),
+    })
+    return with_record(df, section, today, date_from, date_to).drop("section")
 
 
 def only_statistics(text: Column, before: int = 60, after: int = 80) -> Column:
-    """Whether every capacity in a text stands near a phrase of market statistics.
+    """Whether a text has a capacity of a market ("10 GW cumulative"), and every capacity in it stands near one.
 
     The text is cut at each capacity; a figure's surroundings are the last characters of the piece
     before it and the first of what follows, so no match offsets are needed."""
@@ -112,7 +140,7 @@ def only_statistics(text: Column, before: int = 60, after: int = 80) -> Column:
     heads = F.aggregate(pieces, none, step(before, F.right))
     tails = F.reverse(F.aggregate(F.reverse(pieces), none, lambda a, p: F.array_append(a, F.left(F.concat(p, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))), F.lit(after)))))
     around = F.transform(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda i: F.concat(F.get(heads, i), F.coalesce(F.get(tails, i + 1), F.lit(""))))
-    return text.rlike(f"(?i){X.P.STATISTIC}") & text.rlike(figure) & F.forall(around, lambda a: a.rlike(f"(?i){X.P.STATISTIC}"))
+    return text.rlike(f"(?i){X.P.STATISTIC}") & F.forall(around, lambda a: a.rlike(f"(?i){X.P.STATISTIC}"))
 
 
 def markdown_tables(pages: DataFrame) -> DataFrame:
@@ -136,7 +164,7 @@ def markdown_tables(pages: DataFrame) -> DataFrame:
     text = F.array_join("cells", " ")
     mw = F.coalesce(X.capacity(F.get("cells", F.col("mw_at"))), X.capacity(text))
     return df.withColumns({"name": F.trim(name), "capacity_mw": mw, "text": text}).filter("name <> '' and capacity_mw is not null").select(
-        "source", "url", "ord", "table_pos", "pos", "name", "capacity_mw", F.col("row").alias("description"), "text"
+        "source", "url", "ord", "table_pos", "pos", "name", "capacity_mw", F.col("row").alias("description"), "text", _country(df).alias("country")
     )
 
 
@@ -150,13 +178,11 @@ def is_listed_project(name: Column, text: Column, capacity_mw: Column) -> Column
 
 
 def _listed_projects(rows: DataFrame, today: Column, date_from: Column | None, date_to: Column | None) -> DataFrame:
-    """Rows (name, text, capacity_mw) through the gates and the window, with link and date of their text."""
+    """Rows (name, text, capacity_mw) through the gates and the window, with what their text says."""
     df = rows.filter(is_listed_project(F.col("name"), F.col("text"), F.col("capacity_mw"))).withColumns({
-        "source_url": F.coalesce(_one(F.col("text"), r"\[.*?\]\((https?://[^)]+)\)"), F.col("url")),
-        "description": F.left("text", F.lit(500)), "_date": written_date(F.col("text")),
+        "source_url": F.coalesce(_one(F.col("text"), r"\[.*?\]\((https?://[^)]+)\)"), F.col("url")), "description": F.left("text", F.lit(500)),
     })
-    df = df.withColumn("announced_date", F.coalesce("_date", today))
-    return df.filter(date_gate(F.col("_date").isNotNull(), F.col("announced_date"), date_from, date_to)).drop("_date", "text")
+    return with_record(df, F.col("text"), today, date_from, date_to).drop("text")
 
 
 def table_projects(pages: DataFrame, today: Column, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:
@@ -185,7 +211,7 @@ def bullet_projects(pages: DataFrame, today: Column, date_from: Column | None =
     df = _listed_projects(df, today, date_from, date_to)
     if captured is not None:
         df = df.join(captured.select("ord", F.lower("name").alias("_n")), ["ord", "_n"], "left_anti")
-    return keep_first(df, ["ord", "_n"], ["pos"]).select("source", "url", "ord", "pos", "name", "capacity_mw", "source_url", "description", "announced_date")
+    return keep_first(df, ["ord", "_n"], ["pos"]).drop("_n", "bullet")
 
 
 def captured_lists(documents: DataFrame, lists: str = "lists") -> DataFrame:
@@ -241,39 +267,80 @@ def embedded_projects(pages: DataFrame, today: Column | None = None, date_from:
     )
 
 
-def milestone_rows(pages: DataFrame) -> DataFrame:
-    """Rows of newsletter tables: name, status, state, developer, description by position."""
-    df = pages.select("*", F.posexplode(_all(F.col("content"), r"(?is)<tr[^>]*>(.*?)</tr>")).alias("pos", "tr"))
-    df = df.withColumn("cells", F.transform(_all(F.col("tr"), r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), clean_cell)).filter(F.size("cells") >= 4)
+def milestone_rows(pages: DataFrame, day: Column | None = None) -> DataFrame:
+    """Rows of newsletter tables (name, state of the project, place, developer, description by position) that are
+    news of solar projects of 5 MW or more. `day` is the newsletter's date."""
+    df = pages.select("*", F.posexplode(_all(F.col("content"), r"(?is)<table[^>]*>(.*?)</table>")).alias("table_pos", "table"))
+    df = df.select("*", F.posexplode(_all(F.col("table"), r"(?is)<tr[^>]*>(.*?)</tr>")).alias("pos", "tr"))
+    plain = lambda c: F.trim(F.regexp_replace(F.replace(F.replace(F.regexp_replace(c, "<[^>]+>", " "), F.lit("&amp;"), F.lit("&")), F.lit("&nbsp;"), F.lit(" ")), r"\s+", " "))
+    df = df.withColumn("cells", F.transform(_all(F.col("tr"), r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), plain)).filter(F.size("cells") >= 4)
     at = lambda i: F.get("cells", F.lit(i))
-    df = df.select("source", "url", "ord", "pos", at(0).alias("name"), F.lower(at(1)).alias("milestone"), at(2).alias("state"), at(3).alias("dev"), F.coalesce(at(4), F.lit("")).alias("description"))
-    both = F.concat_ws(" ", "name", "description")
-    wanted = F.col("milestone").rlike("added to|proposed|being assessed|under assessment|split from") & ~F.lower("name").isin("project", "name")
-    df = df.withColumn("capacity_mw", X.capacity(both)).filter(wanted & X.has_solar_component(both) & ~X.is_wind(F.col("name")) & (F.col("capacity_mw") >= 5))
+    df = df.withColumns({"name": at(0), "milestone": F.lower(at(1)), "state": at(2), "dev": at(3), "about": F.coalesce(at(4), F.lit(""))})
+    both = F.concat_ws(" ", "name", "about")
+    wanted = (F.length("name") >= 4) & ~F.lower("name").isin(*X.P.MILESTONE_HEADERS) & X.has_any(F.col("milestone"), X.P.MILESTONE_STATES)
+    solar = X.has_solar_component(F.col("name"), F.col("about")) & ~X.is_wind(F.col("name"), F.col("about"))
+    df = df.withColumn("capacity_mw", X.capacity(both)).filter(wanted & solar & (F.col("capacity_mw") >= 5))
     return df.withColumns({
-        "country": F.when(F.col("state").rlike(X.P.whole_word("NZ")), "NZ").otherwise("AU"),
-        "developer": F.when(F.length("dev").between(2, 99), F.col("dev")), "location": F.when(F.length("state") < 30, F.col("state")),
-    }).drop("dev", "state")
+        "country": F.when(F.col("state").rlike(X.P.whole_word("NZ")), "NZ").otherwise("AU"), "description": F.left(F.coalesce(F.nullif("about", F.lit("")), both), F.lit(600)),
+        "developer": F.when(F.length("dev").between(2, 99), F.col("dev")), "location": F.when((F.length("state") < 30) & (F.col("state") != ""), F.col("state")),
+        "status": F.when(X.has_any(F.col("milestone"), X.P.MILESTONE_UNDER_WAY), "under_development").otherwise("announced"),
+        "source_url": F.concat("url", F.lit("#milestone-"), X.url_component(F.left("name", F.lit(40)))), "announced_date": F.lit(None).cast("date") if day is None else day,
+    }).drop("dev", "state", "about", "cells", "tr", "table", "content")
 
 
-def newsletter_sections(pages: DataFrame) -> DataFrame:
-    """Sections NEW PROJECT and PROJECT UPDATE of newsletters, with at least 5 MW."""
+def newsletter_sections(pages: DataFrame, day: Column | None = None) -> DataFrame:
+    """Sections NEW PROJECT and PROJECT UPDATE of newsletters, in any case, that speak of solar power and have 5 MW or
+    more. The first section of a name in a newsletter stands for it, even where a later gate drops it."""
     text = X.strip_html(F.col("content"), 20_000)
-    df = explode_at(pages, F.split(text, "(?=NEW PROJECT:|PROJECT UPDATE:|PROJECT MILESTONE:)"), "section")
+    df = explode_at(pages, F.split(text, "(?i)(?=NEW PROJECT:|PROJECT UPDATE:|PROJECT MILESTONE:)"), "section")
     body = F.left("section", F.lit(700))
-    name = F.trim(F.regexp_extract("section", r"^(?:NEW PROJECT|PROJECT UPDATE):\s*([^.\n]+)", 1))
-    df = df.withColumns({"body": body, "name": name, "capacity_mw": X.capacity(body)}).filter((F.length("name") >= 5) & (F.col("capacity_mw") >= 5))
-    link = F.concat("url", F.lit("#"), X.url_component(F.left("name", F.lit(40))))
-    return df.select("source", "url", "ord", "pos", "name", "capacity_mw", link.alias("source_url"), F.when(F.col("section").startswith("NEW"), "announced").otherwise("under_development").alias("status"), F.col("body").alias("description"))
+    name = F.trim(F.regexp_extract("section", r"(?i)^(?:NEW PROJECT|PROJECT UPDATE):\s*([^.\n]+)", 1))
+    df = df.withColumns({"body": body, "name": name}).filter((F.length("name") >= 5) & X.has_any(F.col("body"), X.P.SOLAR_TITLES))
+    df = df.withColumn("source_url", F.concat("url", F.lit("#"), X.url_component(F.left("name", F.lit(40)))))
+    df = keep_first(df, ["ord", "source_url"], ["pos"]).withColumn("capacity_mw", X.capacity(F.col("body"))).filter(F.col("capacity_mw") >= 5)
+    return df.withColumns({
+        "status": F.when(F.lower("section").startswith("new"), "announced").otherwise("under_development"), "description": F.left(F.trim("body"), F.lit(600)),
+        "developer": X.developer(F.col("body")), "location": X.location(F.col("body")), "country": F.lit("AU"), "announced_date": F.lit(None).cast("date") if day is None else day,
+    }).drop("section", "body", "content")
+
+
+NEWSLETTER_PROJECT = "name string, description string, capacity_mw double, developer string, location string, country string, status string"
+
+
+def newsletter_answers(answers: DataFrame, found: DataFrame, day: Column) -> DataFrame:
+    """Projects of a model's answers about newsletters (source, url, ord, content), only for newsletters of which
+    `found` (rows of tables and sections) has none: a capacity that the answer lacks is looked for in its text,
+    nameless ones and those known to be under 5 MW go, and the first of each name stays."""
+    have = found.select(F.col("ord").alias("_have")).distinct()
+    df = answer_items(answers.join(have, F.col("ord") == F.col("_have"), "left_anti"), NEWSLETTER_PROJECT)
+    p = lambda k: F.col(f"item.{k}")
+    name = F.coalesce(p("name"), F.lit(""))
+    df = df.withColumn("capacity_mw", F.coalesce(p("capacity_mw"), X.capacity(F.concat_ws(" ", name, F.coalesce(p("description"), F.lit("")))))).filter((name != "") & (F.col("capacity_mw").isNull() | (F.col("capacity_mw") >= 5)))
+    df = df.select(
+        "source", "ord", "pos", p("name").alias("name"), F.coalesce(p("description"), p("name")).alias("description"), "capacity_mw", p("developer").alias("developer"), p("location").alias("location"),
+        F.when(p("country") == "NZ", "NZ").otherwise("AU").alias("country"), F.when(p("status") == "under_development", "under_development").otherwise("announced").alias("status"),
+        F.concat("url", F.lit("#gpt-"), X.url_component(F.left(p("name"), F.lit(40)))).alias("source_url"), day.alias("announced_date"),
+    )
+    return keep_first(df, ["ord", "source_url"], ["pos"])
 
 
 def decode_snapshot(encoded: Column, key: bytes) -> Column:
-    """Base64, then XOR with a repeating key; the text inside. Bytes are taken as hex pairs, so the
-    whole of it stays in column functions."""
-    pairs = F.transform(F.sequence(F.lit(0), F.octet_length(F.unbase64(encoded)) - 1), lambda i: F.conv(F.substr(F.hex(F.unbase64(encoded)), i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    keys = F.array(*(F.lit(k) for k in key))
-    plain = F.transform(pairs, lambda b, i: F.lpad(F.hex(b.bitwiseXOR(F.get(keys, i % len(key))).cast("long")), 2, "0"))
-    return F.when(F.length(encoded) > 0, F.decode(F.unhex(F.array_join(plain, "")), "UTF-8"))
+    """Base64, then XOR with a repeating key; the text inside, null if there is none or it can't be read. One pass
+    over the bytes of a batch of snapshots."""
+
+    @F.pandas_udf("string")
+    def decode(some: pd.Series) -> pd.Series:
+        return some.map(lambda x: _unmask(x, key), na_action="ignore")
+
+    return F.when(F.length(encoded) > 0, decode(encoded))
+
+
+def _unmask(encoded: str, key: bytes) -> str | None:
+    try:
+        plain = np.frombuffer(base64.b64decode(encoded), np.uint8)
+        return (plain ^ np.resize(np.frombuffer(key, np.uint8), len(plain))).tobytes().decode()
+    except ValueError:
+        return None
 
 
 def snapshot_projects(pages: DataFrame, key: bytes, today: Column, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:

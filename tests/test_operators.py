@@ -224,13 +224,6 @@ def test_one_project_for_each_url(spark):
     assert sorted(r["name"] for r in out) == ["A", "C", "D"] and all(r["announced_date"] == DAY and r["capacity_mw"] == 0 for r in out)
 
 
-def test_market_statistics(spark):
-    near, far = "total capacity of 900 MW nationwide", "x " * 60
-    texts = [near, near + far + "a plant of 50 MW", "a plant of 50 MW", near + far + "pipeline of 70 MW", "nationwide " + far + "5 MW"]
-    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parsers.only_statistics(F.col("t")).alias("s")).orderBy("i").select("s").collect()]
-    assert got == [True, False, False, True, False]
-
-
 def test_scan_joins_have_no_key_of_missing_urls(spark):
     rows = spark.createDataFrame([(None, 1, True, DAY), ("", 2, True, DAY), ("a", 3, True, DAY)], "source_url string, ord long, gate_ok boolean, announced_date date")
     stored = spark.createDataFrame([("a", 7, DAY)], "source_url string, stored_id long, stored_date date")
