@@ -152,7 +152,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, updates: tuple[str,
 
     Known keys take the incoming values of `updates` only, so manual edits elsewhere survive.
     Of several incoming rows of a key the first inserts and the last updates, as one after another
-    would. One full outer join; write the result to a new folder and swap."""
+    would. One full outer join; `VersionedTable.upsert` does it for the buckets that the incoming keys fall into."""
     columns = stored.columns
     first = keep_first(incoming, [key], order)
     last = keep_first(incoming, [key], [F.desc(c) if isinstance(c, str) else c.desc() for c in order])

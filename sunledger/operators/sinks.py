@@ -1,4 +1,4 @@
-"""Writing tables. Parquet has no update in place: a change is a new folder, then a swap of paths."""
+"""What a change makes of a table's rows, and plain writers. `versions` commits changes to stored tables."""
 
 from __future__ import annotations
 

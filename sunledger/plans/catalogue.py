@@ -146,6 +146,13 @@ w as (select *, coalesce(max(case when not gate_ok then 1 else 0 end) over b, 0)
 select ord, passes, url is null or (stored_id is null and not prior_fail and first_pass is null) as is_new,
 case when url is null or (stored_id is null and not prior_fail and first_pass is null) then 'new' when prior_fail then 'barred' when stored_id is not null then 'stored' else 'created' end as project_ref from w""")
 def scan_dedup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, stored = scan_events(spark, sf_dir)
+    bound = lambda d: F.lit(d).cast("date")
+    return dedup.scan_dedup(rows, stored, bound("2024-01-03"), bound("2024-01-25")).select("ord", "passes", "is_new", "project_ref")
+
+
+def scan_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as records of a scan, and customers as what is stored."""
     rows = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"), F.when(F.col("event_id") % 50 != 0, F.col("user_id").cast("string")).alias("source_url"),
         (F.col("event_type") != "error").alias("gate_ok"), F.col("ts").cast("date").alias("announced_date"),
@@ -154,8 +161,7 @@ def scan_dedup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("source_url"), F.col("c_custkey").alias("stored_id"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 30).cast("int")).alias("stored_date"),
     )
-    bound = lambda d: F.lit(d).cast("date")
-    return dedup.scan_dedup(rows, stored, bound("2024-01-03"), bound("2024-01-25")).select("ord", "passes", "is_new", "project_ref")
+    return rows, stored
 
 
 @query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id) = 1")

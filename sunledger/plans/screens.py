@@ -3,15 +3,19 @@ sources, and functions on texts whose results are written down by hand."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import contacts, dedup, enrichment, gates, referrals, runs, sinks
-from ..operators.staging import stage
+from ..operators.staging import shared_folder, stage
+from ..operators.versions import VersionedTable
 from ..sources import parsers
-from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, _contact_top1, _landed, listed, query, sql_any, table
+from ..streaming import scan
+from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, ORACLE_SQL, _contact_top1, _landed, listed, query, scan_events, sql_any, table
 
 # Referrals out of parts.
 
@@ -438,9 +442,38 @@ def json_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_rows(rows).select(F.get_json_object("json", "$.id").cast("long").alias("c_custkey"), "json")
 
 
+@query("""with s as (select o_orderkey as k, o_orderstatus as a, o_orderpriority as b from orders where o_orderdate < timestamp '1998-01-01'),
+i as (select case when o_orderkey % 3 = 0 then o_orderkey - 1 else o_orderkey end as k, concat('new', o_orderstatus) as a, o_orderpriority as b, o_orderkey as ord from orders where o_orderkey % 2 = 0),
+f as (select k, arg_min(b, ord) as b, arg_max(a, ord) as a from i group by k), t as (select coalesce(s.k, f.k) as k, coalesce(f.a, s.a) as a, case when s.k is not null then s.b else f.b end as b from s full outer join f on s.k = f.k)
+select k, a, case when k % 10 = 0 then 'done' else b end as b from t where k not in (select l_orderkey from lineitem where l_quantity > 49)""")
+def table_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after three commits: an upsert, an update by key, a deletion."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    stored = orders.filter("o_orderdate < timestamp_ntz '1998-01-01 00:00:00'").select(key.alias("k"), F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"))
+    came = orders.filter("o_orderkey % 2 = 0").select(F.when(key % 3 == 0, key - 1).otherwise(key).alias("k"), F.concat(F.lit("new"), "o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"), key.alias("ord"))
+    stored_table = VersionedTable.create(spark, f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}", stored, "k", buckets=8)
+    stored_table.upsert(came, ("a",), ["ord"])
+    stored_table.update(orders.filter(key % 10 == 0).select(key.alias("k"), F.lit("done").alias("b")), ("b",))
+    stored_table.delete(table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("k")))
+    return stored_table.snapshot()
+
+
 # Scans.
 
 
+@query(ORACLE_SQL["scan_dedup_window"])
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scan in three batches against a stored state."""
+    rows, stored = scan_events(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    state = scan.open_state(spark, f"{folder}/state", stored, buckets=8)
+    last, bound = rows.agg(F.max("ord")).first()[0] or 0, lambda d: F.lit(d).cast("date")
+    for i in range(3):
+        part = rows.filter((F.col("ord") >= last * i // 3 + (i > 0)) & (F.col("ord") <= last * (i + 1) // 3))
+        scan.scan_batch(state, part, str(i), f"{folder}/out/batch={i}", bound("2024-01-03"), bound("2024-01-25"))
+    return spark.read.parquet(f"{folder}/out").select("ord", "passes", "is_new", "project_ref")
+
+
 @query("select event_type as scan_id, count(*) filter (where value > 50) as new_count from events group by 1")
 def scan_new_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.new_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("scan_id"), (F.col("value") > 50).alias("is_new")))

@@ -42,8 +42,8 @@ def cases():
     (X.title_score(S("Head of Projects")), 9), (X.title_score(S("Deputy CEO")), 1), (X.person_name(S("Solar Farm by Jane Doe")), "Jane Doe"),
     (X.developer(S("built by Alpha Energy; x")), "Alpha Energy"), (X.url_component(S("a b!(c)")), "a%20b!(c)"),
     (X.host(S("https://www.a.example/x")), "a.example"), (X.developer_domain(S("https://afr.com/x")), None), (X.is_rate_limited(S("HTTP 429")), True),
-    (X.json_array(S("```json\n[1, [2]]\n```")), "[1, [2]]"), (parsers.only_statistics(S("solar pipeline of 900 MW nationwide")), True),
-    (parsers.only_statistics(S("solar pipeline of 900 MW nationwide. " + "x" * 100 + " Farm 5 MW")), False),
+    (X.json_array(S("```json\n[1, [2]]\n```")), "[1, [2]]"), (parsers.only_statistics(S("solar, 900 MW installed nationwide")), True),
+    (parsers.only_statistics(S("solar, 900 MW installed nationwide. " + "x" * 100 + " Farm 5 MW")), False),
     ]
 
 

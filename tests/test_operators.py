@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sunledger.operators import contacts, dedup, directory, enrichment, referrals, runs, sinks
 from sunledger.sources import parsers
-from sunledger.streaming.scan import incremental_scan
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -174,18 +173,6 @@ def test_portal(spark):
     assert len(rows) == 1 and rows[0]["size_mw"] == 1200.0 and rows[0]["source_url"] == "https://r.example/2024-1" and rows[0]["is_solar"]
 
 
-def test_incremental_scan(spark, tmp_path):
-    schema = "source_url string, ord long, gate_ok boolean, announced_date date"
-    landing, store, check = (str(tmp_path / x) for x in ("landing", "store", "check"))
-    one = [("a", 1, True, DAY), ("b", 2, False, DAY), ("a", 3, True, DAY)]
-    two = [("a", 4, True, DAY), ("c", 5, True, DAY)]
-    typed = spark.createDataFrame(one, schema)
-    for part in (one, two):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
-        incremental_scan(spark, landing, typed.schema, store, check).awaitTermination()
-    assert sorted(r["source_url"] for r in spark.read.parquet(store).collect()) == ["a", "c"]
-
-
 def test_orders_of_lists(spark):
     rows = [("b", "2024-02-01"), ("c", None), ("a", "2024-01-01"), ("d", "2024-01-01")]
     df = spark.createDataFrame(rows, "epbc_number string, referral_date string").withColumns({c: F.lit("x") for c in ("project_name", "proponent", "state")})
