@@ -3,8 +3,12 @@ sources, and functions on texts whose results are written down by hand."""
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from ..functions import text as X
 from ..operators import contacts, dedup, enrichment, gates, referrals, runs, sinks
 from ..operators.staging import shared_folder, stage
 from ..operators.versions import VersionedTable
-from ..sources import parsers
+from ..sources import parsers, workbooks
 from ..streaming import scan
 from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, ORACLE_SQL, _contact_top1, _landed, listed, query, scan_events, sql_any, table
 
@@ -123,6 +127,42 @@ def upload_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referrals.counters(referrals.upload_labels(rows, upload_stored(spark, sf_dir, rows)))
 
 
+def _workbook(rows: pa.Table) -> pa.Table:
+    """A container with one sheet: texts shared, every third row's in the cell itself, day numbers as numbers, empty cells left out."""
+    names, shared, lines = [c for c in rows.column_names if c != "ord"], {}, []
+    text = lambda x: escape(x, {'"': "&quot;"})
+
+    def cell(at: str, value: str | None, row: int) -> str:
+        if value is None or value == "":
+            return ""
+        if value.isdigit():
+            return f'<c r="{at}"><v>{value}</v></c>'
+        if row % 3 == 0:
+            return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{text(value)}</t></is></c>'
+        return f'<c r="{at}" t="s"><v>{shared.setdefault(value, len(shared))}</v></c>'
+
+    for i, values in enumerate([names, *(list(r.values()) for r in rows.sort_by("ord").select(names).to_pylist())], 1):
+        lines.append(f'<row r="{i}">' + "".join(cell(f"{chr(65 + k)}{i}", v, i) for k, v in enumerate(values)) + "</row>")
+    out, main = io.BytesIO(), "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
+        box.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="a" r:id="r2"/></sheets></workbook>')
+        box.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="x.xml"/><Relationship Id="r2" Target="worksheets/one.xml"/></Relationships>')
+        box.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f'<si><t xml:space="preserve">{text(x)}</t></si>' for x in shared) + "</sst>")
+        box.writestr("xl/worksheets/one.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    first = rows["ord"].combine_chunks().to_pylist()
+    return pa.table({"path": [f"upload-{min(first):012d}.xlsx"], "content": pa.array([out.getvalue()], pa.binary())})
+
+
+@query(ORACLE_SQL["upload_upsert"])
+def upload_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upload out of workbooks of 250 rows."""
+    files = upload_sheet(spark, sf_dir).groupBy(F.expr("ord div 250").alias("file")).applyInArrow(_workbook, "path string, content binary")
+    sheet = workbooks.sheet_columns(workbooks.workbook_rows(files))
+    rows = referrals.upload_rows(sheet, URL).filter("valid")
+    updates = tuple(c for c in referrals.UPLOAD_UPDATES if c != "updated_at")
+    return referrals.upsert(upload_stored(spark, sf_dir, rows), rows, "epbc_number", updates, ["ord"]).drop("decision_status")
+
+
 # Portal pages and answers of models.
 
 
