@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from .dedup import keep_first
 from .matching import best_names
+from .numbering import number_rows
 from .staging import stage
 
 
@@ -47,9 +48,7 @@ def contact_rows(raw: DataFrame) -> DataFrame:
 
 def reload_contacts(raw: DataFrame, order: str) -> DataFrame:
     """The whole contact table anew, ids from 1 by `order` (the number of the row in its file)."""
-    rows = contact_rows(raw)
-    # a contact list is small; ids without gaps need its order in one place
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(order)))
+    return number_rows(contact_rows(raw), [order])
 
 
 def split_person(name: Column) -> tuple[Column, Column]:
@@ -83,11 +82,12 @@ def enrichment_counters(projects: DataFrame, updated: DataFrame, key: str = "id"
 
 
 def company_contacts(contacts: DataFrame) -> DataFrame:
-    """Per normalised company: its addresses, in order, and the spellings of its name."""
+    """The distinct addresses of each normalised company, a row each: company_key, email, pos (from 1, in alphabetical
+    order) and spellings (how many its name has)."""
     keyed = contacts.filter("company is not null and company <> ''").withColumn("company_key", X.company_key(F.col("company")))
-    return keyed.groupBy("company_key").agg(
-        F.array_sort(F.collect_set("email")).alias("emails"), F.array_sort(F.collect_set("company")).alias("spellings")
-    )
+    pos = F.row_number().over(Window.partitionBy("company_key").orderBy("email"))
+    names = keyed.select("company_key", "company").distinct().groupBy("company_key").agg(F.count(F.lit(1)).alias("spellings"))
+    return keyed.select("company_key", "email").distinct().withColumn("pos", pos).join(names, "company_key")
 
 
 def match_contacts(developers: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -28,12 +28,25 @@ def enrichment_summary(projects: DataFrame, order: str = "id", skip_urls: tuple[
     ).withColumnRenamed("name", "existing_name")
 
 
-def enrichment_groups(projects: DataFrame, order: str = "id", skip_urls: tuple[str, ...] = ()) -> DataFrame:
-    """As `enrichment_summary`, with all ids of a group in order instead of count and first: one row
-    holds a whole group."""
-    return _keyed(projects, order, skip_urls).groupBy("group_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_o", "id"))), lambda x: x["id"]).alias("project_ids"), _first("domain"), _first("name")
-    ).withColumnRenamed("name", "existing_name")
+def enrichment_members(projects: DataFrame, order: str = "id", skip_urls: tuple[str, ...] = ()) -> DataFrame:
+    """The projects of each group of `enrichment_summary`, a row each: group_key, id, pos (from 1, by `order`)."""
+    pos = F.row_number().over(Window.partitionBy("group_key").orderBy("_o", "id")).alias("pos")
+    return _keyed(projects, order, skip_urls).select("group_key", "id", pos)
+
+
+def running_best(people: DataFrame, group: str, order: str, relevant: Column, seniority: Column, most: int = 200) -> DataFrame:
+    """Of each group's search results (at most `most`, as a search gives) the one that a loop over them ends with: the first
+    relevant one, replaced by a later one whose seniority exceeds the number of words in the title it has."""
+    rows = people.filter(relevant).withColumn("_s", seniority).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("_k") <= most)
+    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_k", "name", "title", "_s"))).alias("r"))
+    words = lambda b: F.size(F.split(b["title"], " "))
+    best = F.aggregate(F.slice("r", 2, most), F.get("r", F.lit(0)), lambda b, x: F.when(x["_s"] > words(b), x).otherwise(b))
+    return listed.select(group, best["name"].alias("name"), best["title"].alias("title"))
+
+
+def title_seniority(title: Column) -> Column:
+    low = F.lower(title)
+    return F.when(low.rlike("director|head|ceo|chief|managing"), 3).when(low.contains("manager"), 2).otherwise(1)
 
 
 def cascade(candidates: DataFrame, order: list[str]) -> DataFrame:

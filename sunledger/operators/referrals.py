@@ -199,3 +199,17 @@ def to_projects(referrals: DataFrame, projects: DataFrame, today: datetime.date)
         F.when(F.col("is_approved"), "under_development").otherwise("announced").alias("status"), "source_url",
         F.coalesce(F.left("referral_date", F.lit(10)).try_cast("date"), F.lit(today)).alias("announced_date"),
     )
+
+
+def import_answers(asked: DataFrame, referrals: DataFrame, projects: DataFrame, order: str = "ord") -> DataFrame:
+    """What requests to import referrals (id, `order`) are answered, one after another: 404 where there is no such
+    referral, 409 where its URL is a project's or an earlier request made it one, else 201. Referrals without URL are
+    always imported."""
+    known = referrals.select("id", "source_url")
+    urls = projects.filter("source_url is not null").select(F.col("source_url").alias("_u")).distinct()
+    found = asked.join(known.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    first = found.filter("source_url is not null").groupBy("source_url").agg(F.min(order).alias("_first")).withColumnRenamed("source_url", "_s")
+    joined = found.join(first, F.col("source_url") == F.col("_s"), "left").join(urls, F.col("source_url") == F.col("_u"), "left")
+    taken = F.col("_u").isNotNull() | (F.col("_first") < F.col(order))
+    answer = F.when(F.col("_id").isNull(), 404).when(F.col("source_url").isNull(), 201).when(taken, 409).otherwise(201)
+    return joined.select(*asked.columns, answer.alias("answer"))

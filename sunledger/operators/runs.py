@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STALE = "Interrupted by a restart"
@@ -51,3 +51,11 @@ def scan_projects(relations: DataFrame, projects: DataFrame, scan_id: object) ->
     none = own.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))  # one row
     old = old.join(F.broadcast(none), F.col("_none")).drop("_none")
     return related.select(*projects.columns, "is_new").unionByName(old.select(*projects.columns, "is_new"))
+
+
+def run_changes(log: DataFrame, key: str = "run_id", order: str = "at") -> DataFrame:
+    """The log with `valid`: whether a change may follow the one before it. A run begins as running, says so again
+    with its progress, and ends once, as completed or failed. Runs have few changes, so each is ordered by itself."""
+    before = F.lag("status").over(Window.partitionBy(key).orderBy(order))
+    begins, goes_on = before.isNull() & (F.col("status") == "running"), (before == "running") & F.col("status").isin("running", "completed", "failed")
+    return log.withColumn("valid", F.coalesce(begins | goes_on, F.lit(False)))

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import contacts, dedup, enrichment, gates, referrals, runs, sinks
+from ..operators import contacts, dedup, directory, enrichment, gates, numbering, referrals, runs, search, sinks, statistics
 from ..operators.staging import shared_folder, stage
 from ..operators.versions import VersionedTable
 from ..sources import parsers, workbooks
 from ..streaming import scan
-from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, ORACLE_SQL, _contact_top1, _landed, listed, query, scan_events, sql_any, table
+from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, ORACLE_SQL, PERMANENT_SQL, PROJECTS_SQL, TODAY, _contact_top1, _landed, listed, projects, query, scan_events, sql_any, table
 
 # Referrals out of parts.
 
@@ -406,11 +406,84 @@ def company_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.first_companies(table(spark, sf_dir, "part").select(F.col("p_brand").alias("company")))
 
 
-@query("""with c as (select regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') as company_key, concat('e', p_size, '@x.example') as email from part)
-select company_key, count(distinct email) as n_emails, min(email) as first_email from c group by 1""")
+@query("""with c as (select distinct regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') as company_key, concat('e', p_size, '@x.example') as email from part),
+n as (select regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') as company_key, count(distinct p_brand) as spellings from part group by 1)
+select company_key, email, row_number() over (partition by company_key order by email) as pos, spellings from c join n using (company_key)""")
 def company_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("company"), F.concat(F.lit("e"), "p_size", F.lit("@x.example")).alias("email"))
-    return contacts.company_contacts(rows).select("company_key", F.size("emails").cast("long").alias("n_emails"), F.get("emails", F.lit(0)).alias("first_email"))
+    return contacts.company_contacts(rows)
+
+
+@query("""select o_orderkey as id, o_custkey as batch_of, (row_number() over (order by o_custkey, o_orderkey) - 1) // 100 as batch, (row_number() over (order by o_custkey, o_orderkey) - 1) % 100 as pos from orders""")
+def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in batches of a hundred, in order, numbered without a task that sees them all."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("batch_of"))
+    return numbering.in_batches(rows, ["batch_of", "id"])
+
+
+@query("""with q as (select c_custkey as id, row_number() over (order by c_acctbal, c_custkey) as i from customer), r as (select s_name as found, row_number() over (order by s_name) as i from supplier)
+select id, found from q join r using (i)""")
+def zipped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("due"))
+    return numbering.zip_rows(asked, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("found")), ["due", "id"], ["found"]).select("id", "found")
+
+
+@query("""with a as (select o_orderkey as ord, o_custkey as id from orders), r as (select c_custkey as id, case when c_custkey % 7 <> 0 then concat('u', c_custkey // 2) end as url from customer where c_custkey % 5 <> 0),
+p as (select distinct concat('u', s_suppkey) as url from supplier)
+select ord, a.id, case when r.id is null then 404 when url is null then 201 when url in (select url from p) or row_number() over (partition by url order by ord) > 1 then 409 else 201 end as answer from a left join r on a.id = r.id""")
+def import_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("id"))
+    key = F.col("c_custkey")
+    known = table(spark, sf_dir, "customer").filter(key % 5 != 0).select(key.alias("id"), F.when(key % 7 != 0, F.concat(F.lit("u"), F.expr("c_custkey div 2"))).alias("source_url"))
+    return referrals.import_answers(asked, known, table(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), "s_suppkey").alias("source_url")))
+
+
+PEOPLE = ("CEO", "Project Manager", "Head of Solar Projects", "Manager", "Analyst", "Director", "Managing Partner")
+
+
+@query(f"""with recursive t as (select o_custkey as g, o_orderkey as o, {list(PEOPLE)}[(o_orderkey % 7 + 1)::int] as title, row_number() over (partition by o_custkey order by o_orderkey) as k from orders where o_orderkey % 7 <> 4),
+s as (select *, case when regexp_matches(lower(title), 'director|head|ceo|chief|managing') then 3 when contains(lower(title), 'manager') then 2 else 1 end as s from t),
+b(g, k, o, title) as (select g, k, o, title from s where k = 1 union all select s.g, s.k, case when s.s > len(string_split(b.title, ' ')) then s.o else b.o end, case when s.s > len(string_split(b.title, ' ')) then s.title else b.title end from b join s on s.g = b.g and s.k = b.k + 1)
+select g, o::varchar as name, title from b qualify row_number() over (partition by g order by k desc) = 1""")
+def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.get(F.array(*(F.lit(t) for t in PEOPLE)), (F.col("o_orderkey") % 7).cast("int"))
+    people = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("o"), F.col("o_orderkey").cast("string").alias("name"), title.alias("title"))
+    return enrichment.running_best(people, "g", "o", F.col("title") != "Analyst", enrichment.title_seniority(F.col("title")))
+
+
+@query("""with e as (select user_id as run_id, event_id as "at", case event_type when 'view' then 'running' when 'click' then 'completed' when 'error' then 'failed' else 'running' end as status from events),
+b as (select *, lag(status) over (partition by run_id order by "at") as before from e) select run_id, "at", status, coalesce(before is null and status = 'running' or before = 'running', false) as valid from b""")
+def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("at"), F.when(kind == "click", "completed").when(kind == "error", "failed").otherwise("running").alias("status"))
+    return runs.run_changes(log)
+
+
+@query("""select p_partkey, p_name, p_type from part where p_name ilike '%re_%w%' or p_type ilike '%re_%w%' or p_name ilike '%LARGE%' or p_type ilike '%LARGE%' or p_name ilike '%ue g%' or p_type ilike '%ue g%'""")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three searches through postings: one with wildcards and no trigram, one in another case, one across words."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    columns = ("p_name", "p_type")
+    postings = stage(search.post(rows, "p_partkey", columns))
+    counts = search.frequencies(postings)
+    found = [search.search(rows, postings, counts, "p_partkey", columns, text) for text in ("re_%w", "LARGE", "ue g")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
+@query(f"""with p as (select id, case when id % 3 = 0 and scan_id = 2 then 'X' else status end as status, country, capacity_mw, case when scan_id = 2 and id % 5 = 0 then date '1998-08-01' else announced_date end as announced_date, name from ({PROJECTS_SQL}) where not (scan_id = 3 and id % 2 = 0))
+select case grouping_id(country, status) when 3 then 'total' when 1 then 'country' else 'status' end as dimension, coalesce(country, status, '') as value, count(*) as n, coalesce(sum(capacity_mw), 0)::decimal(38,2) as capacity_mw,
+count(*) filter (where announced_date >= date '1998-07-26') as recent_count from p where {PERMANENT_SQL} group by grouping sets ((), (country), (status))""")
+def statistics_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures after three changes (new rows, changed rows, deleted rows), from the changes alone."""
+    rows, keep = projects(spark, sf_dir), directory.permanent_filters()
+    second, third = F.col("scan_id") == 2, F.col("scan_id") == 3
+    state = statistics.cells(rows.filter(~second), keep)
+    state = statistics.merge(state, statistics.cells(rows.filter(second), keep))
+    changed = rows.filter(second & ((F.col("id") % 3 == 0) | (F.col("id") % 5 == 0)))
+    after = changed.withColumns({"status": F.when(F.col("id") % 3 == 0, "X").otherwise(F.col("status")), "announced_date": F.when(F.col("id") % 5 == 0, F.lit("1998-08-01").cast("date")).otherwise(F.col("announced_date"))})
+    state = statistics.merge(state, statistics.change_cells(changed, after, keep))
+    state = statistics.merge(state, statistics.cells(rows.filter(third & (F.col("id") % 2 == 0)), keep, -1))
+    return statistics.figures(state, TODAY)
 
 
 @query("""select count(*) filter (where p_size % 4 in (0, 1, 2)) as checked, count(*) filter (where p_size % 4 in (0, 1, 2) and p_partkey % 3 = 0) as updated from part""")

@@ -43,6 +43,12 @@ def written_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(found, "yyyy-MM-dd"), F.try_to_date(F.regexp_replace(found, ",", ""), "MMMM d yyyy"), F.try_to_date(F.regexp_replace(found, ",", ""), "MMM d yyyy"))
 
 
+def date_or_today(text: Column, today: Column) -> tuple[Column, Column]:
+    """(the date in a text, else `today`; whether it was the text's)."""
+    found = written_date(text)
+    return F.coalesce(found, today), found.isNotNull()
+
+
 def feed_date(text: Column) -> Column:
     """A feed's date: "Tue, 02 Jan 2024 ..." or ISO."""
     return F.coalesce(F.try_to_date(_one(text, r"(\d{1,2} [A-Za-z]{3} \d{4})"), "d MMM yyyy"), written_date(text))

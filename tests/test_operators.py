@@ -90,16 +90,21 @@ def test_contact_scores(spark):
 def test_enrichment_groups(spark):
     rows = [(7, None, None, "https://afr.com/a", None), (8, " Acme ", None, "https://www.acme.example/x", ""), (9, "acme", "a@b.example", None, "Jo")]
     df = spark.createDataFrame(rows, "id int, developer string, contact_email string, source_url string, contact_name string")
-    got = {r["group_key"]: r for r in enrichment.enrichment_groups(df).collect()}
+    got = {r["group_key"]: r for r in enrichment.enrichment_summary(df).collect()}
     assert set(got) == {"id:7", "acme"}
-    assert got["acme"]["project_ids"] == [8, 9] and got["acme"]["domain"] == "acme.example" and got["acme"]["existing_name"] == "Jo"
+    members = sorted((r["group_key"], r["pos"], r["id"]) for r in enrichment.enrichment_members(df).collect())
+    assert members == [("acme", 1, 8), ("acme", 2, 9), ("id:7", 1, 7)] and got["acme"]["domain"] == "acme.example" and got["acme"]["existing_name"] == "Jo"
 
 
 def test_enrichment_summary_gathers_no_groups(spark):
     rows = [(i, f"dev{i % 3}" if i % 5 else "", f"a@h{i}.example" if i > 20 else None, None, f"n{i}" if i > 30 else "") for i in range(60)]
     df = spark.createDataFrame(rows, "id int, developer string, contact_email string, source_url string, contact_name string").repartition(5)
     got = enrichment.enrichment_summary(df)
-    want = {(r["group_key"], len(r["project_ids"]), r["project_ids"][0], r["domain"], r["existing_name"]) for r in enrichment.enrichment_groups(df).collect()}
+    want, groups = set(), {}
+    for i, developer, email, _, name in rows:
+        groups.setdefault(developer or f"id:{i}", []).append((i, email, name))
+    for key, some in groups.items():
+        want.add((key, len(some), some[0][0], next((e.split("@")[1] for _, e, _ in some if e), None), next((n for _, _, n in some if n), None)))
     assert {tuple(r) for r in got.collect()} == want
     assert "collect_list" not in got._jdf.queryExecution().toString()
 
