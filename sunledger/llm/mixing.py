@@ -109,6 +109,9 @@ def multipliers(counts: DataFrame, weights: tuple[float, ...], cap: int, scratch
         moved = newton_step(counts, state.filter(~F.col("settled")), cap)
         state = scratch.keep(moved.unionByName(state.filter("settled")), f"newton-{step}")
         scratch.drop(f"newton-{step - 1}")
+    else:
+        if not state.filter(~F.col("settled")).isEmpty():
+            raise RuntimeError(f"the rates of some sources have not settled after {NEWTON_STEPS} steps")
     return state.select("s_source", "source_size", "target", "mean", "lam", (F.col("target") >= cap * F.col("source_size")).alias("full"))
 
 
