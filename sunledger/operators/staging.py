@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,13 @@ def stage(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept, so that a lost executor costs no earlier step."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def run_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder of one run under the shared one; it goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/sunledger-{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder

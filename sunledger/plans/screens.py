@@ -4,7 +4,6 @@ sources, and functions on texts whose results are written down by hand."""
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import contacts, dedup, directory, enrichment, gates, numbering, referrals, runs, search, sinks, statistics
-from ..operators.staging import shared_folder, stage
+from ..operators.staging import run_folder, stage
 from ..operators.versions import VersionedTable
 from ..sources import parsers, workbooks
 from ..streaming import scan
@@ -564,7 +563,7 @@ def table_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     stored = orders.filter("o_orderdate < timestamp_ntz '1998-01-01 00:00:00'").select(key.alias("k"), F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"))
     came = orders.filter("o_orderkey % 2 = 0").select(F.when(key % 3 == 0, key - 1).otherwise(key).alias("k"), F.concat(F.lit("new"), "o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"), key.alias("ord"))
-    stored_table = VersionedTable.create(spark, f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}", stored, "k", buckets=8)
+    stored_table = VersionedTable.create(spark, f"{run_folder(spark, 'commits')}/table", stored, "k", buckets=8)
     stored_table.upsert(came, ("a",), ["ord"])
     stored_table.update(orders.filter(key % 10 == 0).select(key.alias("k"), F.lit("done").alias("b")), ("b",))
     stored_table.delete(table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("k")))
@@ -578,7 +577,7 @@ def table_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scan in three batches against a stored state."""
     rows, stored = scan_events(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "scan")
     state = scan.open_state(spark, f"{folder}/state", stored, buckets=8)
     last, bound = rows.agg(F.max("ord")).first()[0] or 0, lambda d: F.lit(d).cast("date")
     for i in range(3):
