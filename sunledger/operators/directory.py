@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field
 
+if TYPE_CHECKING:
+    from .versions import VersionedTable
+
 
 @dataclass(frozen=True)
 class DirectoryQuery:
@@ -74,6 +78,24 @@ def directory_list(projects: DataFrame, query: DirectoryQuery) -> DataFrame:
     return projects.filter(directory_filter(query)).orderBy(F.col("announced_date").desc(), "id")
 
 
+def asked_ranges(query: DirectoryQuery) -> dict[str, tuple]:
+    """For columns of the directory, the (least, greatest) that a row of the list can have; None is open."""
+    one = query.country if query.country and query.country != "ALL" else None
+    found = {"country": (one or "AU", one or "NZ"), "capacity_mw": (0, None)}
+    if query.date_from or query.date_to:
+        found["announced_date"] = (query.date_from, query.date_to)
+    if query.scan_id is not None:
+        found["scan_id"] = (query.scan_id, query.scan_id)
+    return found
+
+
+def stored_list(table: VersionedTable, query: DirectoryQuery, version: int | None = None) -> DataFrame:
+    """The list out of a stored directory; only files that may have rows of it are opened. Most are left out where the
+    table is clustered by date, capacity and country."""
+    manifest = table.manifest(version)
+    return directory_list(table.read(manifest, table.files(manifest, None, **asked_ranges(query))), query)
+
+
 def directory_stats(projects: DataFrame, query: DirectoryQuery, today: datetime.date) -> DataFrame:
     """total, total_capacity_mw, recent_count, by_country and by_status in one pass over the rows.
 

@@ -8,14 +8,17 @@ doesn't exist: of two writers of one version one fails. It may go on by itself i
 buckets, or else raises `Conflict`, and its files are never named by any manifest.
 
 Files carry the least and greatest value of chosen columns, so a reader opens only those that may
-have what it looks for. A change may carry the name of the batch it came from; a batch that was
+have what it looks for. A table may be clustered by some columns: the rows of a bucket are then cut into files
+along an order in which neighbours are close in all of them. A change may carry the name of the batch it came from; a batch that was
 committed once is not applied again.
 """
 
 from __future__ import annotations
 
 import datetime
+import decimal
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -25,10 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import sinks
+from .clustering import column_cuts, z_order
 from .referrals import upsert
 
-#: Plain values that a manifest can hold; other columns have no bounds.
+#: Values that a manifest can hold; other columns (but for decimals) have no bounds.
 BOUNDED = ("string", "date", "tinyint", "smallint", "int", "bigint", "double", "float")
+#: So many rows has a file of a clustered table at most.
+FILE_ROWS = 1_000_000
 
 
 class Conflict(RuntimeError):
@@ -56,12 +62,20 @@ class Manifest:
     #: Buckets that this version rewrote.
     touched: list[int] = field(default_factory=list)
     batches: list[str] = field(default_factory=list)
+    #: Columns that rows are clustered by, and where their cells begin.
+    cluster: dict[str, list] = field(default_factory=dict)
+    file_rows: int = FILE_ROWS
 
 
 def _plain(value: object) -> object:
     return value.isoformat() if isinstance(value, datetime.date) else value
 
 
+def _bound(value: object, towards: float) -> object:
+    """A bound as JSON holds it; of a decimal the next number outwards, as it may be no floating-point number."""
+    return math.nextafter(float(value), towards) if isinstance(value, decimal.Decimal) else _plain(value)
+
+
 class VersionedTable:
     """A table in a folder that all executors see, with one row a key."""
 
@@ -71,10 +85,14 @@ class VersionedTable:
         self._fs = self._make(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int = 16, bounds: tuple[str, ...] = ()) -> VersionedTable:
-        """A new table with `rows`; fails where there is one."""
+    def create(
+        cls, spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int = 16, bounds: tuple[str, ...] = (), cluster: tuple[str, ...] = (), file_rows: int = FILE_ROWS
+    ) -> VersionedTable:
+        """A new table with `rows`; fails where there is one. With `cluster` (these columns have bounds too) files have
+        at most `file_rows` rows; `rows` are read twice then, first for the quantiles of these columns."""
         table = cls(spark, path)
-        empty = Manifest(-1, rows.schema.json(), key, buckets, [], list(dict.fromkeys((key, *bounds))))
+        cuts = column_cuts(rows, cluster) if cluster else {}
+        empty = Manifest(-1, rows.schema.json(), key, buckets, [], list(dict.fromkeys((key, *bounds, *cluster))), cluster=cuts, file_rows=file_rows)
         files = table._write(rows, empty)
         table._put(replace(empty, version=0, files=files, touched=list(range(buckets))))
         return table
@@ -157,19 +175,23 @@ class VersionedTable:
     # Writing.
 
     def _write(self, rows: DataFrame, manifest: Manifest) -> list[File]:
-        """New files with `rows`, one for each bucket that has some (more where the session limits rows in a file)."""
+        """New files with `rows`, one for each bucket that has some (more where rows in a file are limited)."""
         name = uuid.uuid4().hex
-        dealt = rows.withColumn("_bucket", self.bucket(F.col(manifest.key), manifest))
-        dealt.repartition(manifest.buckets, "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-        columns = [c for c in manifest.bounds if kinds[c] in BOUNDED]
+        dealt = rows.withColumn("_bucket", self.bucket(F.col(manifest.key), manifest)).repartition(manifest.buckets, "_bucket")
+        if manifest.cluster:
+            writer = dealt.sortWithinPartitions("_bucket", z_order(manifest.cluster, kinds)).write.option("maxRecordsPerFile", manifest.file_rows)
+        else:
+            writer = dealt.write
+        writer.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
+        columns = [c for c in manifest.bounds if kinds[c] in BOUNDED or kinds[c].startswith("decimal")]
         # what is kept of a file is a row, whatever its size
         written = self.spark.read.schema(StructType([*rows.schema.fields, StructField("_bucket", IntegerType())])).parquet(f"{self.path}/data/{name}")
         of = written.groupBy(F.col("_metadata.file_path").alias("_path"), "_bucket").agg(
             F.count(F.lit(1)).alias("_rows"), *(x for c in columns for x in (F.min(c).alias(f"_min_{c}"), F.max(c).alias(f"_max_{c}")))
         )
         return [
-            File(f"data/{name}/" + r["_path"].split(f"/data/{name}/")[1], r["_bucket"], r["_rows"], {c: [_plain(r[f"_min_{c}"]), _plain(r[f"_max_{c}"])] for c in columns})
+            File(f"data/{name}/" + r["_path"].split(f"/data/{name}/")[1], r["_bucket"], r["_rows"], {c: [_bound(r[f"_min_{c}"], -math.inf), _bound(r[f"_max_{c}"], math.inf)] for c in columns})
             for r in of.collect()
         ]
 

@@ -3,6 +3,7 @@ sources, and functions on texts whose results are written down by hand."""
 
 from __future__ import annotations
 
+import datetime
 import io
 import zipfile
 from xml.sax.saxutils import escape
@@ -570,6 +571,17 @@ def table_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_table.snapshot()
 
 
+@query(f"""with d as ({PROJECTS_SQL}) select id, name, country, capacity_mw, announced_date from d
+where {PERMANENT_SQL} and announced_date >= date '1996-03-01' and announced_date <= date '1996-03-31' and country = 'NZ'""")
+def directory_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month of one country out of a stored directory that is clustered by date, capacity and country."""
+    stored = VersionedTable.create(
+        spark, f"{run_folder(spark, 'directory')}/table", projects(spark, sf_dir), "id", buckets=2, cluster=("announced_date", "capacity_mw", "country"), file_rows=2_000
+    )
+    asked = directory.DirectoryQuery("NZ", None, datetime.date(1996, 3, 1), datetime.date(1996, 3, 31))
+    return directory.stored_list(stored, asked).select("id", "name", "country", "capacity_mw", "announced_date")
+
+
 # Scans.
 
 
