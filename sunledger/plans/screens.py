@@ -18,7 +18,7 @@ from ..operators import contacts, dedup, directory, enrichment, gates, numbering
 from ..operators.staging import run_folder, stage
 from ..operators.versions import VersionedTable
 from ..sources import parsers, workbooks
-from ..streaming import scan
+from ..streaming import portal, scan
 from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, ORACLE_SQL, PERMANENT_SQL, PROJECTS_SQL, TODAY, _contact_top1, _landed, listed, projects, query, scan_events, sql_any, table
 
 # Referrals out of parts.
@@ -198,6 +198,37 @@ def portal_page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.page_limit(pages, 200)
 
 
+def _portal_pages(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Orders as pages of their priority's portal; the twelfth page of urgent ones has but its first half."""
+    numbered = numbering.number_rows(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus"), ["o_orderpriority", "o_orderkey"], "i", 0)
+    first = numbered.groupBy("o_orderpriority").agg(F.min("i").alias("least"))
+    at = F.col("i") - F.col("least")
+    rows = numbered.join(first, "o_orderpriority").select(F.col("o_orderpriority").alias("source"), F.floor(at / size).cast("int").alias("page"), (at % size).alias("pos"), "o_orderkey", "o_orderstatus")
+    rows = rows.filter(~((F.col("source") == "1-URGENT") & (F.col("page") == 11) & (F.col("pos") >= size // 2)))
+    one = F.struct("pos", F.col("o_orderkey").cast("string").alias("epbcNumber"), F.col("o_orderstatus").alias("projectStatus"))
+    # a page has at most `size` records
+    return rows.groupBy("source", "page").agg(F.sort_array(F.collect_list(one)).alias("items")).select("source", "page", F.to_json(F.struct("items", F.lit(99).alias("totalPages"))).alias("value"))
+
+
+@query("""with p as (select o_orderpriority as source, row_number() over (partition by o_orderpriority order by o_orderkey) - 1 as i, o_orderkey::varchar as epbc_number, o_orderstatus as project_status from orders)
+select source, i // 100 as page, i % 100 as pos, epbc_number, project_status from p where i // 100 < 50 and not (source = '1-URGENT' and (i // 100 > 11 or i // 100 = 11 and i % 100 >= 50))""")
+def portal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portal pages that land in two parts, out of order, read by a stream that stops between them and goes on."""
+    from .. import schemas
+
+    folder = run_folder(spark, "portal")
+    pages = stage(_portal_pages(spark, sf_dir, 100))
+    spark.dataSource.register(portal.PortalPages)
+    for i, landed in enumerate((F.col("page") % 5 < 3, F.col("page") % 5 >= 3)):
+        pages.filter(landed).write.mode("append").partitionBy("source", "page").text(f"{folder}/landed")
+        stream = spark.readStream.format("portal_pages").option("path", f"{folder}/landed").option("size", 100).load()
+        records = referrals.portal_records(stream.select(F.struct("source", "page").alias("ord"), F.from_json("content", schemas.PORTAL_PAGE).alias("page")))
+        out = records.select("page_ord.source", "page_ord.page", "pos", F.col("epbcNumber").alias("epbc_number"), F.col("projectStatus").alias("project_status"))
+        stream_out = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets")
+        stream_out.queryName(f"portal-{i}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("""with a as (select p_partkey as ord, concat(case when p_partkey % 2 = 0 then ' ' else '' end, p_partkey // 4) as n, p_name as name, p_brand as who, case when p_size % 2 = 0 then 'NSW' end as state from part where p_size % 7 <> 0)
 select n as "epbcNumber", name as "projectName", who as proposer, 'Energy' as "industryType", 'Open' as "projectStatus", state, state as location, '2024-02-03' as "referralDate" from a
 qualify row_number() over (partition by trim(n) order by ord) = 1""")
