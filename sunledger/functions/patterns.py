@@ -168,11 +168,12 @@ UPLOAD_HEADERS = {
 SOLAR_TITLES = ("solar", "pv", "photovoltaic", "hybrid solar", "solar farm", "solar park", "solar project", "solar and battery", "solar bess")
 #: Words that make a contact's name one of a team rather than of a person.
 NOT_ONE_PERSON = "team|group|office|crew|solar|renewables|energy"
-#: A capacity of a market rather than of a project.
-STATISTIC = (
-    r"\d+(?:\.\d+)?\s*(?:mw|gw|megawatt|gigawatt)\s+(?:cumulative|total|installed|of (?:solar|renewable|wind|bess|battery)"
-    r"|capacity in australia|capacity in new zealand|across australia)"
-)
+#: Units of a capacity, and what follows one that is a market's rather than a project's.
+UNITS = ("mw", "gw", "megawatt", "gigawatt")
+MARKET_PHRASES = (
+    "cumulative", "total", "installed", "of solar", "of renewable", "of wind", "of bess", "of battery",
+    "capacity in australia", "capacity in new zealand", "across australia",
+)
 #: First cells of header rows in newsletter tables, and states of rows in them that are news.
 MILESTONE_HEADERS = ("project", "status", "developer", "state", "country")
 MILESTONE_STATES = ("added to", "proposed", "being assessed", "under assessment", "split from")
@@ -188,6 +189,14 @@ SNAPSHOT_STATUSES = ("Proposed", "Approved", "Committed", "Committed (FID)")
 SPACE = "[\\s ﻿  -     　]"
 
 
+#: Characters, for rules that go by offsets: white space is that of `SPACE`.
+WHITE = frozenset("\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
+DIGITS = frozenset("0123456789")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+MAILBOX = LETTERS | DIGITS | frozenset("._%+-")
+DOMAIN = LETTERS | DIGITS | frozenset(".-")
+
+
 def whole_word(pattern: str) -> str:
     """The pattern between ASCII word boundaries (Java's \\b is Unicode-aware, ours must not be)."""
     return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"

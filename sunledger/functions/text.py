@@ -1,6 +1,6 @@
 """Text extraction and classification as column expressions.
 
-All patterns are evaluated inside the JVM; a text that doesn't match gives null, and a null text
+All patterns are evaluated inside the JVM (rules on places in a text are in `spans`); a text that doesn't match gives null, and a null text
 is an empty one where a rule asks whether something occurs in it.
 """
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from . import spans
 
 
 def _text(c: Column) -> Column:
@@ -128,21 +129,9 @@ def emails(html: Column) -> Column:
 
 
 def email_contexts(html: Column, around: int = 200) -> Column:
-    """Each address in the text of HTML, lower-cased, with the text up to `around` characters before and
-    after it. The text is cut at addresses; each piece keeps what is next to its address."""
-    text, address = strip_html(html), r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
-    marked = F.regexp_replace(text, f"({address})", "\u0001$1\u0001")
-    pieces = F.split(marked, "\u0001")
-    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: i % 2 == 1)
-    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(p)))
-    bare = F.array_join(pieces, "")
-
-    def one(i: Column) -> Column:
-        begin, size = F.get(starts, i), F.length(F.get(pieces, i))
-        first = F.greatest(begin - around, F.lit(0))
-        return F.struct(F.lower(F.get(pieces, i)).alias("email"), F.substr(bare, first + 1, begin + size + around - first).alias("context"))
-
-    return F.transform(at, one)
+    """Each address in the text of HTML, lower-cased, with its place and the text up to `around` characters before
+    and after it."""
+    return spans.email_contexts(strip_html(html), around)
 
 
 def person_name(context: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
+from ..functions.spans import only_statistics
 from ..operators.dedup import keep_first
 from ..operators.gates import date_gate
 
@@ -132,23 +133,6 @@ def markdown_sections(pages: DataFrame, today: Column | None = None, date_from:
     return with_record(df, section, today, date_from, date_to).drop("section")
 
 
-def only_statistics(text: Column, before: int = 60, after: int = 80) -> Column:
-    """Whether a text has a capacity of a market ("10 GW cumulative"), and every capacity in it stands near one.
-
-    The text is cut at each capacity; a figure's surroundings are the last characters of the piece
-    before it and the first of what follows, so no match offsets are needed."""
-    figure = r"(?i)\d+(?:\.\d+)?\s*(?:mw|gw|megawatt|gigawatt)"
-    marked = F.regexp_replace(text, f"({figure})", "\u0001$1")
-    pieces = F.split(marked, "\u0001")
-    # what stands before a figure and after its start, of which at most so many characters are kept: linear in the text
-    step = lambda keep, side: lambda a, p: F.array_append(a, side(F.concat(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), p), F.lit(keep)))
-    none = F.array().cast("array<string>")
-    heads = F.aggregate(pieces, none, step(before, F.right))
-    tails = F.reverse(F.aggregate(F.reverse(pieces), none, lambda a, p: F.array_append(a, F.left(F.concat(p, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))), F.lit(after)))))
-    around = F.transform(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda i: F.concat(F.get(heads, i), F.coalesce(F.get(tails, i + 1), F.lit(""))))
-    return text.rlike(f"(?i){X.P.STATISTIC}") & F.forall(around, lambda a: a.rlike(f"(?i){X.P.STATISTIC}"))
-
-
 def markdown_tables(pages: DataFrame) -> DataFrame:
     """Rows of pipe tables with a name (of the first cell, if no column is one of names) and a
     capacity: candidates, which `table_projects` passes through the gates. Empty cells are dropped

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sunledger.plans import catalogue, screens  # noqa: F401  (screens adds its queries)
+from sunledger.plans import catalogue, places, screens  # noqa: F401  (places and screens add their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
