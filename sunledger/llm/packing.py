@@ -25,7 +25,6 @@ from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ END_ID = 2
 BIN = 32
 DEPTH = 3
 #: Words whose ids a Python worker remembers.
-MEMO = 1_000_000
+MEMO = 200_000
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -124,7 +123,8 @@ class WordTokenizer:
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and for each text where its ids begin (and one more)."""
         hashes = words.hashes()
-        number, distinct = pd.factorize(hashes)
+        coded = pa.array(hashes).dictionary_encode()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         if len(self.known) > MEMO:
             self._clear()
         index = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
