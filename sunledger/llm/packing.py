@@ -38,7 +38,7 @@ END_ID = 2
 BIN = 32
 DEPTH = 3
 #: Words whose ids a Python worker remembers.
-MEMO = 200_000
+MEMO = 500_000
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
