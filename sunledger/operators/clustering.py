@@ -26,12 +26,12 @@ def _place(column: str, kind: str) -> Column:
     return c.cast("double")
 
 
-def column_cuts(rows: DataFrame, columns: tuple[str, ...], bits: int = BITS) -> dict[str, list[float]]:
-    """Where each column's cells begin: one aggregate over all rows, at most 2 ** bits - 1 numbers a column."""
+def column_cuts(rows: DataFrame, columns: tuple[str, ...], bits: int = BITS) -> tuple[dict[str, list[float]], int]:
+    """Where each column's cells begin, at most 2 ** bits - 1 numbers a column, and the number of rows: one aggregate over all."""
     kinds, shares = dict(rows.dtypes), [i / 2**bits for i in range(1, 2**bits)]
     asked = [x for i, c in enumerate(columns) for x in (F.percentile_approx(_place(c, kinds[c]), shares).alias(f"q{i}"), F.min(_place(c, kinds[c])).alias(f"l{i}"))]
-    found = rows.agg(*asked).first()
-    return {c: sorted({v for v in found[f"q{i}"] or [] if not math.isnan(v) and v > found[f"l{i}"]}) for i, c in enumerate(columns)}
+    found = rows.agg(*asked, F.count(F.lit(1)).alias("n")).first()
+    return {c: sorted({v for v in found[f"q{i}"] or [] if not math.isnan(v) and v > found[f"l{i}"]}) for i, c in enumerate(columns)}, found["n"]
 
 
 def z_order(cuts: dict[str, list[float]], kinds: dict[str, str], bits: int = BITS) -> Column:

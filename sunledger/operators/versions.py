@@ -89,9 +89,12 @@ class VersionedTable:
         cls, spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int = 16, bounds: tuple[str, ...] = (), cluster: tuple[str, ...] = (), file_rows: int = FILE_ROWS
     ) -> VersionedTable:
         """A new table with `rows`; fails where there is one. With `cluster` (these columns have bounds too) files have
-        at most `file_rows` rows; `rows` are read twice then, first for the quantiles of these columns."""
+        at most `file_rows` rows, or more where there would be more files than cells: rows of a cell have no order, so smaller
+        files would be no narrower. `rows` are read three times then, first for the quantiles of these columns, then for the ranges
+        of the order that tasks sort and write."""
         table = cls(spark, path)
-        cuts = column_cuts(rows, cluster) if cluster else {}
+        cuts, count = column_cuts(rows, cluster) if cluster else ({}, 0)
+        file_rows = max(file_rows, -(-count // math.prod(len(at) + 1 for at in cuts.values())))
         empty = Manifest(-1, rows.schema.json(), key, buckets, [], list(dict.fromkeys((key, *bounds, *cluster))), cluster=cuts, file_rows=file_rows)
         files = table._write(rows, empty)
         table._put(replace(empty, version=0, files=files, touched=list(range(buckets))))
@@ -175,14 +178,18 @@ class VersionedTable:
     # Writing.
 
     def _write(self, rows: DataFrame, manifest: Manifest) -> list[File]:
-        """New files with `rows`, one for each bucket that has some (more where rows in a file are limited)."""
+        """New files with `rows`, one for each bucket that has some. Of a clustered table tasks write ranges of the order, however few
+        buckets there are, each in files of a limited number of rows."""
         name = uuid.uuid4().hex
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-        dealt = rows.withColumn("_bucket", self.bucket(F.col(manifest.key), manifest)).repartition(manifest.buckets, "_bucket")
+        dealt = rows.withColumn("_bucket", self.bucket(F.col(manifest.key), manifest))
         if manifest.cluster:
-            writer = dealt.sortWithinPartitions("_bucket", z_order(manifest.cluster, kinds)).write.option("maxRecordsPerFile", manifest.file_rows)
+            # a column of its own, or else each comparison works it out; equal places are cut by key
+            order = ("_bucket", "_place", manifest.key)
+            placed = dealt.withColumn("_place", z_order(manifest.cluster, kinds)).repartitionByRange(*order).sortWithinPartitions(*order)
+            writer = placed.drop("_place").write.option("maxRecordsPerFile", manifest.file_rows)
         else:
-            writer = dealt.write
+            writer = dealt.repartition(manifest.buckets, "_bucket").write
         writer.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
         columns = [c for c in manifest.bounds if kinds[c] in BOUNDED or kinds[c].startswith("decimal")]
         # what is kept of a file is a row, whatever its size

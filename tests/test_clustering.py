@@ -60,3 +60,18 @@ def test_empty_and_all_null(spark, tmp_path):
     assert table.snapshot().count() == 0
     table.upsert(spark.createDataFrame([(1, None, None, None, "x")], ROWS), ("name",), ["id"])
     assert ids(table.snapshot()) == [1] and ids(table.snapshot(country=("AU", "AU"))) == []
+
+
+def test_a_bucket_is_written_by_many_tasks(spark, tmp_path):
+    """One bucket is dealt over tasks by ranges of the order, and rows with equal places too; files are no smaller than cells."""
+    day = datetime.date(2024, 1, 1)
+    rows = spark.createDataFrame([(i, day + datetime.timedelta(i % 30), decimal.Decimal(i % 5), "AU", "x") for i in range(400)], ROWS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = VersionedTable.create(spark, str(tmp_path / "many"), rows, "id", 1, cluster=CLUSTER, file_rows=10).manifest()
+        alike = VersionedTable.create(spark, str(tmp_path / "alike"), rows, "id", 1, cluster=("country",), file_rows=10).manifest()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = lambda manifest: len({f.path.split("/part-")[1][:5] for f in manifest.files})
+    assert tasks(many) == tasks(alike) == 4 and sum(f.rows for f in many.files) == sum(f.rows for f in alike.files) == 400
+    assert max(f.rows for f in many.files) <= 10 and len(alike.files) == 4
