@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import contacts, dedup, directory, enrichment, gates, referrals, runs
+from ..operators.staging import spread
 from ..sources import parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,6 +492,11 @@ def stale_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Parsers over texts put together from columns.
 
 
+def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, dealt over tasks, for texts that are put together from them."""
+    return spread(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def _landed(df: DataFrame, content: Column) -> DataFrame:
     return df.select(F.lit("s").alias("source"), F.concat(F.lit("https://x.example/"), "p_partkey").alias("url"), F.col("p_partkey").alias("ord"), content.alias("content"))
 
@@ -511,7 +517,7 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = item(F.concat("p_name", F.lit(" photovoltaic")), F.concat(link, F.lit("/b")), F.when(size % 3 == 0, "now generating").otherwise("resource consent"), day("Sat, 03 Feb 2024"))
     three = item(F.concat("p_name", F.lit(" solar late")), F.lit("https://x.example/c"), F.lit("soon"), day("Mon, 03 Feb 2025"))
     four = item(F.concat("p_name", F.lit(" solar linkless")), F.lit(""), F.lit("soon"), day("Sat, 03 Feb 2024"))
-    feeds = _landed(table(spark, sf_dir, "part"), F.concat(F.lit("<rss>"), one, two, three, four, F.lit("</rss>")))
+    feeds = _landed(landing(spark, sf_dir), F.concat(F.lit("<rss>"), one, two, three, four, F.lit("</rss>")))
     found = parsers.rss_items(feeds, F.lit("2024-01-01").cast("date"), F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date"))
     return found.withColumn("description", F.replace("description", F.lit(" ,"), F.lit(","))).select("ord", "pos", "name", "source_url", "description", "announced_date", "capacity_mw", "location", "status")
 
@@ -522,13 +528,13 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     blank = F.when(size % 2 == 0, F.concat(F.lit("| | "), size, F.lit(" MW solar | y |"))).when(size % 4 == 1, F.concat(F.lit("| X"), size, F.lit(" | "), size, F.lit("MW |"))).otherwise("| only name | none |")
     rows = F.concat(F.lit("| Project | Capacity | z |\n|---|---|---|\n| [**"), "p_name", F.lit("**](http://a) | "), size * 10, F.lit(" MW | q |\n"), blank, F.lit("\n"))
-    return parsers.markdown_tables(_landed(table(spark, sf_dir, "part"), F.concat(F.lit("intro\n\n"), rows, F.lit("\nend")))).select("ord", "pos", "name", "capacity_mw")
+    return parsers.markdown_tables(_landed(landing(spark, sf_dir), F.concat(F.lit("intro\n\n"), rows, F.lit("\nend")))).select("ord", "pos", "name", "capacity_mw")
 
 
 @query("select p_partkey as ord, p_name as name, p_size::double as capacity_mw from part where length(p_name) >= 5")
 def markdown_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("- **"), "p_name", F.lit("** - "), "p_size", F.lit(" MW proposed\n* "), "p_name", F.lit(" 7 MW\n- no figure here"))
-    return parsers.markdown_bullets(_landed(table(spark, sf_dir, "part"), text)).select("ord", "name", "capacity_mw")
+    return parsers.markdown_bullets(_landed(landing(spark, sf_dir), text)).select("ord", "name", "capacity_mw")
 
 
 @query("""select p_partkey as ord, case p_size % 3 when 0 then p_name else concat(p_name, ' Ridge') end as name, p_brand as developer, (p_size * 10)::double as capacity_mw from part where p_size % 3 <> 2
@@ -536,7 +542,7 @@ union all select p_partkey, concat(p_name, ' Ridge'), p_brand, (p_size * 10)::do
 def captured_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     row = F.create_map(F.lit("id"), F.col("p_partkey").cast("string"), F.lit("Project Name"), F.when(size % 3 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" Ridge"))), F.lit("Developer"), F.col("p_brand"), F.lit("Size"), F.concat(size * 10, F.lit(" MW")))
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.create_map(F.lit("l"), F.array(row)).alias("lists"))
+    docs = landing(spark, sf_dir).select(F.col("p_partkey").alias("ord"), F.create_map(F.lit("l"), F.array(row)).alias("lists"))
     return parsers.captured_lists(docs).select("ord", "name", "developer", "capacity_mw")
 
 
@@ -554,7 +560,7 @@ DAY_ONE = datetime.date(2024, 1, 1)
 
 
 def listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
-    return table(spark, sf_dir, "part"), [F.expr(LISTED[k]) for k in ("name", "size", "note")]
+    return landing(spark, sf_dir), [F.expr(LISTED[k]) for k in ("name", "size", "note")]
 
 
 @query(f"""{LISTED_SQL}, r as (select ord, 0 as table_pos, name, mw, concat(name, ' ', size, ' ', note) as text from t union all select ord, 1, name, mw, concat(name, ' ', note, ' ', size) from t)
@@ -596,7 +602,7 @@ def newsletter_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = F.when(size % 4 == 0, "a turbine site").when(size % 4 == 1, "near town").otherwise("")
     row = F.concat(F.lit("<tr><td><b>"), name, F.lit("</b></td><td>"), state, F.lit("</td><td>"), F.when(size % 3 == 0, "NZ").otherwise("NSW"), F.lit("</td><td>"), "p_brand", F.lit("</td><td>"), about, F.lit("</td></tr>"))
     head = F.lit("<table class='x'><tr><th>Project</th><th>proposed</th><th>State</th><th>x</th><th>solar 9 MW</th></tr><tr><th>Country</th><th>proposed</th><th>State</th><th>x</th><th>solar 9 MW</th></tr>")
-    found = parsers.milestone_rows(_landed(table(spark, sf_dir, "part"), F.concat(head, row, F.lit("</table>"), row)), F.lit("2024-05-06").cast("date"))
+    found = parsers.milestone_rows(_landed(landing(spark, sf_dir), F.concat(head, row, F.lit("</table>"), row)), F.lit("2024-05-06").cast("date"))
     return found.select("ord", "name", "capacity_mw", "country", "location", "developer", "status", "description", "announced_date")
 
 
@@ -614,7 +620,7 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n## Too late solar\n40 MW, NSW, June 7, 2025"
     )
     bound = lambda d: F.lit(d).cast("date")
-    found = parsers.markdown_sections(_landed(table(spark, sf_dir, "part"), F.concat(one, F.lit(rest))), F.lit(DAY_ONE), bound("2024-01-01"), bound("2024-12-31"))
+    found = parsers.markdown_sections(_landed(landing(spark, sf_dir), F.concat(one, F.lit(rest))), F.lit(DAY_ONE), bound("2024-01-01"), bound("2024-12-31"))
     return found.select("ord", "pos", "name", "capacity_mw", "location", "announced_date")
 
 
@@ -622,7 +628,7 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = b"k3y"
     hexes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c) - 1), lambda i: F.lpad(F.hex(F.ascii(F.substr(c, i + 1, F.lit(1))).bitwiseXOR(F.get(F.array(*(F.lit(k) for k in key)), i % len(key))).cast("long")), 2, "0"))
-    coded = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.base64(F.unhex(F.array_join(hexes(F.to_json(F.struct("p_name"))), ""))).alias("content"))
+    coded = landing(spark, sf_dir).select(F.col("p_partkey").alias("ord"), F.base64(F.unhex(F.array_join(hexes(F.to_json(F.struct("p_name"))), ""))).alias("content"))
     return coded.select("ord", F.get_json_object(parsers.decode_snapshot(F.col("content"), key), "$.p_name").alias("name"))
 
 

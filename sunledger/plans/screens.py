@@ -19,7 +19,7 @@ from ..operators.staging import run_folder, stage
 from ..operators.versions import VersionedTable
 from ..sources import parsers, workbooks
 from ..streaming import portal, scan
-from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, ORACLE_SQL, PERMANENT_SQL, PROJECTS_SQL, TODAY, _contact_top1, _landed, listed, projects, query, scan_events, sql_any, table
+from .catalogue import DAY_ONE, LISTED, LISTED_GATES_SQL, LISTED_SQL, MATCH_SQL, ORACLE_SQL, PERMANENT_SQL, PROJECTS_SQL, TODAY, _contact_top1, _landed, landing, listed, projects, query, scan_events, sql_any, table
 
 # Referrals out of parts.
 
@@ -183,7 +183,7 @@ def portal_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     empty = F.lit('{"referralNumber":"","title":"x"}')  # an empty first choice drops the row
     page = F.concat(F.when(size % 3 == 0, '{"content":[').when(size % 3 == 1, '{"results":[').otherwise('{"items":['), F.when(size % 5 == 0, empty).otherwise(one), F.lit("]}"))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.from_json(page, schemas.PORTAL_PAGE).alias("page"))
+    pages = landing(spark, sf_dir).select(F.col("p_partkey").alias("ord"), F.from_json(page, schemas.PORTAL_PAGE).alias("page"))
     out = referrals.normalise(referrals.portal_records(pages).drop("pos").withColumn("location", F.concat(F.lit("p"), "page_ord")), "https://x.example/detail/")
     return out.select(F.substring("location", 2, 20).cast("long").alias("page_ord"), "epbc_number", "project_name", "proponent", "size_mw", "technology_type", "is_approved", "source_url")
 
@@ -236,7 +236,7 @@ def referral_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     number = F.concat(F.when(F.col("p_partkey") % 2 == 0, " ").otherwise(""), F.expr("p_partkey div 4"))
     one = _json_of(epbc_number=F.when(size % 7 != 0, number).otherwise(" "), project_name=F.col("p_name"), proponent=F.col("p_brand"), technology=F.lit("Solar"), state=F.when(size % 2 == 0, "NSW"), capacity_mw=size, status=F.lit("Open"), notice_date=F.lit("2024-02-03"))
-    answers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("Here:\n```json\n["), one, F.lit("]\n```")).alias("content"))
+    answers = landing(spark, sf_dir).select(F.col("p_partkey").alias("ord"), F.concat(F.lit("Here:\n```json\n["), one, F.lit("]\n```")).alias("content"))
     items = parsers.answer_items(answers, "epbc_number string, project_name string, proponent string, technology string, state string, capacity_mw double, status string, notice_date string, comment_close_date string")
     return referrals.search_answers(items.select("ord", "pos", "item.*"), ["ord", "pos"])
 
@@ -250,7 +250,7 @@ def project_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         name=F.col("p_name"), description=F.when(size % 3 == 0, "a plant"), capacity_mw=F.when(size % 2 == 0, size), country=F.when(size % 4 == 0, "NZ").otherwise("US"),
         status=F.when(size % 5 == 0, "under_development").otherwise("operating"), source_url=F.when(size % 3 == 1, "https://x.example/own"), announced_date=F.when(size % 3 == 2, "2024-03-15"),
     )
-    answers = _landed(table(spark, sf_dir, "part"), F.concat(F.lit("```json\n["), one, F.lit(',{"name":"","capacity_mw":9}]\n```')))
+    answers = _landed(landing(spark, sf_dir), F.concat(F.lit("```json\n["), one, F.lit(',{"name":"","capacity_mw":9}]\n```')))
     return parsers.answer_projects(answers, F.lit(DAY_ONE)).select("ord", "name", "description", "capacity_mw", "country", "status", "source_url", "announced_date")
 
 
@@ -282,7 +282,7 @@ case when p_size % 5 = 0 then date '2024-01-01' else date '2026-06-12' end as d
 join (select ord as o2, body as b2, url as u2 from c) on u2 = url and o2 % 2 = 0 where {sql_any('title', P.SOLAR_TITLES)} and not regexp_matches(title, '^our ', 'i') and contains(b2, 'Proposed') and d >= date '2024-01-02'
 and true qualify row_number() over (partition by url order by ord) = 1""".replace("regexp_extract(body", "regexp_extract(b2"))
 def news_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size, parts = F.col("p_size"), table(spark, sf_dir, "part")
+    size, parts = F.col("p_size"), landing(spark, sf_dir)
     title = F.when(size % 4 == 0, F.concat("p_name", F.lit(" Solar Farm"))).when(size % 4 == 1, F.concat("p_name", F.lit(" Plains Project"))).when(size % 4 == 2, F.concat(F.lit("Our solar farm "), "p_name")).otherwise(F.concat("p_name", F.lit(" Solar Park")))
     url = F.concat(F.lit("https://x.example/show/"), F.expr("p_partkey div 2"))
     day = F.when(size % 5 != 0, F.lit("<p>Published Date: 2026-June-12</p>")).otherwise("")
@@ -301,7 +301,7 @@ def newsletter_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat(F.lit('<div class="pdf-block-watts-new"><div><div><h2>Letter of <b>12 June 2024</b></h2><a '), base, F.lit('/a">x</a></div></div></div>'))
     far = F.repeat(F.lit("z"), F.lit(400))
     rest = F.concat(far, F.when(F.col("p_size") % 2 == 0, "<p>3 July 2024</p>").otherwise(""), F.lit("<a "), base, F.lit('/b">y</a>'), far, F.lit("9 May 2020 <a "), base, F.lit('/a">again</a>'))
-    return parsers.newsletter_index(_landed(table(spark, sf_dir, "part"), F.concat(block, rest)), F.lit(DAY_ONE), r"https://x\.example/letter/")
+    return parsers.newsletter_index(_landed(landing(spark, sf_dir), F.concat(block, rest)), F.lit(DAY_ONE), r"https://x\.example/letter/")
 
 
 @query("""select p_partkey as ord, concat(p_name, ' Solar Farm') as name, p_size::double as capacity_mw, p_brand as developer, case when p_size % 4 = 0 then 'NZ' else 'AU' end as country,
@@ -312,7 +312,7 @@ def embedded_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         energy_id=F.when(size % 3 == 0, 2).otherwise(4), type=F.when(size % 5 == 0, "In Development").when(size % 5 == 4, "Operating").otherwise("Announced"), project_name=F.concat("p_name", F.lit(" Solar Farm")),
         country=F.when(size % 4 == 0, "NZ").otherwise("AU"), capacity=F.concat(size, F.lit(" MW")), developer=F.lit(""), owner=F.col("p_brand"), status=F.lit(""), updated_at=F.lit("2024-02-03T00:00:00Z"),
     )
-    pages = _landed(table(spark, sf_dir, "part"), F.concat(F.lit("<script>var project = ["), one, F.lit("]; var x = 1;</script>")))
+    pages = _landed(landing(spark, sf_dir), F.concat(F.lit("<script>var project = ["), one, F.lit("]; var x = 1;</script>")))
     return parsers.embedded_projects(pages, F.lit(DAY_ONE)).select("ord", "name", "capacity_mw", "developer", "country", "status")
 
 
@@ -326,8 +326,9 @@ def snapshot_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.concat(F.lit("["), _json_of(**fields), F.lit(","), _json_of(**fields | {"owner": F.lit("second")}), F.lit("]"))
     keys = F.array(*(F.lit(k) for k in key))
-    coded = F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.lpad(F.hex(F.ascii(F.substr(text, i + 1, F.lit(1))).bitwiseXOR(F.get(keys, i % len(key))).cast("long")), 2, "0"))
-    pages = _landed(table(spark, sf_dir, "part"), F.base64(F.unhex(F.array_join(coded, ""))))
+    # the text's characters once, as a lambda would put the text together anew for each of them
+    coded = F.transform(F.split(text, ""), lambda c, i: F.lpad(F.hex(F.ascii(c).bitwiseXOR(F.get(keys, i % len(key))).cast("long")), 2, "0"))
+    pages = _landed(landing(spark, sf_dir), F.base64(F.unhex(F.array_join(coded, ""))))
     return parsers.snapshot_projects(pages, key, F.lit(DAY_ONE)).select("ord", "name", "capacity_mw", "developer", "status")
 
 
@@ -340,7 +341,7 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<article class="post"><h2><i>'), "p_name", F.lit("</i> proposed solar</h2>"), F.when(size % 3 == 0, '<a href="https://x.example/n">x</a>').otherwise(""), F.when(size % 5 == 0, " undated ").otherwise(" June 12, 2024 "),
         F.when(size % 2 == 0, "permit lodged").otherwise("now operating"), F.lit(" in SA, "), size * 10, F.lit(' MW</article><section class="entry"><h3>solar</h3> permit, June 12, 2024</section>'),
     )
-    found = parsers.html_blocks(_landed(table(spark, sf_dir, "part"), block), "url", F.lit(DAY_ONE), F.lit("2024-02-01").cast("date"))
+    found = parsers.html_blocks(_landed(landing(spark, sf_dir), block), "url", F.lit(DAY_ONE), F.lit("2024-02-01").cast("date"))
     return found.select("ord", "name", "source_url", "announced_date", "capacity_mw", "location", "status")
 
 
@@ -354,7 +355,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<p>hello</p> NEW PROJECT: "), "p_name", F.lit(" Solar Farm. A plant of "), "p_size", F.lit(" MW <b>PROJECT UPDATE:</b> "), "p_name", F.lit(" Ridge. 70 MW project update: "), "p_name",
         F.lit(" Hybrid Solar. 80 MW New Project: "), "p_name", F.lit(" Solar Farm. 90 MW again PROJECT MILESTONE: Other solar. 90 MW"),
     )
-    return _landed(table(spark, sf_dir, "part"), F.when(F.col("p_size") % 4 == 0, "<p>nothing</p>").otherwise(text))
+    return _landed(landing(spark, sf_dir), F.when(F.col("p_size") % 4 == 0, "<p>nothing</p>").otherwise(text))
 
 
 @query(f"with {LETTER_SQL} select ord, name, mw as capacity_mw, status from s")
@@ -369,7 +370,7 @@ def newsletter_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers stand in for newsletters without sections: their capacity, else that of their text."""
     size = F.col("p_size")
     one = _json_of(name=F.col("p_name"), description=F.when(size % 3 == 2, "some 25 MW").otherwise("a plant"), capacity_mw=F.when(size % 3 == 1, size))
-    answers = _landed(table(spark, sf_dir, "part"), F.concat(F.lit("```json\n["), one, F.lit(',{"capacity_mw":9},'), one, F.lit("]\n```")))
+    answers = _landed(landing(spark, sf_dir), F.concat(F.lit("```json\n["), one, F.lit(',{"capacity_mw":9},'), one, F.lit("]\n```")))
     found = parsers.newsletter_sections(letters(spark, sf_dir), F.lit(DAY_ONE))
     both = found.withColumn("source_url", F.lit(None).cast("string")).unionByName(parsers.newsletter_answers(answers, found, F.lit(DAY_ONE)), allowMissingColumns=True)
     return both.select("ord", "name", "capacity_mw", "status", "source_url")
@@ -387,7 +388,7 @@ select source, branch, ord, name, url as source_url from u qualify row_number()
 def source_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's feed, then its pages, the first of a URL; a model's answers for sources without any row."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    landed = lambda keep, content: table(spark, sf_dir, "part").filter(keep).select(F.concat(F.lit("s"), key % 50).alias("source"), F.concat(F.lit("https://x.example/"), key % 100).alias("url"), key.alias("ord"), content.alias("content"))
+    landed = lambda keep, content: landing(spark, sf_dir).filter(keep).select(F.concat(F.lit("s"), key % 50).alias("source"), F.concat(F.lit("https://x.example/"), key % 100).alias("url"), key.alias("ord"), content.alias("content"))
     item = F.concat(F.lit("<item><title>"), "p_name", F.lit(" solar "), size, F.lit(" MW</title><link>https://x.example/"), key % 200, F.lit("</link></item>"))
     block = F.concat(F.lit('<div class="post"><h2>'), "p_name", F.lit(" proposed solar "), size, F.lit(' MW</h2><a href="https://x.example/'), key % 400, F.lit('">x</a></div>'))
     k, day = key % 50, F.lit(DAY_ONE)
