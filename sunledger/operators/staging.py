@@ -31,12 +31,12 @@ def stage(df: DataFrame) -> DataFrame:
 ROWS_A_TASK = 10_000
 
 
-def spread(df: DataFrame, key: str, rows: int = ROWS_A_TASK) -> DataFrame:
+def spread(df: DataFrame, key: str | list[str], rows: int = ROWS_A_TASK) -> DataFrame:
     """`df` dealt by a key that few rows share over as many tasks as its rows need, whatever files they lay in: content that takes
     long to parse may lie in one small file. Windows by this key, whatever else they are by, need no other shuffle. Rows
     are counted first."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
-    return df.repartition(tasks, key)
+    return df.repartition(tasks, *([key] if isinstance(key, str) else key))
 
 
 def run_folder(spark: SparkSession, kind: str) -> str:

@@ -87,14 +87,21 @@ class PortalReader(DataSourceStreamReader):
         return {}
 
     def _landed(self) -> dict[str, list[str]]:
-        """Per portal the paths of its pages, up to the first gap. Files still being written are hidden ones."""
+        """Per portal the paths of its pages, up to the first gap. Files still being written are hidden ones. Only folders of pages that
+        may be taken are looked into, however many have landed."""
         filesystem, folder = fs.FileSystem.from_uri(self.path)
-        found: dict[str, dict[int, str]] = {}
-        for info in sorted(filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)), key=lambda info: info.path, reverse=True):
-            parts = info.path[len(folder.rstrip("/")) + 1 :].split("/")
-            if info.type == fs.FileType.File and len(parts) == 3 and parts[0].startswith("source=") and parts[1].startswith("page=") and parts[2][0] not in "._":
-                found.setdefault(unquote(parts[0][7:]), {})[int(parts[1][5:])] = info.path
-        return {source: [pages[i] for i in range(next(i for i in range(self.most + 1) if i not in pages or i == self.most))] for source, pages in found.items()}
+        within = lambda path: filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        found: dict[str, list[str]] = {}
+        for portal in within(folder):
+            if portal.type != fs.FileType.Directory or not portal.base_name.startswith("source="):
+                continue
+            paths = found[unquote(portal.base_name[7:])] = []
+            while len(paths) < self.most:
+                files = [f.path for f in within(f"{portal.path}/page={len(paths)}") if f.type == fs.FileType.File and f.base_name[0] not in "._"]
+                if not files:
+                    break
+                paths.append(min(files))
+        return found
 
     def latestOffset(self) -> dict:
         return {source: len(paths) for source, paths in self._landed().items() if paths}

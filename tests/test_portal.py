@@ -91,3 +91,16 @@ def test_stopped_in_the_middle_and_resumed(spark, tmp_path):
 def test_query_takes_pages_of_both_parts(spark, sf_dir):
     got = screens.portal_stream(spark, sf_dir)
     assert got.count() == got.select("epbc_number").distinct().count() and got.filter(F.col("page") % 5 >= 3).count() + got.filter("page >= 2").count() > 0
+
+
+def test_only_pages_that_may_be_taken_are_looked_into(tmp_path):
+    """Of any number of landed pages a portal's folders are listed up to the limit, and to the first gap."""
+    for source, numbers in (("a", range(60)), ("b", (0, 2, 3)), ("c", ())):
+        (tmp_path / "landed" / f"source={source}").mkdir(parents=True)
+        for n in numbers:
+            land(tmp_path / "landed", source, n, page(3))
+    reader = PortalReader(f"file://{tmp_path}/landed", 3, 4)
+    # a folder beyond the limit that can't be read for what it is
+    (tmp_path / "landed" / "source=a" / "page=latest").mkdir()
+    (tmp_path / "landed" / "source=a" / "page=latest" / "part-0.txt").write_text("x")
+    assert reader.latestOffset() == {"a": 4, "b": 1}
