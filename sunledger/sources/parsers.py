@@ -34,14 +34,30 @@ def explode_at(df: DataFrame, items: Column, name: str) -> DataFrame:
     return df.select("*", F.posexplode(items).alias("pos", name))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns that are worked out once a row. A plain column is worked out anew wherever a filter or another column asks
+    for it, which counts where that is a pattern over a text."""
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def clean_cell(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
 
 
 def written_date(text: Column) -> Column:
     """The first ISO date or "Month d, yyyy" in a text, null if there is none or it can't be read."""
-    found = _one(text, r"(\d{4}-\d{2}-\d{2}|[A-Za-z]+ \d{1,2},? \d{4})")
-    return F.coalesce(F.try_to_date(found, "yyyy-MM-dd"), F.try_to_date(F.regexp_replace(found, ",", ""), "MMMM d yyyy"), F.try_to_date(F.regexp_replace(found, ",", ""), "MMM d yyyy"))
+    return read_date(date_text(text))
+
+
+def date_text(text: Column) -> Column:
+    return _one(text, r"(\d{4}-\d{2}-\d{2}|[A-Za-z]+ \d{1,2},? \d{4})")
+
+
+def read_date(found: Column) -> Column:
+    """The date that `date_text` found; only formats of its shape are tried."""
+    plain = F.replace(found, F.lit(","), F.lit(""))
+    named = F.coalesce(F.try_to_date(plain, "MMMM d yyyy"), F.try_to_date(plain, "MMM d yyyy"))
+    return F.when(found.rlike("^[0-9]"), F.try_to_date(found, "yyyy-MM-dd")).otherwise(named)
 
 
 def date_or_today(text: Column, today: Column) -> tuple[Column, Column]:
@@ -68,9 +84,9 @@ def with_record(df: DataFrame, text: Column, today: Column | None, date_from: Co
     """`df` (name, description, source_url) with what `text` says: capacity_mw unless there is one, developer, location,
     country, status and announced_date, a date that is not written being `today`. With a bound rows without
     a written date go, and so do those outside."""
-    found = written_date(text) if date is None else date
-    df = df.withColumns({"_text": text, "_date": found, "country": _country(df)})
+    df = once(df, _text=text, _found=date_text(text) if date is None else F.lit(None).cast("string"))
     text = F.col("_text")
+    df = once(df, _date=read_date(F.col("_found")) if date is None else date).drop("_found").withColumn("country", _country(df))
     fields = {"capacity_mw": X.capacity(text)} if "capacity_mw" not in df.columns else {}
     fields |= {"developer": X.developer(text), "location": place_in(text, F.col("country")), "status": X.status(text), "source_name": F.col("source")}
     fields["announced_date"] = F.col("_date") if today is None else F.coalesce("_date", today)
@@ -125,8 +141,9 @@ def markdown_sections(pages: DataFrame, today: Column | None = None, date_from:
     section = F.col("section")
     heading = F.trim(F.regexp_replace(F.regexp_extract(section, r"(?m)^#{1,3} ([^\n\r]+)", 1), r"[*\[\]`]", ""))
     line = F.get(F.filter(F.split(section, "\n"), lambda x: F.length(F.trim(x)) > 10), F.lit(0))
-    df = df.withColumns({"name": F.when(F.length(heading) >= 5, heading).otherwise(F.trim(F.coalesce(line, F.lit("")))), "capacity_mw": X.capacity(section)})
-    df = df.filter(is_listed_project(F.col("name"), section, F.col("capacity_mw")) & ~only_statistics(section)).withColumns({
+    head = F.col("_heading")
+    df = once(df, _heading=heading, capacity_mw=X.capacity(section)).filter("capacity_mw is not null")
+    df = once(df, name=F.when(F.length(head) >= 5, head).otherwise(F.trim(F.coalesce(line, F.lit(""))))).drop("_heading").filter(is_listed_project(F.col("name"), section, F.col("capacity_mw")) & ~only_statistics(section)).withColumns({
         "source_url": F.coalesce(_one(section, r"\[.*?\]\((https?://[^)]+)\)"), F.col("url")),
         "description": F.trim(F.left(F.regexp_replace(section, r"\A#{1,3} [^\n]+\n?", ""), F.lit(500))),
     })

@@ -28,3 +28,13 @@ def test_tasks_follow_rows(spark):
 def test_snapshots_are_decoded_by_many_tasks(spark, one_file):
     assert "REPARTITION_BY_NUM" in screens.snapshot_projects(spark, one_file)._jdf.queryExecution().toString()
     assert catalogue.landing(spark, one_file).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def times(query, pattern):
+    """How often a plan works a pattern out."""
+    return query._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+
+def test_dates_of_sections_are_looked_for_once(spark, sf_dir):
+    sections = catalogue.markdown_sections(spark, sf_dir)
+    assert times(sections, "[A-Za-z]+ \\d{1,2},? \\d{4}") == 1 and times(sections, "#{1,3} ([^") == 1
