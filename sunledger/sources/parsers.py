@@ -104,12 +104,11 @@ def rss_items(feeds: DataFrame, today: Column, date_from: Column | None = None,
         return F.trim(F.coalesce(_one(F.col("item"), pattern, 1), _one(F.col("item"), pattern, 2), F.lit("")))
 
     link = F.trim(F.regexp_extract("item", r"(?i)<link[^>]*>(.*?)</link>|<link[^>]*/>", 1))
-    df = df.withColumns({
-        "name": field("title", "i"), "source_url": link, "description": F.left(clean_cell(field("description", "is")), F.lit(800)),
-        "_pub": F.trim(_one(F.col("item"), r"(?i)<pubDate[^>]*>(.*?)</pubDate>")),
-    }).filter("name <> '' and source_url <> ''")
-    both = F.concat_ws(" ", "name", "description")
-    return with_record(df.filter(X.mentions_solar(both) & ~X.has_any(both, X.P.EXCLUDE)), both, today, date_from, date_to, feed_date(F.col("_pub"))).drop("item", "_pub")
+    df = once(df, name=field("title", "i"), source_url=link).filter("name <> '' and source_url <> ''")
+    df = once(df, description=F.left(clean_cell(field("description", "is")), F.lit(800)), _pub=F.trim(_one(F.col("item"), r"(?i)<pubDate[^>]*>(.*?)</pubDate>")))
+    df = once(df, _both=F.concat_ws(" ", "name", "description"))
+    both = F.col("_both")
+    return with_record(df.filter(X.mentions_solar(both) & ~X.has_any(both, X.P.EXCLUDE)), both, today, date_from, date_to, feed_date(F.col("_pub"))).drop("item", "_pub", "_both")
 
 
 def html_blocks(pages: DataFrame, search_url: str = "url", today: Column | None = None, date_from: Column | None = None, date_to: Column | None = None) -> DataFrame:

@@ -38,3 +38,9 @@ def times(query, pattern):
 def test_dates_of_sections_are_looked_for_once(spark, sf_dir):
     sections = catalogue.markdown_sections(spark, sf_dir)
     assert times(sections, "[A-Za-z]+ \\d{1,2},? \\d{4}") == 1 and times(sections, "#{1,3} ([^") == 1
+
+
+def test_fields_of_items_are_looked_for_once(spark, sf_dir):
+    """A field's pattern has its tag twice, and is asked for three times at most (two groups, one of them twice)."""
+    items = catalogue.rss_items(spark, sf_dir)
+    assert times(items, "<title[^>]*>") <= 6 and times(items, "<description[^>]*>") <= 6 and times(items, "<pubDate[^>]*>") == 1
