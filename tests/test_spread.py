@@ -44,3 +44,10 @@ def test_fields_of_items_are_looked_for_once(spark, sf_dir):
     """A field's pattern has its tag twice, and is asked for three times at most (two groups, one of them twice)."""
     items = catalogue.rss_items(spark, sf_dir)
     assert times(items, "<title[^>]*>") <= 6 and times(items, "<description[^>]*>") <= 6 and times(items, "<pubDate[^>]*>") == 1
+
+
+@pytest.mark.parametrize("name", ["newsletter_index"])
+def test_first_ones_of_a_newsletter_need_no_shuffle_of_texts(spark, one_file, name):
+    """Newsletters are dealt before their texts are put together, and what is first in each is found where it lies."""
+    plan = catalogue.QUERIES[name](spark, one_file)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
