@@ -46,7 +46,7 @@ def test_fields_of_items_are_looked_for_once(spark, sf_dir):
     assert times(items, "<title[^>]*>") <= 6 and times(items, "<description[^>]*>") <= 6 and times(items, "<pubDate[^>]*>") == 1
 
 
-@pytest.mark.parametrize("name", ["newsletter_index", "newsletter_projects"])
+@pytest.mark.parametrize("name", ["newsletter_index", "newsletter_sections", "newsletter_projects"])
 def test_first_ones_of_a_newsletter_need_no_shuffle_of_texts(spark, one_file, name):
     """Newsletters are dealt before their texts are put together, and what is first in each is found where it lies."""
     plan = catalogue.QUERIES[name](spark, one_file)._jdf.queryExecution().executedPlan().toString()
