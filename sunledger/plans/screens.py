@@ -220,9 +220,7 @@ def portal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = stage(_portal_pages(spark, sf_dir, 100))
     spark.dataSource.register(portal.PortalPages)
     for i, landed in enumerate((F.col("page") % 5 < 3, F.col("page") % 5 >= 3)):
-        # a page is a file: tasks write a thousand each, and move their own into place
-        writer = spread(pages.filter(landed), ["source", "page"], 1000).write.mode("append").partitionBy("source", "page")
-        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(f"{folder}/landed")
+        portal.land_pages(spread(pages.filter(landed), ["source", "page"], 1000), f"{folder}/landed")
         stream = spark.readStream.format("portal_pages").option("path", f"{folder}/landed").option("size", 100).load()
         records = referrals.portal_records(stream.select(F.struct("source", "page").alias("ord"), F.from_json("content", schemas.PORTAL_PAGE).alias("page")))
         out = records.select("page_ord.source", "page_ord.page", "pos", F.col("epbcNumber").alias("epbc_number"), F.col("projectStatus").alias("project_status"))

@@ -19,10 +19,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 ENVELOPES = ("content", "results", "items", "referrals")
@@ -65,6 +66,22 @@ def taken_pages(contents: Iterator[str], size: int, most: int) -> Iterator[tuple
             return
 
 
+def land_pages(pages: DataFrame, folder: str) -> None:
+    """Pages (source, page, value) into a folder, each as a file under its final name at once; landing one again changes nothing.
+    Tasks write through `pyarrow.fs`, as the stream reads: a file costs Spark's writer a folder and a rename more."""
+
+    def land(rows: Iterator[Row]) -> None:
+        filesystem, root = fs.FileSystem.from_uri(folder)
+        for row in rows:
+            at = f"{root}/source={quote(row['source'], safe='')}/page={row['page']}"
+            filesystem.create_dir(at)
+            with filesystem.open_output_stream(f"{at}/.page.txt") as out:
+                out.write(row["value"].encode())
+            filesystem.move(f"{at}/.page.txt", f"{at}/page.txt")
+
+    pages.foreachPartition(land)
+
+
 class PortalPages(DataSource):
     """Options: path, size (records of a full page, 200), most (pages of a portal, 50)."""
 
