@@ -210,7 +210,7 @@ def serial_date(serial: Column) -> Column:
 
 def long_date(text: Column) -> Column:
     """yyyy-Month-d, or "d Month yyyy"; null if neither."""
-    return F.coalesce(F.try_to_date(text, "yyyy-MMMM-d"), F.try_to_date(text, "d MMMM yyyy"))
+    return F.when(text.contains("-"), F.try_to_date(text, "yyyy-MMMM-d")).otherwise(F.try_to_date(text, "d MMMM yyyy"))
 
 
 def referral_date(text: Column) -> Column:

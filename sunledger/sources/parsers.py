@@ -402,21 +402,42 @@ def news_projects(cards: DataFrame, articles: DataFrame, date_from: Column | Non
     )
 
 
+#: Characters before a link, and from it on, among which its date is looked for; and the fewest that a link takes.
+BEFORE, AFTER, LEAST_LINK = 200, 300, len('href=""') + 1
+
+
+def with_links(pages: DataFrame, link: str) -> DataFrame:
+    """`pages` with `links`, the places of links in the order of the page: url and around, what stands about that place. A page is cut
+    at its links and the pieces are shortened before they are put together again, so the work on it grows with its
+    length, however many links it has."""
+    href, most = F.lit(rf'(?i)href="{link}[^"]+"'), lambda characters: F.lit(-(-characters // LEAST_LINK))
+    df = once(pages, links=F.regexp_extract_all("content", href, F.lit(0)), _gaps=F.split("content", href))
+    heads = F.transform("links", lambda x, i: F.left(F.concat(x, F.get("_gaps", i + 1)), F.lit(AFTER)))
+    tails = F.transform("_gaps", lambda gap, i: F.right(F.concat(F.coalesce(F.get("links", i - 1), F.lit("")), gap), F.lit(BEFORE)))
+
+    def place(href: Column, i: Column) -> Column:
+        before = F.array_join(F.slice("_tails", F.greatest(i + 2 - most(BEFORE), F.lit(1)), F.least(i + 1, most(BEFORE))), "")
+        after = F.array_join(F.slice("_heads", i + 1, most(AFTER)), "")
+        around = F.concat(F.right(before, F.lit(BEFORE)), F.left(after, F.lit(AFTER)))
+        return F.struct(F.substr(href, F.lit(7), F.length(href) - 7).alias("url"), around.alias("around"))
+
+    return once(once(df, _heads=heads, _tails=tails).drop("_gaps"), links=F.transform("links", place)).drop("_heads", "_tails")
+
+
 def newsletter_index(pages: DataFrame, today: Column, link: str, block: str = "pdf-block-watts-new") -> DataFrame:
     """Newsletters that an index page links to (source_url, announced_date), found in two ways: in blocks of a
     class, dated by their heading; and at any link, dated by what stands up to 200 characters before and
     300 after it. Of one link in a page the first find stays, blocks before links."""
-    url, day = rf'(?i)href="({link}[^"]+)"', r"(\d{1,2}\s+[A-Za-z]+\s+\d{4})"
-    dated = lambda text: F.coalesce(X.long_date(F.regexp_replace(_one(text, day), r"\s+", " ")), today)
-    blocks = explode_at(pages, _all(F.col("content"), rf'(?is)<div[^>]*class="[^"]*{block}[^"]*"[^>]*>(.*?)</div>\s*</div>\s*</div>'), "block")
-    title = F.regexp_replace(F.coalesce(_one(F.col("block"), r"(?is)<h2[^>]*>(.*?)</h2>"), F.lit("")), "<[^>]+>", "")
-    first = blocks.select("ord", F.lit(0).alias("way"), "pos", _one(F.col("block"), url).alias("source_url"), dated(title).alias("announced_date")).filter("source_url is not null")
-    links = explode_at(pages, _all(F.col("content"), url), "source_url")
-    at = F.instr(F.lower("content"), F.concat(F.lit('href="'), F.lower("source_url"), F.lit('"')))
-    start = F.greatest(at - 200, F.lit(1))
-    around = F.regexp_replace(F.substr("content", start, at + 300 - start), "<[^>]+>", " ")
-    second = links.select("ord", F.lit(1).alias("way"), "pos", "source_url", dated(around).alias("announced_date"))
-    return keep_first(first.unionByName(second), ["ord", "source_url"], ["way", "pos"]).select("ord", "source_url", "announced_date")
+    found = lambda way, pos, url, text: F.struct(F.lit(way).alias("way"), pos.alias("pos"), url.alias("source_url"), text.alias("_text"))
+    blocks = F.transform(
+        _all(F.col("content"), rf'(?is)<div[^>]*class="[^"]*{block}[^"]*"[^>]*>(.*?)</div>\s*</div>\s*</div>'),
+        lambda b, i: found(0, i, F.regexp_extract(b, rf'(?i)href="({link}[^"]+)"', 1), F.regexp_replace(F.regexp_extract(b, r"(?is)<h2[^>]*>(.*?)</h2>", 1), "<[^>]+>", "")),
+    )
+    links = F.transform("links", lambda x, i: found(1, i, x["url"], F.regexp_replace(x["around"], "<[^>]+>", " ")))
+    finds = with_links(pages, link).select("ord", F.inline(F.concat(blocks, links))).filter("source_url <> ''")
+    finds = once(finds, _day=F.regexp_replace(F.regexp_extract("_text", r"(\d{1,2}\s+[A-Za-z]+\s+\d{4})", 1), r"\s+", " "))
+    finds = once(finds.drop("_text"), announced_date=F.coalesce(X.long_date(F.col("_day")), today)).drop("_day")
+    return keep_first(finds, ["ord", "source_url"], ["way", "pos"]).select("ord", "source_url", "announced_date")
 
 
 ANSWER_PROJECT = "name string, description string, capacity_mw double, developer string, location string, country string, status string, source_url string, announced_date string"

@@ -77,3 +77,11 @@ def test_sections_claim_their_name(spark):
     text = "NEW PROJECT: Tiny Solar. 2 MW NEW PROJECT: Tiny Solar. 50 MW new project: Wind Ridge. 70 MW Project Update: Sunny PV. 60 MW"
     got = parsers.newsletter_sections(spark.createDataFrame([("s", "u", 1, None, text)], LANDED)).collect()
     assert [(r["name"], r["status"], r["capacity_mw"]) for r in got] == [("Sunny PV", "under_development", 60.0)]
+
+
+def test_links_are_dated_by_their_own_place(spark):
+    """Links that differ in case alone, close ones, and one so often that its pieces would be searched again for each."""
+    link = lambda name: f'<a HREF="https://x.example/letter/{name}">'
+    text = "1 May 2020" + link("A") + "z" * 300 + "2 May 2020" + link("a") + link("b") * 500 + "z" * 300 + link("c") + "z" * 220 + " 3 May 2020 "
+    found = parsers.newsletter_index(spark.createDataFrame([("s", "u", 1, "AU", text)], LANDED), F.lit("2024-01-01").cast("date"), r"https://x\.example/letter/")
+    assert {r["source_url"][-1]: str(r["announced_date"]) for r in found.collect()} == {"A": "2020-05-01", "a": "2020-05-02", "b": "2020-05-02", "c": "2020-05-03"}

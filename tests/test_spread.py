@@ -51,3 +51,9 @@ def test_first_ones_of_a_newsletter_need_no_shuffle_of_texts(spark, one_file, na
     """Newsletters are dealt before their texts are put together, and what is first in each is found where it lies."""
     plan = catalogue.QUERIES[name](spark, one_file)._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_index_pages_are_read_once(spark, sf_dir):
+    """Blocks and links come from one pass over the pages, and a page isn't searched again for each of its links."""
+    found = screens.newsletter_index(spark, sf_dir)
+    assert times(found, "Relation [") == 1 and times(found, "instr(") == 0 and times(found, "MMMM") == 2
