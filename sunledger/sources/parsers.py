@@ -299,15 +299,15 @@ def newsletter_sections(pages: DataFrame, day: Column | None = None) -> DataFram
     more. The first section of a name in a newsletter stands for it, even where a later gate drops it."""
     text = X.strip_html(F.col("content"), 20_000)
     df = explode_at(pages, F.split(text, "(?i)(?=NEW PROJECT:|PROJECT UPDATE:|PROJECT MILESTONE:)"), "section")
-    body = F.left("section", F.lit(700))
     name = F.trim(F.regexp_extract("section", r"(?i)^(?:NEW PROJECT|PROJECT UPDATE):\s*([^.\n]+)", 1))
-    df = df.withColumns({"body": body, "name": name}).filter((F.length("name") >= 5) & X.has_any(F.col("body"), X.P.SOLAR_TITLES))
+    # what is sorted by name has no more of the text than later columns ask for
+    df = once(df.drop("content"), body=F.left("section", F.lit(700)), name=name).drop("section").filter((F.length("name") >= 5) & X.has_any(F.col("body"), X.P.SOLAR_TITLES))
     df = df.withColumn("source_url", F.concat("url", F.lit("#"), X.url_component(F.left("name", F.lit(40)))))
-    df = keep_first(df, ["ord", "source_url"], ["pos"]).withColumn("capacity_mw", X.capacity(F.col("body"))).filter(F.col("capacity_mw") >= 5)
+    df = once(keep_first(df, ["ord", "source_url"], ["pos"]), capacity_mw=X.capacity(F.col("body"))).filter(F.col("capacity_mw") >= 5)
     return df.withColumns({
-        "status": F.when(F.lower("section").startswith("new"), "announced").otherwise("under_development"), "description": F.left(F.trim("body"), F.lit(600)),
+        "status": F.when(F.lower("body").startswith("new"), "announced").otherwise("under_development"), "description": F.left(F.trim("body"), F.lit(600)),
         "developer": X.developer(F.col("body")), "location": X.location(F.col("body")), "country": F.lit("AU"), "announced_date": F.lit(None).cast("date") if day is None else day,
-    }).drop("section", "body", "content")
+    }).drop("body")
 
 
 NEWSLETTER_PROJECT = "name string, description string, capacity_mw double, developer string, location string, country string, status string"

@@ -57,3 +57,11 @@ def test_index_pages_are_read_once(spark, sf_dir):
     """Blocks and links come from one pass over the pages, and a page isn't searched again for each of its links."""
     found = screens.newsletter_index(spark, sf_dir)
     assert times(found, "Relation [") == 1 and times(found, "instr(") == 0 and times(found, "MMMM") == 2
+
+
+def test_sections_are_sorted_without_their_text(spark, sf_dir):
+    """What is sorted to find the first of a name is 700 characters of a section at most, and its capacity is looked for once."""
+    sections = screens.newsletter_sections(spark, sf_dir)
+    sort = next(x for x in sections._jdf.queryExecution().optimizedPlan().toString().split("Window [", 1)[1].split("\n")[1:] if "Project [" in x)
+    assert "body#" in sort and "section#" not in sort
+    assert times(sections, "gigawatt") <= 5 and times(sections, "PROJECT UPDATE):") == 1
