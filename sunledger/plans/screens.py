@@ -371,9 +371,8 @@ def newsletter_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     one = _json_of(name=F.col("p_name"), description=F.when(size % 3 == 2, "some 25 MW").otherwise("a plant"), capacity_mw=F.when(size % 3 == 1, size))
     answers = _landed(landing(spark, sf_dir), F.concat(F.lit("```json\n["), one, F.lit(',{"capacity_mw":9},'), one, F.lit("]\n```")))
-    found = parsers.newsletter_sections(letters(spark, sf_dir), F.lit(DAY_ONE))
-    both = found.withColumn("source_url", F.lit(None).cast("string")).unionByName(parsers.newsletter_answers(answers, found, F.lit(DAY_ONE)), allowMissingColumns=True)
-    return both.select("ord", "name", "capacity_mw", "status", "source_url")
+    found = parsers.newsletter_sections(letters(spark, sf_dir), F.lit(DAY_ONE)).withColumn("source_url", F.lit(None).cast("string"))
+    return parsers.with_answers(found, answers, F.lit(DAY_ONE)).select("ord", "name", "capacity_mw", "status", "source_url")
 
 
 SOURCE_SQL = """r as (select p_partkey, p_partkey % 50 as k, p_name, p_size from part),

@@ -313,21 +313,30 @@ def newsletter_sections(pages: DataFrame, day: Column | None = None) -> DataFram
 NEWSLETTER_PROJECT = "name string, description string, capacity_mw double, developer string, location string, country string, status string"
 
 
-def newsletter_answers(answers: DataFrame, found: DataFrame, day: Column) -> DataFrame:
-    """Projects of a model's answers about newsletters (source, url, ord, content), only for newsletters of which
-    `found` (rows of tables and sections) has none: a capacity that the answer lacks is looked for in its text,
-    nameless ones and those known to be under 5 MW go, and the first of each name stays."""
-    have = found.select(F.col("ord").alias("_have")).distinct()
-    df = answer_items(answers.join(have, F.col("ord") == F.col("_have"), "left_anti"), NEWSLETTER_PROJECT)
+def with_answers(found: DataFrame, answers: DataFrame, day: Column) -> DataFrame:
+    """`found` (rows of tables and sections of newsletters), and projects of a model's answers (source, url, ord, content) about those
+    newsletters of which it has none: a capacity that the answer lacks is looked for in its text,
+    nameless ones and those known to be under 5 MW go, and the first of each name stays. Both go through one window by
+    newsletter, so `found` is worked out once and newsletters dealt by ord need no join."""
+    raw = answers.select("source", "url", "ord", F.col("content").alias("_answer"), F.lit(False).alias("_found"))
+    rows = found.withColumn("_found", F.lit(True)).unionByName(raw, allowMissingColumns=True)
+    have = F.col("ord").isNotNull() & F.max("_found").over(Window.partitionBy("ord"))
+    rows = rows.withColumn("_have", have).filter(F.col("_found") | ~F.col("_have")).drop("_have")
+    items = F.from_json(X.json_array(F.col("_answer")), f"array<struct<{NEWSLETTER_PROJECT}>>")
+    none = F.array(F.lit(None).cast(f"struct<{NEWSLETTER_PROJECT}>"))
+    df = rows.select("*", F.posexplode(F.when(F.col("_found"), none).otherwise(items)).alias("_pos", "item")).drop("_answer")
     p = lambda k: F.col(f"item.{k}")
-    name = F.coalesce(p("name"), F.lit(""))
-    df = df.withColumn("capacity_mw", F.coalesce(p("capacity_mw"), X.capacity(F.concat_ws(" ", name, F.coalesce(p("description"), F.lit("")))))).filter((name != "") & (F.col("capacity_mw").isNull() | (F.col("capacity_mw") >= 5)))
-    df = df.select(
-        "source", "ord", "pos", p("name").alias("name"), F.coalesce(p("description"), p("name")).alias("description"), "capacity_mw", p("developer").alias("developer"), p("location").alias("location"),
-        F.when(p("country") == "NZ", "NZ").otherwise("AU").alias("country"), F.when(p("status") == "under_development", "under_development").otherwise("announced").alias("status"),
-        F.concat("url", F.lit("#gpt-"), X.url_component(F.left(p("name"), F.lit(40)))).alias("source_url"), day.alias("announced_date"),
-    )
-    return keep_first(df, ["ord", "source_url"], ["pos"])
+    text = F.concat_ws(" ", F.coalesce(p("name"), F.lit("")), F.coalesce(p("description"), F.lit("")))
+    said = {
+        "pos": F.col("_pos"), "name": p("name"), "description": F.coalesce(p("description"), p("name")), "capacity_mw": F.coalesce(p("capacity_mw"), X.capacity(text)),
+        "developer": p("developer"), "location": p("location"), "country": F.when(p("country") == "NZ", "NZ").otherwise("AU"),
+        "status": F.when(p("status") == "under_development", "under_development").otherwise("announced"),
+        "source_url": F.concat("url", F.lit("#gpt-"), X.url_component(F.left(p("name"), F.lit(40)))), "announced_date": day,
+    }
+    df = once(df, **{k: F.when(F.col("_found"), F.col(k)).otherwise(c) for k, c in said.items()}).drop("item", "_pos")
+    df = df.filter(F.col("_found") | ((F.coalesce("name", F.lit("")) != "") & (F.col("capacity_mw").isNull() | (F.col("capacity_mw") >= 5))))
+    first = F.row_number().over(Window.partitionBy("ord", "source_url").orderBy("pos"))
+    return df.withColumn("_first", first).filter(F.col("_found") | (F.col("_first") == 1)).drop("_found", "_first")
 
 
 def decode_snapshot(encoded: Column, key: bytes) -> Column:

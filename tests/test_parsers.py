@@ -85,3 +85,14 @@ def test_links_are_dated_by_their_own_place(spark):
     text = "1 May 2020" + link("A") + "z" * 300 + "2 May 2020" + link("a") + link("b") * 500 + "z" * 300 + link("c") + "z" * 220 + " 3 May 2020 "
     found = parsers.newsletter_index(spark.createDataFrame([("s", "u", 1, "AU", text)], LANDED), F.lit("2024-01-01").cast("date"), r"https://x\.example/letter/")
     assert {r["source_url"][-1]: str(r["announced_date"]) for r in found.collect()} == {"A": "2020-05-01", "a": "2020-05-02", "b": "2020-05-02", "c": "2020-05-03"}
+
+
+def test_answers_stand_in_for_newsletters_without_rows(spark):
+    """Answers about a newsletter with a row go, so do those that can't be read; the first of a name stays."""
+    letters = spark.createDataFrame([("s", "u", 1, None, "NEW PROJECT: Sunny PV. 60 MW"), ("s", "v", 2, None, "none"), ("s", "w", 3, None, "NEW PROJECT: Tiny PV. 2 MW")], LANDED)
+    one = '[{"name":"A","description":"7 MW"},{"name":"A","capacity_mw":9},{"name":"B","capacity_mw":4},{"capacity_mw":9}]'
+    answers = spark.createDataFrame([("s", x, i, None, t) for i, x, t in ((1, "u", one), (2, "v", one), (3, "w", one), (4, "x", None), (5, "y", "no list"))] + [("s", "z", None, None, one)], LANDED)
+    got = parsers.with_answers(parsers.newsletter_sections(letters), answers, F.lit("2024-01-01").cast("date")).collect()
+    assert sorted((r["ord"] or 0, r["pos"], r["name"], r["capacity_mw"], r["source_url"]) for r in got) == [
+        (0, 0, "A", 7.0, "z#gpt-A"), (1, 0, "Sunny PV", 60.0, "u#Sunny%20PV"), (2, 0, "A", 7.0, "v#gpt-A"), (3, 0, "A", 7.0, "w#gpt-A"),
+    ]

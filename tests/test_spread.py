@@ -65,3 +65,9 @@ def test_sections_are_sorted_without_their_text(spark, sf_dir):
     sort = next(x for x in sections._jdf.queryExecution().optimizedPlan().toString().split("Window [", 1)[1].split("\n")[1:] if "Project [" in x)
     assert "body#" in sort and "section#" not in sort
     assert times(sections, "gigawatt") <= 5 and times(sections, "PROJECT UPDATE):") == 1
+
+
+def test_newsletters_and_answers_meet_without_a_join(spark, sf_dir):
+    """Newsletters are parsed once, and neither side of them is broadcast or sorted for a join."""
+    plan = screens.newsletter_projects(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 2 and plan.count("Sort [") == 3
