@@ -295,10 +295,10 @@ def milestone_rows(pages: DataFrame, day: Column | None = None) -> DataFrame:
 
 
 def newsletter_sections(pages: DataFrame, day: Column | None = None) -> DataFrame:
-    """Sections NEW PROJECT and PROJECT UPDATE of newsletters, in any case, that speak of solar power and have 5 MW or
-    more. The first section of a name in a newsletter stands for it, even where a later gate drops it."""
-    text = X.strip_html(F.col("content"), 20_000)
-    df = explode_at(pages, F.split(text, "(?i)(?=NEW PROJECT:|PROJECT UPDATE:|PROJECT MILESTONE:)"), "section")
+    """Sections NEW PROJECT and PROJECT UPDATE of newsletters, in any case and wherever they stand, that speak of solar power and
+    have 5 MW or more, as the 700 characters from their heading on say: the last section has no end but the page's. The first section
+    of a name in a newsletter stands for it, even where a later gate drops it."""
+    df = explode_at(pages, F.split(X.strip_html(F.col("content")), "(?i)(?=NEW PROJECT:|PROJECT UPDATE:|PROJECT MILESTONE:)"), "section")
     name = F.trim(F.regexp_extract("section", r"(?i)^(?:NEW PROJECT|PROJECT UPDATE):\s*([^.\n]+)", 1))
     # what is sorted by name has no more of the text than later columns ask for
     df = once(df.drop("content"), body=F.left("section", F.lit(700)), name=name).drop("section").filter((F.length("name") >= 5) & X.has_any(F.col("body"), X.P.SOLAR_TITLES))

@@ -96,3 +96,14 @@ def test_answers_stand_in_for_newsletters_without_rows(spark):
     assert sorted((r["ord"] or 0, r["pos"], r["name"], r["capacity_mw"], r["source_url"]) for r in got) == [
         (0, 0, "A", 7.0, "z#gpt-A"), (1, 0, "Sunny PV", 60.0, "u#Sunny%20PV"), (2, 0, "A", 7.0, "v#gpt-A"), (3, 0, "A", 7.0, "w#gpt-A"),
     ]
+
+
+NEWS = "<p>News of the week.</p> " * 2000  # 36,000 characters of text
+
+
+def test_answers_leave_long_newsletters_with_late_sections_alone(spark):
+    """A newsletter whose only section stands far behind its beginning has that project, and none of its answer."""
+    letters = spark.createDataFrame([("s", "u", 1, None, NEWS + "NEW PROJECT: Late Solar. 70 MW"), ("s", "v", 2, None, NEWS)], LANDED)
+    answers = spark.createDataFrame([("s", x, i, None, '[{"name":"A","capacity_mw":9}]') for i, x in ((1, "u"), (2, "v"))], LANDED)
+    got = parsers.with_answers(parsers.newsletter_sections(letters), answers, F.lit("2024-01-01").cast("date")).collect()
+    assert sorted((r["ord"], r["name"], r["capacity_mw"]) for r in got) == [(1, "Late Solar", 70.0), (2, "A", 9.0)]
