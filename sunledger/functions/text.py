@@ -115,11 +115,10 @@ def is_approved(project_status: Column, decision_status: Column, strict: bool =
     return has_any(both, P.APPROVED) & ~has_any(both, P.REJECTED) if strict else has_any(both, P.APPROVED)
 
 
-def strip_html(html: Column, limit: int | None = None) -> Column:
-    """Text of HTML: scripts, styles and tags go, white space collapses."""
+def strip_html(html: Column) -> Column:
+    """Whole text of HTML: scripts, styles and tags go, white space collapses."""
     text = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
-    return text if limit is None else F.left(text, F.lit(limit))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
 
 
 def emails(html: Column) -> Column:

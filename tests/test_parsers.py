@@ -107,3 +107,12 @@ def test_answers_leave_long_newsletters_with_late_sections_alone(spark):
     answers = spark.createDataFrame([("s", x, i, None, '[{"name":"A","capacity_mw":9}]') for i, x in ((1, "u"), (2, "v"))], LANDED)
     got = parsers.with_answers(parsers.newsletter_sections(letters), answers, F.lit("2024-01-01").cast("date")).collect()
     assert sorted((r["ord"], r["name"], r["capacity_mw"]) for r in got) == [(1, "Late Solar", 70.0), (2, "A", 9.0)]
+
+
+def test_sections_are_found_anywhere_in_a_newsletter(spark):
+    """At its beginning, across its 20,000th character, far behind it and last, with a name that comes again between."""
+    across = "NEW PROJECT: Early Solar. 60 MW " + "x" * 19_950 + " NEW PROJECT: Across Solar. 65 MW "
+    assert across.index("65 MW") > 20_000 > across.index("Across")
+    text = across + NEWS + "NEW PROJECT: Early Solar. 66 MW project update: <b>Late</b> PV. 70 MW " + NEWS * 5 + "NEW PROJECT: Last Solar. 80 MW"
+    got = parsers.newsletter_sections(spark.createDataFrame([("s", "u", 1, None, text)], LANDED)).collect()
+    assert sorted((r["pos"], r["name"], r["capacity_mw"]) for r in got) == [(0, "Early Solar", 60.0), (1, "Across Solar", 65.0), (3, "Late PV", 70.0), (4, "Last Solar", 80.0)]
